@@ -25,6 +25,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _two_dp(x: Column) -> Column:
+    """Two-decimal text rounded on the exact binary value, half to even --
+    the same digits as Python's ``f"{x:.2f}"``."""
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def signal_columns(forecast_first, forecast_second, cfg: TradingConfig = TradingConfig()) -> dict[str, Column]:
     """B1: the naive signal for each row; a null forecast gives a null signal."""
     ff, fs = _c(forecast_first), _c(forecast_second)
@@ -42,9 +48,10 @@ def signal_columns(forecast_first, forecast_second, cfg: TradingConfig = Trading
         "volume": F.when(trade, v).when(known, F.lit(0.0)),
         "price": F.when(trade, ff.cast("double")).when(known, F.lit(0.0)),
         "expected_profit": F.when(trade, F.abs(d) * v - cost).when(known, F.lit(0.0)),
-        "reason": F.when(up, F.format_string("Price expected to increase by %.2f GBP/MWh", d))
-        .when(down, F.format_string("Price expected to decrease by %.2f GBP/MWh", -d))
-        .when(known, F.format_string(f"Price difference (%.2f) below threshold ({py_float_text(cfg.price_diff_threshold)})", d)),
+        "reason": F.when(up, F.concat(F.lit("Price expected to increase by "), _two_dp(d), F.lit(" GBP/MWh")))
+        .when(down, F.concat(F.lit("Price expected to decrease by "), _two_dp(-d), F.lit(" GBP/MWh")))
+        .when(known, F.concat(F.lit("Price difference ("), _two_dp(d),
+                              F.lit(f") below threshold ({py_float_text(cfg.price_diff_threshold)})"))),
     }
 
 

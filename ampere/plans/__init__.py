@@ -1,6 +1,6 @@
 """Registered queries over the driver tables (one module per area)."""
 
-from . import trading  # noqa: F401
+from . import features, trading  # noqa: F401
 from .registry import REGISTRY, Query, register
 
 __all__ = ["REGISTRY", "Query", "register"]

@@ -26,7 +26,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
@@ -64,6 +64,15 @@ def compare(spark: SparkSession, name: str, build, sql: str | None, sf_dir: str,
     if a == b:
         out["status"] = "match"
     else:
-        diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
-        out["status"] = f"values differ ({len(a)} vs {len(b)} rows), e.g. {diff}"
+        names = sorted(cols)
+        bad = {}
+        for x, y in zip(a, b):
+            if x != y:
+                for n, u, v in zip(names, x, y):
+                    if u != v:
+                        bad.setdefault(n, (u, v))
+                if len(bad) > 4:
+                    break
+        ndiff = sum(x != y for x, y in zip(a, b))
+        out["status"] = f"values differ in {ndiff} of {len(a)}/{len(b)} rows, e.g. {bad}"
     return out

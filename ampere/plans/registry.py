@@ -2,12 +2,15 @@
 
 Each entry pairs a Spark builder ``(spark, sf_dir) -> DataFrame`` with an
 optional DuckDB SQL string over the same tables. Floating columns listed in
-``rounded`` are rounded to 6 decimals on both sides, so summation order
-does not decide the comparison.
+``rounded`` are snapped on both sides to a binary grid, round(x * 2^m) / 2^m
+with 2^m >= 10^digits (digits = 6 unless given), so summation order does not
+decide the comparison; a binary grid also never meets the exact decimal ties
+(x.xxxxxx5) that means of priced quantities produce.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Callable
 
@@ -23,11 +26,19 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     rounded: tuple[str, ...] = ()
+    digits: int = DIGITS
+
+    @property
+    def scale(self) -> int:
+        """Power of two at least 10^digits: scaling by it is exact, and the
+        data's decimal quantities never sit on a binary half-way point."""
+        return 2 ** math.ceil(self.digits * math.log2(10))
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
         if self.rounded:
-            df = df.withColumns({c: F.round(F.col(f"`{c}`"), DIGITS) for c in self.rounded})
+            scale = F.lit(float(self.scale))
+            df = df.withColumns({c: F.round(F.col(f"`{c}`") * scale) / scale for c in self.rounded})
         return df
 
     def oracle(self) -> str | None:
@@ -35,17 +46,18 @@ class Query:
             return None
         if not self.rounded:
             return self.sql
-        rep = ", ".join(f'ROUND("{c}", {DIGITS}) AS "{c}"' for c in self.rounded)
+        scale = f"CAST({self.scale} AS DOUBLE)"
+        rep = ", ".join(f'ROUND("{c}" * {scale}) / {scale} AS "{c}"' for c in self.rounded)
         return f"SELECT * REPLACE ({rep}) FROM ({self.sql}) AS _q"
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None, rounded: tuple[str, ...] | list[str] = ()):
+def register(name: str, sql: str | None = None, rounded: tuple[str, ...] | list[str] = (), digits: int = DIGITS):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, tuple(rounded))
+        REGISTRY[name] = Query(name, fn, sql, tuple(rounded), digits)
         return fn
     return deco
