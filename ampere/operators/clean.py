@@ -68,11 +68,11 @@ def missing_value_stats(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("__n"),
                     *[F.count_if(q(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)])
     stacked = counts.select(
-        "__n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
+        "__n", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                                            F.col(f"__m{i}").alias("null_count")) for i, c in enumerate(cols)])))
     n = F.col("__n")
     return stacked.select(
-        "column", "position", "null_count",
+        "column_name", "position", "null_count",
         F.when(n > 0, F.round(F.col("null_count") / n * 100, 2)).otherwise(F.lit(0.0)).alias("null_percentage"),
         (n - F.col("null_count")).alias("non_null_count"),
     )
@@ -233,7 +233,7 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     the masked cells, so each column contributes a bounded top-k (by order
     descending) rather than the whole series. Columns with fewer than
     ``2 * test_size`` non-null values get no rows (caller uses the default).
-    Rows: (column, method, position, rmse).
+    Rows: (column_name, method, position, rmse).
     """
     test, win = cfg.imputation_test_size, cfg.rolling_window
     keep = test + win
@@ -245,14 +245,14 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
         nn = df.where(q(c).isNotNull())
         top = nn.select(*[q(o) for o in order], q(c).cast("double").alias("v")) \
             .orderBy(*[q(o).desc_nulls_last() for o in order]).limit(keep)
-        parts.append(top.select(F.lit(c).alias("column"), F.struct(*[q(o) for o in order]).alias("o"), "v"))
+        parts.append(top.select(F.lit(c).alias("column_name"), F.struct(*[q(o) for o in order]).alias("o"), "v"))
     longf = parts[0]
     for p in parts[1:]:
         longf = longf.unionByName(p)
     counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    w = Window.partitionBy("column").orderBy("o")
+    w = Window.partitionBy("column_name").orderBy("o")
     # rows in each column's frame (at most `keep`)
-    x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column")))
+    x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column_name")))
     x = x.withColumn("__i", F.row_number().over(w) - 1)
     masked = F.col("__i") >= F.col("__k") - test
     x = x.withColumn("mv", F.when(~masked, F.col("v")))
@@ -267,27 +267,27 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     ops[ImputationMethod.INTERPOLATE_LINEAR] = prev["v"] + (nxt["v"] - prev["v"]) * (F.col("__i") - prev["i"]) / (nxt["i"] - prev["i"])
     x = x.withColumns({f"p{j}": e for j, e in enumerate(ops[m] for m in CANDIDATES)})
     x = x.where(masked)
-    scored = x.groupBy("column").agg(*[
+    scored = x.groupBy("column_name").agg(*[
         F.when(F.count(f"p{j}") == test, F.sqrt(F.avg(F.pow(F.col("v") - F.col(f"p{j}"), 2)))).alias(f"r{j}")
         for j in range(len(CANDIDATES))])
-    rows = scored.select("column", F.inline(F.array(*[
+    rows = scored.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(m.value).alias("method"), F.lit(j).alias("position"), F.col(f"r{j}").alias("rmse"))
         for j, m in enumerate(CANDIDATES)])))
-    enough = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"))
+    enough = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"))
                                               for i, c in enumerate(columns)]))).where(F.col("n") >= 2 * test)
-    return rows.join(F.broadcast(enough.select("column")), "column", "left_semi")
+    return rows.join(F.broadcast(enough.select("column_name")), "column_name", "left_semi")
 
 
 def choose_imputation(scores: DataFrame, columns: Sequence[str], cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
     """C4 decision: smallest non-null RMSE, earlier candidate on ties; the
     configured default (and an infinite score) when nothing scored."""
     best = (scores.where(F.col("rmse").isNotNull())
-            .groupBy("column").agg(F.min_by(F.struct("method", "rmse"), F.struct("rmse", "position")).alias("b")))
-    all_cols = scores.sparkSession.createDataFrame([(c,) for c in columns], "column string") if columns else None
+            .groupBy("column_name").agg(F.min_by(F.struct("method", "rmse"), F.struct("rmse", "position")).alias("b")))
+    all_cols = scores.sparkSession.createDataFrame([(c,) for c in columns], "column_name string") if columns else None
     if all_cols is None:
-        return best.select("column", F.col("b.method").alias("method"), F.col("b.rmse").alias("rmse"))
-    return all_cols.join(best, "column", "left").select(
-        "column",
+        return best.select("column_name", F.col("b.method").alias("method"), F.col("b.rmse").alias("rmse"))
+    return all_cols.join(best, "column_name", "left").select(
+        "column_name",
         F.coalesce(F.col("b.method"), F.lit(cfg.default_imputation.value)).alias("method"),
         F.coalesce(F.col("b.rmse"), F.lit(float("inf"))).alias("rmse"),
     )
@@ -324,7 +324,7 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
     rest = [c for c in todo if c not in chosen]
     if rest and auto_select_method:
         for r in choose_imputation(imputation_scores(df, rest, s, cfg), rest, cfg).collect():
-            chosen[r["column"]] = r["method"]
+            chosen[r["column_name"]] = r["method"]
     for c in rest:
         chosen.setdefault(c, cfg.default_imputation.value)
     ops = [imputation_op(c, chosen[c], cfg.rolling_window) for c in todo]
