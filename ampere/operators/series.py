@@ -161,8 +161,10 @@ class Fill:
             F.last(point, ignorenulls=True).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0)),
             ctx.carry(self.column, "prev"),
         )
+        # running frame over the reversed order: O(n), where a frame reaching
+        # to unboundedFollowing is re-aggregated for every row (O(n^2))
         nxt = F.coalesce(
-            F.first(point, ignorenulls=True).over(ctx.w.rowsBetween(0, Window.unboundedFollowing)),
+            F.last(point, ignorenulls=True).over(ctx.w_rev.rowsBetween(Window.unboundedPreceding, 0)),
             ctx.carry(self.column, "next"),
         )
         if self.method == "ffill":
@@ -232,6 +234,7 @@ def _type_of(ctx: "_Ctx", column: str) -> str:
 @dataclass
 class _Ctx:
     w: WindowSpec
+    w_rev: WindowSpec
     idx: Column
     key_start: Column
     halo: Column | None
@@ -303,7 +306,8 @@ def _apply_keyed(df: DataFrame, s: Series, ops, types) -> DataFrame:
     need_idx = any(isinstance(o, (Fill, RowIndex)) for o in ops)
     if need_idx:
         df = df.withColumn(IDX, F.row_number().over(w) - 1)
-    ctx = _Ctx(w=w, idx=F.col(IDX), key_start=F.lit(0), halo=None, types=types)
+    w_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(IDX).desc())
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=F.lit(0), halo=None, types=types)
     out = df.withColumns({o.name: o.expr(ctx) for o in ops})
     return out.drop(IDX) if need_idx else out
 
@@ -334,7 +338,9 @@ def _apply_blocked(indexed: DataFrame, s: Series, ops, types, columns) -> DataFr
     unbounded = [o for o in ops if getattr(o, "unbounded", False)]
     if unbounded:
         framed, carries = _with_carries(framed, s, unbounded)
-    ctx = _Ctx(w=w, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), types=types, carries=carries)
+    w_rev = Window.partitionBy(F.col(BLK), *keys).orderBy(F.col(IDX).desc())
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), types=types,
+               carries=carries)
     out = framed.withColumns({o.name: o.expr(ctx) for o in ops}).where(~F.col(HALO))
     added = list(dict.fromkeys(o.name for o in ops if o.name not in columns))
     return out.select(*columns, *added)
@@ -370,13 +376,15 @@ def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
             aggs.append(F.sum(F.when(~F.col(HALO), c)).alias(names[(o.column, "sum")] + "_s"))
     summary = framed.groupBy(BLK, *s.keys).agg(*aggs)
     sw = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(BLK)
+    sw_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(BLK).desc())
     sel = [BLK, *s.keys]
     for (column, kind), name in names.items():
         src = F.col(name + "_s")
         if kind == "prev":
             sel.append(F.last(src, ignorenulls=True).over(sw.rowsBetween(Window.unboundedPreceding, -1)).alias(name))
         elif kind == "next":
-            sel.append(F.first(src, ignorenulls=True).over(sw.rowsBetween(1, Window.unboundedFollowing)).alias(name))
+            sel.append(F.last(src, ignorenulls=True).over(sw_rev.rowsBetween(Window.unboundedPreceding, -1))
+                       .alias(name))
         else:
             sel.append(F.sum(src).over(sw.rowsBetween(Window.unboundedPreceding, -1)).alias(name))
     carry = summary.select(*sel)
