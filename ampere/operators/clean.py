@@ -3,7 +3,6 @@ statistics, imputation (C1-C11, A1-A4, A10)."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from typing import Sequence
 
@@ -103,33 +102,15 @@ def data_quality_score(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- A3, A4
 
 
-def nearest_rank_fraction(n: int, quantile: float) -> float:
-    """Percentile fraction that lands exactly on the order statistic chosen by
-    'nearest' interpolation (index round((n-1) q), halves away from zero)."""
-    if n <= 1:
-        return 0.0
-    m = n - 1
-    k = math.floor(m * quantile + 0.5)
-    frac = k / m
-    for _ in range(8):
-        if m * frac == k:
-            return frac
-        frac = math.nextafter(frac, math.inf if m * frac < k else -math.inf)
-    return k / m
-
-
 def quantiles(df: DataFrame, column: str, qs: Sequence[float], interpolation: str = "nearest") -> list:
-    """A4: exact quantiles. ``nearest`` returns an element of the column."""
-    c = q(column)
-    if interpolation == "linear":
-        row = df.agg(F.percentile(c, F.array(*[F.lit(float(x)) for x in qs])).alias("p")).first()
-        return list(row["p"]) if row["p"] is not None else [None] * len(qs)
-    n = df.agg(F.count(c).alias("n")).first()["n"]
-    if not n:
-        return [None] * len(qs)
-    fr = [nearest_rank_fraction(n, x) for x in qs]
-    row = df.agg(F.percentile(c, F.array(*[F.lit(f) for f in fr])).alias("p")).first()
-    return list(row["p"])
+    """A4: exact quantiles of one column. ``nearest`` returns the element at
+    rank round((n-1) q) (halves away from zero); ``linear`` interpolates.
+    Values are ranked by a range shuffle, never gathered in one task; only
+    one row per requested quantile reaches the driver."""
+    from .stats import exact_quantiles
+
+    rows = {r["quantile"]: r["value"] for r in exact_quantiles(df, column, qs, (), interpolation).collect()}
+    return [rows.get(float(x)) for x in qs]
 
 
 # -------------------------------------------------------------- C6, C7

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.scalar import safe_div
-from .series import Lag, Rolling, Series, apply_series
+from .series import Lag, Rolling, Series, add_lag_features, add_rolling_features, apply_series  # noqa: F401
 
 
 @dataclass

@@ -191,7 +191,9 @@ class RunningSum:
         own = c if ctx.halo is None else F.when(~ctx.halo, c)
         inside = F.sum(own).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0))
         before = ctx.carry(self.column, "sum")
-        return F.coalesce(before, F.lit(0)) + inside
+        # null only while the whole series so far is null (as a plain running sum)
+        return F.when(before.isNotNull() | inside.isNotNull(),
+                      F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)))
 
 
 @dataclass(frozen=True)
