@@ -77,11 +77,31 @@ def bin_expr(c: Column, lo: float, hi: float, bins: int) -> Column:
     return F.least(F.floor((c - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long")
 
 
-def histogram(df: DataFrame, column: str, bins: int = 50, expr: Column | None = None) -> DataFrame:
-    """Counts per equal-width bin over [min, max]; the range
-    is one small aggregation, the counts a second (partial + final)."""
+def histogram(df: DataFrame, column: str, bins: int = 50, expr: Column | None = None,
+              group_by: Sequence[str] = ()) -> DataFrame:
+    """Counts per equal-width bin over [min, max] (per
+    group when ``group_by`` is given); the maximum falls into the last bin.
+
+    Global: the range is two scalars from one aggregation. Grouped: the
+    ranges are one row per group, joined back on the group keys."""
+    keys = list(group_by)
     v = expr if expr is not None else q(column)
-    x = df.select(v.cast("double").alias("v")).where(F.col("v").isNotNull())
+    x = df.select(*[q(k) for k in keys], v.cast("double").alias("v")).where(F.col("v").isNotNull())
+    if keys:
+        rng = x.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rng = rng.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], "lo", "hi")
+        cond = None
+        for i, k in enumerate(keys):
+            e = F.col(k).eqNullSafe(F.col(f"__g{i}"))
+            cond = e if cond is None else cond & e
+        j = x.join(rng, cond).select(*keys, "v", "lo", "hi")
+        lo, hi = F.col("lo"), F.col("hi")
+        b = F.when(hi == lo, F.lit(1).cast("long")).otherwise(
+            F.least(F.floor((F.col("v") - lo) / (hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long"))
+        w = (hi - lo) / F.lit(bins)
+        counted = j.groupBy(*keys, b.alias("bin"), "lo", w.alias("w")).agg(F.count(F.lit(1)).alias("count"))
+        return counted.select(*keys, "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("lower"),
+                              (F.col("lo") + F.col("bin") * F.col("w")).alias("upper"), "count")
     r = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if r["lo"] is None:
         return x.select(F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("lower"),

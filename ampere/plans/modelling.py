@@ -28,15 +28,18 @@ FORECASTERS = {
 
 
 def _forecasts(spark, sf):
-    """Long table (model, timestamp, actual, predicted) over complete pairs."""
+    """Long table (model, timestamp, actual, predicted) over complete pairs;
+    all forecasters share one framing of the series."""
     m = mv(spark, sf).select(F.col(f"`{D}`"), P1)
-    parts = []
+    ops = []
     for name, (op, _) in FORECASTERS.items():
-        x = apply_series(m, MARKET_SERIES, [op()])
-        parts.append(x.select(F.lit(name).alias("model"), F.col(f"`{D}`"), F.col(P1).alias("actual"), "predicted"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        o = op()
+        ops.append(type(o)(**{**o.__dict__, "name": f"__f_{name}"}))
+    x = apply_series(m, MARKET_SERIES, ops)
+    pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"__f_{n}").alias("predicted"))
+                               for n in FORECASTERS]))
+    out = x.select(F.col(f"`{D}`"), F.col(P1).alias("actual"), pairs)
+    out = out.select("model", F.col(f"`{D}`"), "actual", "predicted")
     return out.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
 
 

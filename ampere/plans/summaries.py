@@ -97,3 +97,17 @@ def residual_box(spark, sf):
     f = _forecasts(spark, sf).withColumn("r", F.col("actual") - F.col("predicted"))
     return stats.box_summary(f, "r", ["model"]).select("model", "min", "max", "n", "q1", "median", "q3")
 
+
+
+@register("residual_histogram", sql_with_mv(f"""
+  SELECT model, bin, lo + (bin - 1) * w AS lower, lo + bin * w AS upper, count FROM (
+    SELECT model, CASE WHEN hi = lo THEN 1 ELSE CAST(LEAST(FLOOR((r - lo) / (hi - lo) * 50) + 1, 50) AS BIGINT) END
+           AS bin, lo, (hi - lo) / 50 AS w, COUNT(*) AS count
+    FROM (SELECT model, actual - predicted AS r FROM ({PAIRS_SQL}) p) z
+    JOIN (SELECT model AS m2, MIN(actual - predicted) AS lo, MAX(actual - predicted) AS hi FROM ({PAIRS_SQL}) p
+          GROUP BY 1) g ON g.m2 = z.model
+    GROUP BY 1, 2, 3, 4) b"""), rounded=["lower", "upper"])
+def residual_histogram(spark, sf):
+    """50-bin residual histogram per model."""
+    f = _forecasts(spark, sf)
+    return stats.histogram(f, "r", 50, expr=F.col("actual") - F.col("predicted"), group_by=["model"])

@@ -88,3 +88,13 @@ def test_reach_must_fit_block(spark):
     df = spark.range(10).select(F.col("id").alias("t"), F.col("id").cast("double").alias("v"))
     with pytest.raises(ValueError):
         apply_series(df, Series(order_by=("t",), block_rows=4), [Lag("v", 5, "x")])
+
+
+def test_hot_key_routes_to_blocked(spark, expected):
+    from ampere.operators.series import use_blocked
+
+    df = _data(spark)
+    hot = Series(order_by=("t",), keys=("k",), max_key_rows=100, block_rows=32)
+    cool = Series(order_by=("t",), keys=("k",))
+    assert use_blocked(df, hot) and not use_blocked(df, cool)
+    _same(_rows(apply_series(df, hot, OPS)), expected)
