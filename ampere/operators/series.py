@@ -304,7 +304,8 @@ def apply_series(df: DataFrame, s: Series, ops: Sequence, blocked: bool | None =
 
 
 def _apply_keyed(df: DataFrame, s: Series, ops, types) -> DataFrame:
-    w = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(*_order_cols(s))
+    order = [F.col(c).asc_nulls_first() for c in s.order_by]
+    w = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(*order)
     need_idx = any(isinstance(o, (Fill, RowIndex)) for o in ops)
     if need_idx:
         df = df.withColumn(IDX, F.row_number().over(w) - 1)

@@ -258,3 +258,18 @@ def summary_dashboard(df: DataFrame, date_column: str = C.DATE_COLUMN) -> dict[s
     if C.PRICE_FIRST in df.columns:
         out["distribution"] = histogram(df, C.PRICE_FIRST)
     return out
+
+
+def first_available(*frames: DataFrame | None) -> DataFrame | None:
+    """The first table that exists (merged, then cleaned, then raw)."""
+    return next((f for f in frames if f is not None), None)
+
+
+def first_models(metrics: DataFrame, models: list[str], k: int = 4, model: str = "model") -> DataFrame:
+    """The comparison rows of the first ``k`` models in the given order."""
+    return metrics.where(q(model).isin(list(models)[:k]))
+
+
+def first_columns(df: DataFrame, k: int) -> list[str]:
+    """T5: the first ``k`` column names (metadata only)."""
+    return list(df.columns)[:k]
