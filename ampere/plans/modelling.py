@@ -145,7 +145,7 @@ def cv_fold_sizes(spark, sf):
     ev = table(spark, sf, "events").select("ts", "event_id")
     x = ml.add_position(ev, EVENT_SERIES)
     n = x.count()
-    return x.select(ml.fold_column(F.col("__pos"), n, 5).alias("fold")).groupBy("fold").agg(
+    return x.select(ml.fold_column(F.col("__pos"), n, 5).cast("long").alias("fold")).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"))
 
 
