@@ -62,3 +62,13 @@ def title_label(name: str) -> str:
 def py_float_text(x: float) -> str:
     """Python's text form of a float literal, e.g. 10 -> '10.0'."""
     return repr(float(x))
+
+
+def py_round(c: str | Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on doubles -- half to even on
+    the exact binary value (so 2.675 -> 2.67), unlike SQL ROUND."""
+    x = col(c)
+    pattern = "0." + "0" * digits if digits > 0 else "0"
+    text = F.call_function("format_number", x, F.lit(pattern))
+    special = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.when(special, x).otherwise(text.try_cast("double"))

@@ -103,12 +103,16 @@ def data_quality_score(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, qs: Sequence[float], interpolation: str = "nearest") -> list:
-    """A4: exact quantiles of one column. ``nearest`` returns the element at
-    rank round((n-1) q) (halves away from zero); ``linear`` interpolates.
+    """A4: quantiles of one column. ``nearest`` returns the element at rank
+    round((n-1) q) (halves away from zero); ``linear`` interpolates;
+    ``approx`` uses Spark's percentile sketch.
     Values are ranked by a range shuffle, never gathered in one task; only
     one row per requested quantile reaches the driver."""
     from .stats import exact_quantiles
 
+    if interpolation == "approx":  # bounded-memory sketch, for very large columns
+        row = df.agg(F.percentile_approx(q(column), [float(x) for x in qs], 10_000).alias("p")).first()
+        return list(row["p"]) if row["p"] is not None else [None] * len(qs)
     rows = {r["quantile"]: r["value"] for r in exact_quantiles(df, column, qs, (), interpolation).collect()}
     return [rows.get(float(x)) for x in qs]
 
@@ -205,15 +209,18 @@ def impute_rolling(df: DataFrame, column: str, s: Series,
 
 
 def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
-                      cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
-    """C4 scoring for many columns in one job: for each column, its non-null
+                      cfg: CleaningConfig = CleaningConfig(), counts: dict | None = None) -> DataFrame:
+    """C4 scoring for many columns in one pass: for each column, its non-null
     values in series order, the last ``test_size`` masked, each candidate
     scored by RMSE on the masked cells (null when a cell stays unfilled).
 
     Only the last ``test_size + rolling_window`` non-null values can affect
-    the masked cells, so each column contributes a bounded top-k (by order
-    descending) rather than the whole series. Columns with fewer than
-    ``2 * test_size`` non-null values get no rows (caller uses the default).
+    the masked cells, so each column keeps a bounded top-k: the columns are
+    unpivoted in one scan and ``row_number() <= k`` per column is planned
+    with a partial group limit before the shuffle (k rows per column per
+    partition cross the network). Columns with fewer than ``2 * test_size``
+    non-null values get no rows (caller uses the default). ``counts`` may
+    pass the non-null counts when the caller already has them.
     Rows: (column_name, method, position, rmse).
     """
     test, win = cfg.imputation_test_size, cfg.rolling_window
@@ -221,16 +228,19 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     order = [*s.keys, *s.order_by]
     if s.keys:
         raise ValueError("imputation scoring works on one series; filter to a key first")
-    parts = []
-    for c in columns:
-        nn = df.where(q(c).isNotNull())
-        top = nn.select(*[q(o) for o in order], q(c).cast("double").alias("v")) \
-            .orderBy(*[q(o).desc_nulls_last() for o in order]).limit(keep)
-        parts.append(top.select(F.lit(c).alias("column_name"), F.struct(*[q(o) for o in order]).alias("o"), "v"))
-    longf = parts[0]
-    for p in parts[1:]:
-        longf = longf.unionByName(p)
-    counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    if counts is None:
+        row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    enough = [c for c in columns if counts.get(c, 0) >= 2 * test]
+    spark = df.sparkSession
+    if not enough:
+        return spark.createDataFrame([], "column_name string, method string, position int, rmse double")
+    o = F.struct(*[q(c) for c in order])
+    longf = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), o.alias("o"), q(c).cast("double").alias("v")) for c in enough])))
+    longf = longf.where(F.col("v").isNotNull())
+    newest = Window.partitionBy("column_name").orderBy(F.col("o").desc())
+    longf = longf.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= keep).drop("__r")
     w = Window.partitionBy("column_name").orderBy("o")
     # rows in each column's frame (at most `keep`)
     x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column_name")))
@@ -252,12 +262,9 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     scored = x.groupBy("column_name").agg(*[
         F.when(F.count(f"p{j}") == test, F.sqrt(F.avg(F.pow(F.col("v") - F.col(f"p{j}"), 2)))).alias(f"r{j}")
         for j in range(len(CANDIDATES))])
-    rows = scored.select("column_name", F.inline(F.array(*[
+    return scored.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(m.value).alias("method"), F.lit(j).alias("position"), F.col(f"r{j}").alias("rmse"))
         for j, m in enumerate(CANDIDATES)])))
-    enough = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"))
-                                              for i, c in enumerate(columns)]))).where(F.col("n") >= 2 * test)
-    return rows.join(F.broadcast(enough.select("column_name")), "column_name", "left_semi")
 
 
 def choose_imputation(scores: DataFrame, columns: Sequence[str], cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
@@ -296,8 +303,10 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df, {}
-    nulls = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    todo = [c for i, c in enumerate(columns) if nulls[f"m{i}"] > 0]
+    stats_row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
+                       *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    todo = [c for i, c in enumerate(columns) if stats_row[f"m{i}"] > 0]
+    counts = {c: stats_row[f"n{i}"] for i, c in enumerate(columns)}
     if not todo:
         return df, {}
     chosen: dict[str, str] = {}
@@ -305,7 +314,7 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
         chosen.update({c: ImputationMethod(m).value for c, m in methods.items() if c in todo})
     rest = [c for c in todo if c not in chosen]
     if rest and auto_select_method:
-        for r in choose_imputation(imputation_scores(df, rest, s, cfg), rest, cfg).collect():
+        for r in choose_imputation(imputation_scores(df, rest, s, cfg, counts), rest, cfg).collect():
             chosen[r["column_name"]] = r["method"]
     for c in rest:
         chosen.setdefault(c, cfg.default_imputation.value)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ModelConfig, ModelType
+from ..functions.scalar import py_round
 from .series import IDX, Lookback, Series, apply_series, global_index
 
 FEATURES = "features"
@@ -154,9 +155,9 @@ def evaluate(pred: DataFrame, actual: str = "label", predicted: str = PRED,
 
 
 def rounded_metrics(metrics: DataFrame) -> DataFrame:
-    """4/4/4/2/2 decimals (half to even, like Python's round)."""
-    return metrics.withColumns({"rmse": F.bround("rmse", 4), "mae": F.bround("mae", 4), "r2": F.bround("r2", 4),
-                                "smape": F.bround("smape", 2), "mape": F.bround("mape", 2)})
+    """4/4/4/2/2 decimals with Python's rounding."""
+    return metrics.withColumns({c: py_round(c, d) for c, d in
+                                (("rmse", 4), ("mae", 4), ("r2", 4), ("smape", 2), ("mape", 2))})
 
 
 # ------------------------------------------------------------------ train

@@ -218,3 +218,14 @@ def test_quantiles_nearest_and_linear(spark):
     assert near == [xs[int(math.floor((len(xs) - 1) * q + 0.5))] for q in (0.25, 0.5, 0.75)]
     lin = clean.quantiles(df, "x", [0.25, 0.5, 0.75], "linear")
     assert lin == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.75])))
+
+
+def test_py_round_matches_python(spark):
+    from ampere.functions.scalar import py_round
+
+    vals = [2.675, 0.125, 1.005, -2.5, 0.0004999, 123.45678, -0.00001]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got2 = [r[0] for r in df.select(py_round("x", 2)).collect()]
+    got4 = [r[0] for r in df.select(py_round("x", 4)).collect()]
+    assert got2 == [round(v, 2) for v in vals]
+    assert got4 == [round(v, 4) for v in vals]
