@@ -273,8 +273,9 @@ def global_index(df: DataFrame, s: Series) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = _order_cols(s)
-    parts = max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    # no explicit count: the range exchange uses spark.sql.shuffle.partitions and
+    # AQE coalesces it to the advisory partition size before the layout is frozen
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
     pid = F.spark_partition_id()
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     with_pos = ranged.select("*", pid.alias(PID), local.alias(POS))

@@ -45,7 +45,9 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
         F.monotonically_increasing_id().alias("__m"))
     ranked = global_index(lines, Series(order_by=("__b", "__m"), keys=("__f",), strategy="blocked"))
     start = ranked.groupBy("__f").agg(F.min(IDX).alias("__s"))
-    ranked = ranked.join(F.broadcast(start), "__f").withColumn("__line", F.col(IDX) - F.col("__s"))
+    if len(lines.inputFiles()) <= _MAX_BROADCAST_FILES:  # one row per file
+        start = F.broadcast(start)
+    ranked = ranked.join(start, "__f").withColumn("__line", F.col(IDX) - F.col("__s"))
     header = ranked.where(F.col("__line") == skip_rows).select("value").first()
     if header is None:
         raise ValueError("no header line after the skipped rows")
