@@ -256,7 +256,8 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     prev = F.last(pt, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     w_rev = Window.partitionBy("column_name").orderBy(F.col("o").desc())
     nxt = F.last(pt, ignorenulls=True).over(w_rev.rowsBetween(Window.unboundedPreceding, 0))
-    ops[ImputationMethod.INTERPOLATE_LINEAR] = prev["v"] + (nxt["v"] - prev["v"]) * (F.col("__i") - prev["i"]) / (nxt["i"] - prev["i"])
+    ops[ImputationMethod.INTERPOLATE_LINEAR] = prev["v"] + F.try_divide(
+        (nxt["v"] - prev["v"]) * (F.col("__i") - prev["i"]), nxt["i"] - prev["i"])
     x = x.withColumns({f"p{j}": e for j, e in enumerate(ops[m] for m in CANDIDATES)})
     x = x.where(masked)
     scored = x.groupBy("column_name").agg(*[

@@ -139,12 +139,15 @@ def metric_columns(actual: str = "label", predicted: str = PRED) -> list[Column]
     """M11-M15 as aggregate expressions."""
     a, p = F.col(actual), F.col(predicted)
     e = a - p
+    sse, sst = F.sum(e * e), F.var_pop(a) * F.count(a)
+    # a constant target: 1.0 for a perfect fit, else 0.0 (the finite convention)
+    r2 = F.when(sst > 0, F.lit(1.0) - F.try_divide(sse, sst)).when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return [
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop(a) * F.count(a))).alias("r2"),
+        F.when(F.count(a) > 0, r2).alias("r2"),
         (F.avg(F.lit(2.0) * F.abs(p - a) / (F.abs(a) + F.abs(p) + F.lit(1e-8))) * 100).alias("smape"),
-        (F.avg(F.when(a != 0, F.abs((a - p) / a))) * 100).alias("mape"),
+        (F.avg(F.when(a != 0, F.abs(F.try_divide(a - p, a)))) * 100).alias("mape"),
         F.count(a).alias("n"),
     ]
 

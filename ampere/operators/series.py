@@ -172,7 +172,7 @@ class Fill:
         if self.method == "bfill":
             return F.coalesce(c, nxt["v"].cast(_type_of(ctx, self.column)))
         span = (nxt["i"] - prev["i"]).cast("double")
-        interp = prev["v"] + (nxt["v"] - prev["v"]) * (ctx.idx - prev["i"]).cast("double") / span
+        interp = prev["v"] + F.try_divide((nxt["v"] - prev["v"]) * (ctx.idx - prev["i"]).cast("double"), span)
         return F.coalesce(c.cast("double"), interp)
 
 

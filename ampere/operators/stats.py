@@ -97,7 +97,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, expr: Column | None =
         j = x.join(rng, cond).select(*keys, "v", "lo", "hi")
         lo, hi = F.col("lo"), F.col("hi")
         b = F.when(hi == lo, F.lit(1).cast("long")).otherwise(
-            F.least(F.floor((F.col("v") - lo) / (hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long"))
+            F.least(F.floor(F.try_divide(F.col("v") - lo, hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long"))
         w = (hi - lo) / F.lit(bins)
         counted = j.groupBy(*keys, b.alias("bin"), "lo", w.alias("w")).agg(F.count(F.lit(1)).alias("count"))
         return counted.select(*keys, "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("lower"),
@@ -192,10 +192,11 @@ def normalised_metrics(metrics: DataFrame, model: str = "model") -> DataFrame:
     for c in ("rmse", "mae", "smape", "mape"):
         if c in metrics.columns:
             lo, hi = F.min(c).over(w), F.max(c).over(w)
-            cols.append(F.when(hi == lo, F.lit(1.0)).otherwise(F.lit(1.0) - (F.col(c) - lo) / (hi - lo)).alias(f"{c}_score"))
+            cols.append(F.when(hi == lo, F.lit(1.0)).otherwise(F.lit(1.0) - F.try_divide(F.col(c) - lo, hi - lo))
+                        .alias(f"{c}_score"))
     if "r2" in metrics.columns:
         lo, hi = F.min("r2").over(w), F.max("r2").over(w)
-        cols.append(((F.col("r2") - lo) / (hi - lo + F.lit(1e-8))).alias("r2_score"))
+        cols.append(F.try_divide(F.col("r2") - lo, hi - lo + F.lit(1e-8)).alias("r2_score"))
     return metrics.select(*cols)
 
 
@@ -242,7 +243,8 @@ def home_summary(df: DataFrame, price_column: str = C.PRICE_FIRST) -> DataFrame:
     out = df.agg(*agg)
     cells = F.col("rows") * len(cols)
     return out.select("*", F.lit(len(cols)).alias("columns"),
-                      F.when(cells > 0, (F.lit(1.0) - F.col("null_cells") / cells) * 100).alias("completeness"))
+                      F.when(cells > 0, (F.lit(1.0) - F.try_divide(F.col("null_cells"), cells)) * 100)
+                      .alias("completeness"))
 
 
 def summary_dashboard(df: DataFrame, date_column: str = C.DATE_COLUMN) -> dict[str, DataFrame | None]:

@@ -229,3 +229,10 @@ def test_py_round_matches_python(spark):
     got4 = [r[0] for r in df.select(py_round("x", 4)).collect()]
     assert got2 == [round(v, 2) for v in vals]
     assert got4 == [round(v, 4) for v in vals]
+
+
+def test_constant_target_metrics_do_not_divide_by_zero(spark):
+    df = spark.createDataFrame([(3.0, 3.0), (3.0, 3.0)], "label double, prediction double")
+    assert ml.evaluate(df).first().r2 == 1.0
+    df = spark.createDataFrame([(3.0, 2.0), (3.0, 4.0)], "label double, prediction double")
+    assert ml.evaluate(df).first().r2 == 0.0
