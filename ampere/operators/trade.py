@@ -15,10 +15,13 @@ from ..config import TradingConfig
 from ..functions.scalar import py_float_text
 from .series import RunningSum, Series, apply_series
 
-# Action names of the naive strategy.
+# Action names and reason texts of the naive strategy.
 BUY_FIRST = "buy_first_sell_second"
 SELL_FIRST = "sell_first_buy_second"
 HOLD = "hold"
+REASON_UP = ("Price expected to increase by ", " GBP/MWh")
+REASON_DOWN = ("Price expected to decrease by ", " GBP/MWh")
+REASON_HOLD = ("Price difference (", ") below threshold (", ")")
 
 
 def _c(x) -> Column:
@@ -48,10 +51,10 @@ def signal_columns(forecast_first, forecast_second, cfg: TradingConfig = Trading
         "volume": F.when(trade, v).when(known, F.lit(0.0)),
         "price": F.when(trade, ff.cast("double")).when(known, F.lit(0.0)),
         "expected_profit": F.when(trade, F.abs(d) * v - cost).when(known, F.lit(0.0)),
-        "reason": F.when(up, F.concat(F.lit("Price expected to increase by "), _two_dp(d), F.lit(" GBP/MWh")))
-        .when(down, F.concat(F.lit("Price expected to decrease by "), _two_dp(-d), F.lit(" GBP/MWh")))
-        .when(known, F.concat(F.lit("Price difference ("), _two_dp(d),
-                              F.lit(f") below threshold ({py_float_text(cfg.price_diff_threshold)})"))),
+        "reason": F.when(up, F.concat(F.lit(REASON_UP[0]), _two_dp(d), F.lit(REASON_UP[1])))
+        .when(down, F.concat(F.lit(REASON_DOWN[0]), _two_dp(-d), F.lit(REASON_DOWN[1])))
+        .when(known, F.concat(F.lit(REASON_HOLD[0]), _two_dp(d), F.lit(REASON_HOLD[1]),
+                              F.lit(py_float_text(cfg.price_diff_threshold)), F.lit(REASON_HOLD[2]))),
     }
 
 
