@@ -362,23 +362,32 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
-    """Per (block, key) summaries -> carries from earlier/later blocks."""
-    aggs, names = [], {}
+    """Per (block, key) summaries -> carries from earlier/later blocks.
+
+    The summaries use max/max_by/min/min_by/sum over primitive columns, so
+    they plan as hash aggregations with a map-side partial step (no sort of
+    the rows); the carry windows then run over one row per (block, key)."""
+    aggs, names, post = [], {}, []
     for o in ops:
         c = F.col(o.column)
-        point = F.when(c.isNotNull() & ~F.col(HALO), F.struct(F.col(IDX).alias("i"), c.cast("double").alias("v")))
+        at = F.when(c.isNotNull() & ~F.col(HALO), F.col(IDX))  # position of a usable value
         if isinstance(o, Fill):
             want_prev, want_next = o.needs()
-            if want_prev and (o.column, "prev") not in names:
-                names[(o.column, "prev")] = f"__c_prev_{len(names)}"
-                aggs.append(F.max(point).alias(names[(o.column, "prev")] + "_s"))
-            if want_next and (o.column, "next") not in names:
-                names[(o.column, "next")] = f"__c_next_{len(names)}"
-                aggs.append(F.min(point).alias(names[(o.column, "next")] + "_s"))
+            for kind, want, pick_i, pick_v in (("prev", want_prev, F.max, F.max_by), ("next", want_next, F.min, F.min_by)):
+                if not want or (o.column, kind) in names:
+                    continue
+                name = f"__c_{kind}_{len(names)}"
+                names[(o.column, kind)] = name
+                aggs += [pick_i(at).alias(name + "_i"), pick_v(c.cast("double"), at).alias(name + "_v")]
+                post.append(F.when(F.col(name + "_i").isNotNull(),
+                                   F.struct(F.col(name + "_i").alias("i"), F.col(name + "_v").alias("v")))
+                            .alias(name + "_s"))
         elif isinstance(o, RunningSum) and (o.column, "sum") not in names:
-            names[(o.column, "sum")] = f"__c_sum_{len(names)}"
-            aggs.append(F.sum(F.when(~F.col(HALO), c)).alias(names[(o.column, "sum")] + "_s"))
-    summary = framed.groupBy(BLK, *s.keys).agg(*aggs)
+            name = f"__c_sum_{len(names)}"
+            names[(o.column, "sum")] = name
+            aggs.append(F.sum(F.when(~F.col(HALO), c)).alias(name + "_s"))
+            post.append(F.col(name + "_s"))
+    summary = framed.groupBy(BLK, *s.keys).agg(*aggs).select(BLK, *s.keys, *post)
     sw = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(BLK)
     sw_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(BLK).desc())
     sel = [BLK, *s.keys]
