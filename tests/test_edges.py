@@ -236,3 +236,19 @@ def test_constant_target_metrics_do_not_divide_by_zero(spark):
     assert ml.evaluate(df).first().r2 == 1.0
     df = spark.createDataFrame([(3.0, 2.0), (3.0, 4.0)], "label double, prediction double")
     assert ml.evaluate(df).first().r2 == 0.0
+
+
+def test_market_file_roundtrip_many_files(spark, tmp_path):
+    from ampere.sources.driver_tables import market_view, table
+
+    mv = market_view(table(spark, "/root/testdata/sf0.001", "events"))
+    cols = [C.DATE_COLUMN, C.PRICE_FIRST, C.PRICE_SECOND, C.VOLUME_FIRST]
+    src_df = mv.select(*[F.col(f"`{c}`") for c in cols]).repartition(4)
+    path = str(tmp_path / "auction")
+    src.write_market_file(src_df, path, {C.PRICE_FIRST: "GBP/MWh", C.PRICE_SECOND: "GBP/MWh", C.VOLUME_FIRST: "MW"})
+    raw = src.load_auction_data(spark, path)
+    assert len(raw.inputFiles()) >= 2
+    cleaned, rep = clean.clean_table(raw, auto_impute=False)
+    assert rep.original_rows == rep.final_rows == mv.count() and rep.duplicates_removed == 0
+    want = {tuple(r) for r in src_df.collect()}
+    assert {tuple(r) for r in cleaned.select(*[F.col(f"`{c}`") for c in cols]).collect()} == want
