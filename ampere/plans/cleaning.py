@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CleaningConfig, ImputationMethod
+from ..config import CleaningConfig
 from ..operators import clean
 from ..operators.series import Fill, Rolling, apply_series
 from ..sources.driver_tables import table
