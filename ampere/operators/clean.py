@@ -400,3 +400,25 @@ def clean_table(df: DataFrame, auto_impute: bool = True, date_column: str = C.DA
     if report:
         rep = CleaningReport(original, df.count(), converted, filled, {}, int(removed or 0), [], methods)
     return df, rep
+
+
+def clean_auction_data(df: DataFrame, auto_impute: bool = True, cfg: CleaningConfig = CleaningConfig(),
+                       **kw) -> tuple[DataFrame, CleaningReport | None]:
+    """C8 under its familiar name."""
+    return clean_table(df, auto_impute, cfg=cfg, **kw)
+
+
+def clean_forecast_data(df: DataFrame, auto_impute: bool = True, cfg: CleaningConfig = CleaningConfig(),
+                        **kw) -> tuple[DataFrame, CleaningReport | None]:
+    """The same steps as the auction table."""
+    return clean_table(df, auto_impute, cfg=cfg, **kw)
+
+
+def clean_system_prices(df: DataFrame, auto_impute: bool = True, cfg: CleaningConfig = CleaningConfig(),
+                        **kw) -> tuple[DataFrame, CleaningReport | None]:
+    """The same steps as the auction table."""
+    return clean_table(df, auto_impute, cfg=cfg, **kw)
+
+
+get_missing_value_stats = missing_value_stats
+calculate_data_quality_score = data_quality_score

@@ -172,3 +172,15 @@ def spread_summary(df: DataFrame, first: str, second: str, threshold: float = 10
         F.count_if((d >= -threshold) & (d <= threshold)).alias("inside"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+def run_backtest(df: DataFrame, forecast_first: str, forecast_second: str, actual_first: str,
+                 actual_second: str, s: Series, cfg: TradingConfig = TradingConfig(),
+                 label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """B3 end to end: per-row actions, profits and running profit in series
+    order, plus the one-row totals (win rate in percent)."""
+    keep = [*s.keys, *s.order_by]
+    rows = backtest_rows(df, forecast_first, forecast_second, actual_first, actual_second, cfg, keep)
+    if label is not None:
+        rows = rows.withColumn("label", F.lit(label))
+    return cumulative_profit(rows, s), backtest_totals(rows, ["label"] if label is not None else [])

@@ -252,3 +252,12 @@ def test_market_file_roundtrip_many_files(spark, tmp_path):
     assert rep.original_rows == rep.final_rows == mv.count() and rep.duplicates_removed == 0
     want = {tuple(r) for r in src_df.collect()}
     assert {tuple(r) for r in cleaned.select(*[F.col(f"`{c}`") for c in cols]).collect()} == want
+
+
+def test_run_backtest_end_to_end(spark):
+    df = spark.createDataFrame([(TS(2024, 1, 1, h), a, b) for h, (a, b) in enumerate(
+        [(10.0, 30.0), (30.0, 10.0), (10.0, 15.0)])], "ts timestamp_ntz, a double, b double")
+    rows, totals = trade.run_backtest(df, "a", "b", "a", "b", Series(order_by=("ts",)), label="Oracle")
+    assert _col(rows, "cumulative_profit") == [100.0, 200.0, 200.0]
+    t = totals.first()
+    assert (t.label, t.total_profit, t.total_trades, t.win_rate) == ("Oracle", 200.0, 2, 100.0)
