@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..config import CleaningConfig, ImputationMethod
 from ..functions.scalar import lenient_double, parse_timestamp
+from ..session import ensure_checkpoint_dir
 from .series import Fill, Rolling, Series, apply_series
 
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
@@ -295,10 +296,17 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None = None,
                         auto_select_method: bool = True, cfg: CleaningConfig = CleaningConfig(),
-                        methods: dict | None = None) -> tuple[DataFrame, dict[str, str]]:
+                        methods: dict | None = None, materialize: bool = True) -> tuple[DataFrame, dict[str, str]]:
     """Impute every numeric column that has nulls, each with the chosen
     (or default, or given) method, all in one shared framing. Returns the
-    filled frame and the method used per column."""
+    filled frame and the method used per column.
+
+    The null counts, the method scores and the ranking each read the input;
+    ``materialize`` writes it once to the checkpoint folder first so an
+    expensive upstream (parsing, aggregation) runs once."""
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     if columns is None:
         columns = numeric_columns(df, exclude=[*s.keys, *s.order_by])
     columns = [c for c in columns if c in df.columns]
@@ -386,11 +394,16 @@ def clean_table(df: DataFrame, auto_impute: bool = True, date_column: str = C.DA
     methods: dict = {}
     filled: dict = {}
     if auto_impute and has_date:
+        # imputation makes data-dependent decisions (null counts, method
+        # scores, ranking); write the parsed, de-duplicated table once so
+        # each of them reads it instead of re-reading and re-parsing the files
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
         s = Series(order_by=(date_column,), block_rows=block_rows)
         before = None
         if report:
             before = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in numeric_columns(df, [date_column])]).first()
-        df, methods = fill_missing_values(df, s, cfg=cfg)
+        df, methods = fill_missing_values(df, s, cfg=cfg, materialize=False)
         if report and methods:
             after = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in methods]).first()
             filled = {c: int(before[c] - after[c]) for c in methods}

@@ -119,12 +119,17 @@ def imputation_scores(spark, sf):
     return clean.imputation_scores(mv(spark, sf), IMPUTE_COLUMNS, MARKET_SERIES, CFG)
 
 
-CHOICE_SQL = f"""
+def choice_sql(columns) -> str:
+    return f"""
   SELECT c.column_name, COALESCE(b.method, '{CFG.default_imputation.value}') AS method,
          COALESCE(b.rmse, CAST('inf' AS DOUBLE)) AS rmse
-  FROM (SELECT UNNEST([{', '.join(f"'{c}'" for c in IMPUTE_COLUMNS)}]) AS column_name) c
+  FROM (SELECT UNNEST([{', '.join(f"'{c}'" for c in columns)}]) AS column_name) c
   LEFT JOIN (SELECT column_name, arg_min(method, (rmse, position)) AS method, MIN(rmse) AS rmse
-             FROM ({SCORES_SQL}) z WHERE rmse IS NOT NULL GROUP BY column_name) b ON b.column_name = c.column_name"""
+             FROM ({scores_sql(columns)}) z WHERE rmse IS NOT NULL GROUP BY column_name) b
+  ON b.column_name = c.column_name"""
+
+
+CHOICE_SQL = choice_sql(IMPUTE_COLUMNS)
 
 
 @register("best_imputation", sql_with_mv(CHOICE_SQL), rounded=["rmse"])
@@ -134,12 +139,14 @@ def best_imputation(spark, sf):
                                    IMPUTE_COLUMNS, CFG)
 
 
-def _filled_sql() -> str:
+def filled_sql(columns=MARKET_COLUMNS, impute=IMPUTE_COLUMNS) -> str:
+    """Each imputed column filled with the method its scores choose (a
+    column without nulls is unchanged by any method)."""
     cols = []
-    for c in MARKET_COLUMNS:
+    for c in columns:
         if c == D:
             cols.append(QD)
-        elif c in IMPUTE_COLUMNS:
+        elif c in impute:
             cases = " ".join(f"WHEN '{m}' THEN {fill_sql(c, m, MV_ORDER, '__i')}"
                              for m in ["rolling_median", "rolling_mean", "forward_fill", "interpolate_linear"])
             cols.append(f"CASE (SELECT method FROM choice WHERE column_name = '{c}') {cases} END AS {c}")
@@ -148,7 +155,7 @@ def _filled_sql() -> str:
     return (f"SELECT {', '.join(cols)} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {MV_ORDER}) - 1 AS __i FROM mv) x")
 
 
-@register("fill_missing", sql_with_mv(_filled_sql(), f"choice AS ({CHOICE_SQL})"), rounded=IMPUTE_COLUMNS)
+@register("fill_missing", sql_with_mv(filled_sql(), f"choice AS ({CHOICE_SQL})"), rounded=IMPUTE_COLUMNS)
 def fill_missing(spark, sf):
     """Every price column imputed with its chosen method in one framing
     (volumes are counts and have no nulls)."""

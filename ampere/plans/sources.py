@@ -11,6 +11,7 @@ from ..operators.features import merge_datasets
 from ..session import ensure_checkpoint_dir
 from ..sources import csv as src
 from ..sources.driver_tables import table
+from .cleaning import choice_sql, filled_sql
 from .common import QD, D, F1, P1, P2, SH, SL, SP, V1, V2, mv, sql_with_mv
 from .registry import register
 
@@ -46,6 +47,18 @@ def csv_roundtrip_clean(spark, sf):
     return cleaned
 
 
+AUCTION_NUMERIC = [P1, P2, V1, V2, F1]
+
+
+@register("csv_clean_imputed", sql_with_mv(filled_sql(AUCTION, AUCTION_NUMERIC),
+                                           f"choice AS ({choice_sql(AUCTION_NUMERIC)})"), rounded=AUCTION_NUMERIC)
+def csv_clean_imputed(spark, sf):
+    """C8 end to end on the market file: parse, convert, keep the first row
+    per stamp, choose and apply an imputation per column, sort."""
+    cleaned, _ = clean.clean_table(_roundtrip(spark, sf), auto_impute=True, report=False)
+    return cleaned
+
+
 @register("csv_units_row", sql_with_mv("SELECT COUNT(*) AS data_rows FROM mv"))
 def csv_units_row(spark, sf):
     """Exactly the data rows survive the units-row filter."""
