@@ -386,19 +386,20 @@ def clean_table(df: DataFrame, auto_impute: bool = True, date_column: str = C.DA
     if has_date:
         df = parse_datetime(df, date_column, cfg=cfg)
     df, converted = convert_to_numeric(df, date_column=date_column)
-    removed = 0
     if remove_dupes:
-        df, removed = remove_duplicates(df, [date_column] if has_date else None, "first", ingest, count=report)
+        df, _ = remove_duplicates(df, [date_column] if has_date else None, "first", ingest, count=False)
     if INGEST_ORDER in df.columns:
         df = df.drop(INGEST_ORDER)
+    if report or (auto_impute and has_date):
+        # the report counts and the imputation choices (null counts, method
+        # scores, ranking) are data-dependent; write the parsed,
+        # de-duplicated table once so each reads it instead of re-parsing
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    deduped = df.count() if report else None
     methods: dict = {}
     filled: dict = {}
     if auto_impute and has_date:
-        # imputation makes data-dependent decisions (null counts, method
-        # scores, ranking); write the parsed, de-duplicated table once so
-        # each of them reads it instead of re-reading and re-parsing the files
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
         s = Series(order_by=(date_column,), block_rows=block_rows)
         before = None
         if report:
@@ -411,7 +412,8 @@ def clean_table(df: DataFrame, auto_impute: bool = True, date_column: str = C.DA
         df = df.orderBy(q(date_column).asc_nulls_first())
     rep = None
     if report:
-        rep = CleaningReport(original, df.count(), converted, filled, {}, int(removed or 0), [], methods)
+        removed = (original - deduped) if remove_dupes else 0
+        rep = CleaningReport(original, deduped, converted, filled, {}, int(removed), [], methods)
     return df, rep
 
 
