@@ -261,3 +261,17 @@ def test_run_backtest_end_to_end(spark):
     assert _col(rows, "cumulative_profit") == [100.0, 200.0, 200.0]
     t = totals.first()
     assert (t.label, t.total_profit, t.total_trades, t.win_rate) == ("Oracle", 200.0, 2, 100.0)
+
+
+def test_properties_on_market_view(spark):
+    from ampere.sources.driver_tables import market_view, table
+
+    mv = market_view(table(spark, "/root/testdata/sf0.01", "events"))
+    sig = trade.with_signals(mv.where(F.col(C.PRICE_FIRST).isNotNull() & F.col(C.PRICE_SECOND).isNotNull()),
+                             C.PRICE_FIRST, C.PRICE_SECOND)
+    d = F.abs(F.col(C.PRICE_SECOND) - F.col(C.PRICE_FIRST))
+    assert sig.where((F.col("action") == "hold") != (d <= 10.0)).count() == 0  # hold iff |d| <= t
+    rows = trade.oracle_backtest(mv, C.PRICE_FIRST, C.PRICE_SECOND, keep=[C.DATE_COLUMN])
+    cum = trade.cumulative_profit(rows, Series(order_by=(C.DATE_COLUMN,), block_rows=64))
+    last = cum.orderBy(F.col(f"`{C.DATE_COLUMN}`").desc()).first()["cumulative_profit"]
+    assert last == pytest.approx(trade.backtest_totals(rows).first()["total_profit"], rel=1e-12)
