@@ -275,3 +275,35 @@ def test_properties_on_market_view(spark):
     cum = trade.cumulative_profit(rows, Series(order_by=(C.DATE_COLUMN,), block_rows=64))
     last = cum.orderBy(F.col(f"`{C.DATE_COLUMN}`").desc()).first()["cumulative_profit"]
     assert last == pytest.approx(trade.backtest_totals(rows).first()["total_profit"], rel=1e-12)
+
+
+def test_dedupe_order_independent(spark):
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    a, _ = clean.remove_duplicates(o, ["o_custkey", "o_orderdate"], "first", ["o_orderkey"], count=False)
+    b, _ = clean.remove_duplicates(o.repartition(7, F.rand(11)), ["o_custkey", "o_orderdate"], "first",
+                                   ["o_orderkey"], count=False)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_lenient_numbers_match_python_rule(spark):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    rule = re.compile(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+
+    def py(s):
+        t = s.replace(",", ".", 1)
+        return float(t) if rule.match(t) else None
+
+    alphabet = st.sampled_from(list("0123456789,.-+eE dx"))
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.text(alphabet, min_size=0, max_size=8), min_size=20, max_size=60))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "s string")
+        got = [r[0] for r in df.select(lenient_double("s")).collect()]
+        assert got == [py(v) for v in values]
+
+    check()
