@@ -156,8 +156,9 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep:
                       order_by: Sequence[str] | None = None, count: bool = True) -> tuple[DataFrame, int | None]:
     """A10: one row per key. ``first``/``last`` keep the row with the
     smallest/largest ``order_by`` value; any other ``keep`` drops every key
-    that occurs more than once. Planned as a hash aggregation with a map-side
-    partial step, so a hot key is combined before the shuffle."""
+    that occurs more than once. Planned as an aggregation with a map-side
+    partial step (sort-based for the row struct, so it spills), so a hot key
+    is combined before the shuffle."""
     cols = list(df.columns)
     subset = list(subset) if subset else cols
     others = [c for c in cols if c not in subset]
