@@ -275,3 +275,12 @@ def first_models(metrics: DataFrame, models: list[str], k: int = 4, model: str =
 def first_columns(df: DataFrame, k: int) -> list[str]:
     """T5: the first ``k`` column names (metadata only)."""
     return list(df.columns)[:k]
+
+
+def price_distribution(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
+    """V2: one equal-width histogram per price column, from one unpivot and
+    one grouped histogram (rows: series, bin, lower, upper, count)."""
+    cols = [c for c in (columns or (C.PRICE_FIRST, C.PRICE_SECOND, C.FORECAST_FIRST)) if c in df.columns]
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("series"), q(c).cast("double").alias("value"))
+                                        for c in cols])))
+    return histogram(long, "value", bins, group_by=["series"])

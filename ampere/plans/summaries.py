@@ -111,3 +111,20 @@ def residual_histogram(spark, sf):
     """50-bin residual histogram per model."""
     f = _forecasts(spark, sf)
     return stats.histogram(f, "r", 50, expr=F.col("actual") - F.col("predicted"), group_by=["model"])
+
+
+def _dist_sql() -> str:
+    longs = " UNION ALL ".join(f"SELECT '{c}' AS series, {c} AS value FROM mv" for c in (P1, P2, F1))
+    return f"""
+  SELECT series, bin, lo + (bin - 1) * w AS lower, lo + bin * w AS upper, count FROM (
+    SELECT series, CASE WHEN hi = lo THEN 1 ELSE CAST(LEAST(FLOOR((value - lo) / (hi - lo) * 50) + 1, 50) AS BIGINT)
+           END AS bin, lo, (hi - lo) / 50 AS w, COUNT(*) AS count
+    FROM ({longs}) l JOIN (SELECT series AS s2, MIN(value) AS lo, MAX(value) AS hi FROM ({longs}) x
+                           WHERE value IS NOT NULL GROUP BY 1) g ON g.s2 = l.series
+    WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4) b"""
+
+
+@register("price_distribution", sql_with_mv(_dist_sql()), rounded=["lower", "upper"])
+def price_distribution(spark, sf):
+    """V2: 50-bin histograms of the first, second and forecast price."""
+    return stats.price_distribution(mv(spark, sf), [P1, P2, F1])
