@@ -203,3 +203,22 @@ def importance_topk(spark, sf):
     data, names = _training_frame(spark, sf)
     r = ml.train(data, names, TARGET, MARKET_SERIES, ModelType.RANDOM_FOREST, True, None, CFG)
     return stats.top_n(ml.importance_frame(spark, r.feature_importance), "importance", 15, "feature")
+
+
+@register("model_backtest")
+def model_backtest(spark, sf):
+    """B5/B6 with a trained model: the linear model's test-set predictions of
+    the second price drive the ratio-proxy backtest; the oracle on the same
+    hours is the comparison row."""
+    from ..config import TradingConfig
+    from ..operators import trade
+
+    data, names = _training_frame(spark, sf)
+    r = ml.train(data, names, TARGET, MARKET_SERIES, ModelType.LINEAR_REGRESSION, True, None, CFG)
+    pred = r.predictions
+    cfg = TradingConfig()
+    model_rows = trade.ratio_proxy_backtest(pred, "prediction", "label", 0.95, cfg).withColumn(
+        "label", F.lit(ModelType.LINEAR_REGRESSION.value))
+    oracle_rows = trade.ratio_proxy_backtest(pred, "label", "label", 0.95, cfg).withColumn(
+        "label", F.lit("Oracle (Perfect)"))
+    return trade.compare_strategies(model_rows.unionByName(oracle_rows))
