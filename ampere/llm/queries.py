@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampere.llm import decontamination, fingerprints, ngram_join, packing, sharding, substring_dedup, toxicity
+from ampere.llm import decontamination, extraction, fingerprints, ngram_join, packing, sharding, substring_dedup, toxicity
 from ampere.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op1_gear_chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_ratio_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
