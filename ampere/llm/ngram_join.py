@@ -86,14 +86,16 @@ def split(tokens: np.ndarray, nodes: np.ndarray, limit: np.uint64) -> tuple[np.n
 @dataclass(frozen=True)
 class JoinParams:
     """``small``: a bucket of more sets is split again, up to ``levels``
-    times; ``block``: sets per side of a brute-forced block; ``recall``: the
-    chance that a pair at the threshold meets in some bucket."""
+    times; ``sketch_block``, ``block``: sets per side of a block compared by
+    sketches and exactly; ``recall``: the chance that a pair at the threshold
+    meets in some bucket."""
 
     words: int = 5
     threshold: float = 0.8
     recall: float = 0.99
     levels: int = 3
     small: int = 256
+    sketch_block: int = 4096
     block: int = 512
 
     @property
@@ -301,7 +303,8 @@ def exact_links(docs: DataFrame, members: DataFrame, p: JoinParams) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets[kept]), pa.array(sets[label[kept]]), pa.array(links[kept])], ["set", "label", "links"])
 
-    rows = (docs.select(F.col("doc_id").cast("long").alias("set"), "text").join(members, "set")
+    # always a merge join: the members grow with the corpus, so the plan is the same at every size
+    rows = (docs.select(F.col("doc_id").cast("long").alias("set"), "text").join(members.hint("merge"), "set")
             .select("set", "component", "c", "text")
             .mapInArrow(tokens, "set long, component long, c long, tokens binary"))
     rows = in_blocks(rows, "component", "c", p.block)
@@ -327,7 +330,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
         F.count("*").alias("copies"), F.min(F.struct("doc_id", *first)).alias("r"))
     sets = staged(sets.select("digest", "copies", F.col("r.doc_id").alias("set"), *[F.col(f"r.{c}") for c in first]), "join-sets")
     found = buckets(sets, p).join(sets.select("set", "n", "sketch"), "set")
-    edges = loose_edges(in_blocks(found, "path", "c", p.block), p)
+    edges = loose_edges(in_blocks(found, "path", "c", p.sketch_block), p)
     loose = connected_components(edges)
     sizes = loose.groupBy("component").agg(F.count("*").alias("c"))
     members = loose.withColumnRenamed("node", "set").join(sizes, "component")
