@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampere.llm import decontamination, extraction, fingerprints, ngram_join, packing, sharding, substring_dedup, toxicity
+from ampere.llm import (decontamination, extraction, fingerprints, ngram_join, packing, pii, sharding,
+                        substring_dedup, toxicity)
 from ampere.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,8 @@ def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ratio_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
