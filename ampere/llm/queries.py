@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ampere.llm import (decontamination, extraction, fingerprints, ngram_join, packing, pii, sharding,
+from ampere.llm import (decontamination, extraction, fingerprints, licenses, ngram_join, packing, pii, sharding,
                         substring_dedup, toxicity)
 from ampere.llm.tables import table
 
@@ -71,3 +72,11 @@ def op7_ratio_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_license_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", "lang", shelf, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.withColumn("path", path))
