@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: NgramSpace = NgramSpace(), ma
     vectors = CountVectorizerModel.from_vocabulary([str(f) for f in features], "grams", "present")
     scale = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="present", outputCol="features")
     train = scale.transform(vectors.transform(train)).select("label", "weight", "features")
-    train = train.repartition(4).cache()  # bounded; narrow; recomputable from the staged rows
+    train = train.cache()  # bounded; narrow; recomputable from the staged rows
     fitted = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                                 weightCol="weight").fit(train)
     train.unpersist()
@@ -216,5 +216,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject."""
-    return score_documents(docs.select(*docs.columns), labels, **params).where("predicted = 0").select(*docs.columns)
+    """Rows of ``docs`` that the classifier does not reject, all columns."""
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))), **params)
+    return docs.where(model.score_column(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
