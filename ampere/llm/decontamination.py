@@ -37,7 +37,9 @@ class RetrievalParams:
     lcs_with_answer: float = 0.6
     answer: int = 8  # last words of a passage, taken as its answer
     answer_share: float = 0.75
-    stop_share: float = 0.05  # words in more documents than this weigh nothing
+    #: words in more documents and in more passages than this weigh nothing; those of a
+    #: passage that many documents repeat are common in documents only, and still count
+    stop_share: float = 0.05
     passages_at_once: int = 20_000  # more are worked off in turns
 
 
@@ -242,8 +244,9 @@ def build_index(docs: DataFrame, found: DataFrame, p: RetrievalParams) -> Latent
     words = [np.frombuffer(r["words"], np.uint64) for r in rows]
     features = np.unique(np.concatenate([_feature(w, p.bits) for w in words]))
     n, df = document_frequencies(docs, features, p)
-    idf = np.where(df <= max(1.0, p.stop_share * n), np.log((1.0 + n) / (1.0 + df)), 0.0).astype(np.float32)
-    idf = np.maximum(idf, 0)
+    held = np.bincount(np.searchsorted(features, np.concatenate([np.unique(_feature(w, p.bits)) for w in words])))
+    stop = (df > p.stop_share * n) & (held > max(2.0, p.stop_share * len(words)))
+    idf = np.where(stop, 0.0, np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((features, idf))  # at most 2^bits numbers each
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

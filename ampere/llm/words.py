@@ -54,7 +54,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     for i in range(int(np.searchsorted(-size[order], -_LONG, side="left"))):  # longer words: their later bytes too
         rest = data[at[i] + _LONG : at[i] + size[order[i]]]
         powers = np.full(len(rest), 0x9E3779B97F4A7C15, np.uint64).cumprod(dtype=np.uint64)
-        by_size[i] += (rest * powers).sum(dtype=np.uint64)
+        by_size[i : i + 1] += (rest * powers).sum(dtype=np.uint64)
     h[order] = by_size
     return mix64(h), np.searchsorted(offsets, start, side="right") - 1
 
