@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass, field
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,46 +79,83 @@ def fold_column(pos: Column, n: int, k: int) -> Column:
 # -------------------------------------------------------------- estimators
 
 
-@dataclass(frozen=True)
-class RandomFeatures:
-    """M9: fixed random projection of the scaled features, z = g(W x + b).
+class RandomFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """M9: fixed random projection of a vector column, z = g(W x + b).
 
     ``cos`` with W ~ N(0, gamma) and b ~ U(0, 2 pi) approximates an RBF kernel
     (random Fourier features, Rahimi & Recht 2007); ``relu`` gives one
-    hidden layer with fixed weights. Applied per Arrow batch on executors.
+    hidden layer with fixed weights. A pipeline stage: weights follow from
+    its parameters, so it saves, loads and predicts like any other. Applied
+    per Arrow batch on executors.
     """
 
-    n_in: int
-    n_out: int
-    kind: str = "cos"
-    gamma: float = 1.0
-    seed: int = 42
+    nOut = Param(Params._dummy(), "nOut", "number of random features", TypeConverters.toInt)
+    kind = Param(Params._dummy(), "kind", "cos or relu", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "kernel width (cos)", TypeConverters.toFloat)
 
-    def weights(self):
-        rng = np.random.default_rng(self.seed)
-        w = rng.normal(0.0, math.sqrt(2 * self.gamma) if self.kind == "cos" else math.sqrt(2.0 / self.n_in),
-                       size=(self.n_in, self.n_out))
-        b = rng.uniform(0, 2 * math.pi, size=self.n_out) if self.kind == "cos" else np.zeros(self.n_out)
-        return w, b
+    def __init__(self, n_out: int = 256, kind: str = "cos", gamma: float = 1.0, seed: int = 42,
+                 in_col: str = FEATURES, out_col: str = "random_features"):
+        super().__init__()
+        self._set(nOut=n_out, kind=kind, gamma=gamma, seed=seed, inputCol=in_col, outputCol=out_col)
 
-    def transform(self, df: DataFrame, in_col: str, out_col: str) -> DataFrame:
-        w, b = self.weights()
-        kind, scale = self.kind, math.sqrt(2.0 / self.n_out)
+    def _transform(self, df: DataFrame) -> DataFrame:
+        n_out, kind, gamma = (self.getOrDefault(p) for p in (self.nOut, self.kind, self.gamma))
+        seed, scale = self.getSeed(), math.sqrt(2.0 / n_out)
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def project(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, w.shape[0]))
+            if not len(x):
+                return pd.Series([], dtype=object)
+            m = np.vstack(x.to_numpy())
+            rng = np.random.default_rng(seed)
+            spread = math.sqrt(2 * gamma) if kind == "cos" else math.sqrt(2.0 / m.shape[1])
+            w = rng.normal(0.0, spread, size=(m.shape[1], n_out))
+            b = rng.uniform(0, 2 * math.pi, size=n_out) if kind == "cos" else np.zeros(n_out)
             z = m @ w + b
-            z = scale * np.cos(z) if kind == "cos" else np.maximum(z, 0.0)
-            return pd.Series(list(z))
+            return pd.Series(list(scale * np.cos(z) if kind == "cos" else np.maximum(z, 0.0)))
 
-        return df.withColumn(out_col, array_to_vector(project(vector_to_array(F.col(in_col)))))
+        return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
+
+
+class LookbackVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The vectors of the previous ``lookback`` rows in series
+    order, flattened; rows without that many predecessors are dropped. It
+    works on whichever rows it is given, so the first rows of a train, test
+    or prediction frame are lost, as in the reference."""
+
+    lookback = Param(Params._dummy(), "lookback", "rows looked back", TypeConverters.toInt)
+    orderBy = Param(Params._dummy(), "orderBy", "columns that order the series", TypeConverters.toListString)
+
+    def __init__(self, lookback: int = 10, order_by: Sequence[str] = (), in_col: str = FEATURES, out_col: str = "lookback"):
+        super().__init__()
+        self._set(lookback=lookback, orderBy=list(order_by), inputCol=in_col, outputCol=out_col)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        x = df.withColumn("__row", vector_to_array(F.col(self.getInputCol())))
+        s = Series(order_by=tuple(self.getOrDefault(self.orderBy)))
+        x = apply_series(x, s, [Lookback(("__row",), self.getOrDefault(self.lookback), "__rows")])
+        flat = F.flatten(F.transform(F.col("__rows"), lambda r: r["__row"]))
+        x = x.where(F.col("__rows").isNotNull())
+        return x.withColumn(self.getOutputCol(), array_to_vector(flat)).drop("__row", "__rows")
+
+
+def model_type_of(model_type: ModelType | str) -> ModelType:
+    """M8: an unlisted type falls back to linear regression, with a warning."""
+    try:
+        return ModelType(model_type)
+    except ValueError:
+        warnings.warn(f"unknown model type {model_type!r}: linear regression is used", stacklevel=3)
+        return ModelType.LINEAR_REGRESSION
 
 
 def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig(), features: str = SCALED,
-                   label: str = "label"):
-    """M3-M8 (M9/M10 handled in ``train``): the reference's hyper-parameters."""
-    m = ModelType(model_type)
+                   label: str = "label", label_std: float = 1.0):
+    """The regressor of a slot with the reference's hyper-parameters.
+
+    Elastic net: Spark works on the label divided by its standard deviation,
+    which leaves the absolute part as stated and weakens the squared part by
+    that factor; ``label_std`` of the training rows puts it back."""
+    m = model_type_of(model_type)
     common = dict(featuresCol=features, labelCol=label, predictionCol=PRED)
     if m is ModelType.RANDOM_FOREST:
         return RandomForestRegressor(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth,
@@ -123,8 +164,11 @@ def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig()
         return GBTRegressor(maxIter=cfg.boost_iters, maxDepth=cfg.boost_depth, stepSize=cfg.boost_step,
                             seed=cfg.seed, **common)
     if m is ModelType.ELASTIC_NET:
-        return LinearRegression(regParam=cfg.elastic_alpha, elasticNetParam=cfg.elastic_l1_ratio,
-                                standardization=False, **common)
+        absolute = cfg.elastic_alpha * cfg.elastic_l1_ratio
+        squared = cfg.elastic_alpha * (1 - cfg.elastic_l1_ratio) * label_std
+        total = absolute + squared
+        return LinearRegression(regParam=total, elasticNetParam=absolute / total if total else 0.0,
+                                standardization=False, maxIter=500, tol=1e-10, **common)
     if m is ModelType.SVR:
         return LinearRegression(loss="huber", regParam=0.0, **common)
     if m is ModelType.MLP:
@@ -132,6 +176,33 @@ def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig()
     return LinearRegression(regParam=0.0, solver="normal", **common)
 
 
+def model_pipeline(model_type: ModelType | str, names: Sequence[str], s: Series, scaled: bool,
+                   cfg: ModelConfig = ModelConfig(), label_std: float = 1.0) -> Pipeline:
+    """The whole pipeline of a slot: the one builder behind ``train``,
+    ``predict``, save/load and ``cross_validate``."""
+    m = model_type_of(model_type)
+    stages: list = [VectorAssembler(inputCols=list(names), outputCol=FEATURES, handleInvalid="error")]
+    feat = FEATURES
+    if scaled:
+        stages.append(StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True, withStd=True))
+        feat = SCALED
+    if m in (ModelType.SVR, ModelType.MLP):
+        stages.append(RandomFeatures(cfg.random_features, "cos" if m is ModelType.SVR else "relu",
+                                     1.0 / max(1, len(names)), cfg.seed, feat))
+        feat = stages[-1].getOutputCol()
+    elif m is ModelType.LSTM:
+        stages.append(LookbackVector(cfg.lookback, s.order_by, feat))
+        feat = stages[-1].getOutputCol()
+    return Pipeline(stages=[*stages, make_regressor(m, cfg, feat, label_std=label_std)])
+
+
+def _fit(model_type: ModelType, train_df: DataFrame, names: Sequence[str], s: Series, scaled: bool, cfg: ModelConfig) -> PipelineModel:
+    std = 1.0
+    if model_type is ModelType.ELASTIC_NET:
+        std = train_df.agg(F.stddev_pop("label")).first()[0] or 1.0
+    return model_pipeline(model_type, names, s, scaled, cfg, std).fit(train_df)
+
+
 # ------------------------------------------------------------------ metrics
 
 
@@ -207,96 +278,70 @@ def _importance(model: PipelineModel, names: list[str]) -> dict | None:
     return {n: float(v) for n, v in zip(names, vals)}
 
 
+def _model_frame(df: DataFrame, names: Sequence[str], target: str, s: Series, keep: Sequence[str] = ()) -> DataFrame:
+    """Order, kept and feature columns, the target as ``label``, and the row
+    position ``__pos`` (taken over where ``df`` has it already)."""
+    extra = [c for c in (*keep, *s.order_by) if c in df.columns and c not in names]
+    if "__pos" in df.columns:
+        extra.append("__pos")
+    data = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(extra)],
+                     *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
+                     F.col(f"`{target}`").cast("double").alias("label"))
+    return data if "__pos" in df.columns else add_position(data, s)
+
+
 def train(df: DataFrame, feature_names: Sequence[str], target: str, s: Series,
           model_type: ModelType | str = ModelType.LINEAR_REGRESSION, scale_features: bool = True,
           test_size: float | None = None, cfg: ModelConfig = ModelConfig(),
           keep: Sequence[str] = ()) -> TrainingResult:
     """Split -> (scale) -> fit -> predict -> metrics.
 
-    ``df`` holds complete rows (see ``prepare_training_data``). LSTM slot:
-    the features of the previous ``lookback`` rows, flattened, feed boosted
+    ``df`` holds complete rows (see ``prepare_training_data``). Runs jobs:
+    the row positions (unless ``df`` has ``__pos``), the fit and the metrics.
+    LSTM slot: the features of the previous ``lookback`` rows feed boosted
     trees; the first ``lookback`` rows of train and test are lost, as in the
     reference."""
-    m = ModelType(model_type)
+    m = model_type_of(model_type)
     names = list(feature_names)
-    t = cfg.test_size if test_size is None else test_size
     keep = [c for c in keep if c not in names and c != target]
-    data = df.select(*[F.col(f"`{c}`") for c in [*keep, *s.order_by] if c in df.columns and c not in names],
-                     *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
-                     F.col(f"`{target}`").cast("double").alias("label"))
-    train_df, test_df, n_train, n_test = chronological_split(data, s, t)
-    stages: list = [VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="error")]
-    feat = FEATURES
-    if scale_features:
-        stages.append(StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True, withStd=True))
-        feat = SCALED
-    if m is ModelType.LSTM:
-        return _train_lookback(train_df, test_df, names, s, stages, feat, cfg, m, keep)
-    if m in (ModelType.SVR, ModelType.MLP):
-        prep = Pipeline(stages=stages).fit(train_df)
-        rf = RandomFeatures(len(names), cfg.random_features, "cos" if m is ModelType.SVR else "relu",
-                            gamma=1.0 / max(1, len(names)), seed=cfg.seed)
-        tr = rf.transform(prep.transform(train_df), feat, "__rf")
-        te = rf.transform(prep.transform(test_df), feat, "__rf")
-        reg = make_regressor(m, cfg, "__rf").fit(tr)
-        pred = reg.transform(te)
-        model = PipelineModel(stages=[*prep.stages, reg])
-        metrics = evaluate(pred).first().asDict()
-        return TrainingResult(model, m, metrics, names, None, pred.select(*keep, *s.order_by, "label", PRED),
-                              {"n_train": n_train, "n_test": n_test, "random_features": rf.__dict__})
-    stages.append(make_regressor(m, cfg, feat))
-    model = Pipeline(stages=stages).fit(train_df)
+    data = _model_frame(df, names, target, s, keep)
+    train_df, test_df, n_train, n_test = chronological_split(data, s, cfg.test_size if test_size is None else test_size)
+    model = _fit(m, train_df, names, s, scale_features, cfg)
     pred = model.transform(test_df)
     metrics = evaluate(pred).first().asDict()
-    return TrainingResult(model, m, metrics, names, _importance(model, names),
-                          pred.select(*keep, *[c for c in s.order_by], "label", PRED),
-                          {"n_train": n_train, "n_test": n_test})
-
-
-def _train_lookback(train_df, test_df, names, s, stages, feat, cfg, m, keep):
-    prep = Pipeline(stages=stages).fit(train_df)
-    k = cfg.lookback
-
-    def seqs(x):
-        x = prep.transform(x).withColumn("__f", vector_to_array(F.col(feat)))
-        x = apply_series(x, s, [Lookback(("__f",), k, "__seq")])
-        x = x.where(F.col("__seq").isNotNull())
-        flat = F.flatten(F.transform(F.col("__seq"), lambda r: r["__f"]))
-        return x.withColumn("__lb", array_to_vector(flat))
-
-    tr, te = seqs(train_df), seqs(test_df)
-    reg = make_regressor(m, cfg, "__lb").fit(tr)
-    pred = reg.transform(te)
-    model = PipelineModel(stages=[*prep.stages, reg])
-    metrics = evaluate(pred).first().asDict()
-    return TrainingResult(model, m, metrics, names, None, pred.select(*keep, *s.order_by, "label", PRED),
-                          {"lookback": k})
+    shown = dict.fromkeys((*keep, *s.order_by, "label", PRED))
+    return TrainingResult(model, m, metrics, names, _importance(model, names), pred.select(*[F.col(f"`{c}`") for c in shown]),
+                          {"n_train": n_train, "n_test": n_test, "order_by": list(s.order_by)})
 
 
-def predict(result: TrainingResult, df: DataFrame) -> DataFrame:
-    """Apply a fitted pipeline (features must be present)."""
+def predict(result: TrainingResult, df: DataFrame, scale: bool = True) -> DataFrame:
+    """Apply a fitted pipeline (features must be present; the look-back
+    slot also needs the series' order columns). ``scale=False``: the features
+    are scaled already, so the fitted scaler is skipped."""
     if result.model is None:
         raise ValueError("Model not fitted. Call train() first.")
-    return result.model.transform(df)
+    for stage in result.model.stages:
+        if isinstance(stage, StandardScalerModel) and not scale:
+            df = df.withColumn(stage.getOutputCol(), F.col(stage.getInputCol()))
+        else:
+            df = stage.transform(df)
+    return df
 
 
 def cross_validate(df: DataFrame, feature_names: Sequence[str], target: str, s: Series,
-                   model_type: ModelType | str = ModelType.LINEAR_REGRESSION, cv: int = 5,
+                   model_type: ModelType | str = ModelType.LINEAR_REGRESSION, cv: int | None = None,
                    cfg: ModelConfig = ModelConfig()) -> dict:
-    """Contiguous unshuffled folds, unscaled; mean = sqrt(mean MSE),
-    std of per-fold RMSE (population)."""
-    names = list(feature_names)
-    data = add_position(df.select(*[F.col(f"`{c}`") for c in s.order_by],
-                                  *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
-                                  F.col(f"`{target}`").cast("double").alias("label")), s)
+    """Contiguous unshuffled folds, unscaled, every slot with its own
+    pipeline; mean = sqrt(mean MSE), std of per-fold RMSE (population)."""
+    m = model_type_of(model_type)
+    names, cv = list(feature_names), cfg.cv_folds if cv is None else cv
+    data = _model_frame(df, names, target, s)
     n = data.count()
     data = data.withColumn("__fold", fold_column(F.col("__pos"), n, cv)).cache()
     mses = []
     try:
         for k in range(1, cv + 1):
-            pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol=FEATURES),
-                                    make_regressor(model_type, cfg, FEATURES)])
-            model = pipe.fit(data.where(F.col("__fold") != k))
+            model = _fit(m, data.where(F.col("__fold") != k), names, s, False, cfg)
             p = model.transform(data.where(F.col("__fold") == k))
             mses.append(p.agg(F.avg((F.col("label") - F.col(PRED)) ** 2)).first()[0])
     finally:
@@ -311,24 +356,21 @@ def cross_validate(df: DataFrame, feature_names: Sequence[str], target: str, s:
 def train_all(df: DataFrame, feature_names: Sequence[str], target: str, s: Series,
               model_types: Sequence[ModelType | str] = tuple(ModelType), cfg: ModelConfig = ModelConfig(),
               test_size: float | None = None) -> tuple[dict, DataFrame]:
-    """Every model on one cached feature frame; a failure becomes a
-    status row with a 50-character message. Returns results and the metric
+    """Every model on one frame, positioned once; a failure becomes
+    a status row with a 50-character message. Returns results and the metric
     table (one row per model)."""
     spark = df.sparkSession
-    cached = df.cache()
+    placed = _model_frame(df, list(feature_names), target, s)
     results, rows = {}, []
-    try:
-        for mt in model_types:
-            m = ModelType(mt)
-            try:
-                r = train(cached, feature_names, target, s, m, True, test_size, cfg)
-                results[m.value] = r
-                mt_ = r.metrics
-                rows.append((m.value, "ok", mt_["rmse"], mt_["mae"], mt_["r2"], mt_["smape"], mt_["mape"], mt_["n"]))
-            except Exception as e:  # noqa: BLE001 - reported as a status row, like the reference
-                rows.append((m.value, f"error: {str(e)[:50]}", None, None, None, None, None, None))
-    finally:
-        cached.unpersist()
+    for mt in model_types:
+        m = model_type_of(mt)
+        try:
+            r = train(placed, feature_names, "label", s, m, True, test_size, cfg)
+            results[m.value] = r
+            mt_ = r.metrics
+            rows.append((m.value, "ok", mt_["rmse"], mt_["mae"], mt_["r2"], mt_["smape"], mt_["mape"], mt_["n"]))
+        except Exception as e:  # noqa: BLE001 - reported as a status row, like the reference
+            rows.append((m.value, f"error: {str(e)[:50]}", None, None, None, None, None, None))
     table = spark.createDataFrame(rows, "model string, status string, rmse double, mae double, r2 double, "
                                         "smape double, mape double, n long")
     return results, table
