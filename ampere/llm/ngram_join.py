@@ -94,8 +94,8 @@ class JoinParams:
     threshold: float = 0.8
     recall: float = 0.99
     levels: int = 3
-    small: int = 256
-    sketch_block: int = 4096
+    small: int = 8192
+    sketch_block: int = 8192
     block: int = 512
 
     @property
