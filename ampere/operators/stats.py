@@ -65,9 +65,9 @@ def residual_stats(df: DataFrame, actual: str, predicted: str, group_by: Sequenc
         F.min(r).alias("min_residual"), F.max(r).alias("max_residual"), F.count(r).alias("n"))
 
 
-def axis_range(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Common range of two series."""
-    return df.agg(F.least(F.min(q(a)), F.min(q(b))).alias("lo"), F.greatest(F.max(q(a)), F.max(q(b))).alias("hi"))
+def axis_range(df: DataFrame, a: str, b: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """Common range of two series (per group)."""
+    return df.groupBy(*group_by).agg(F.least(F.min(q(a)), F.min(q(b))).alias("lo"), F.greatest(F.max(q(a)), F.max(q(b))).alias("hi"))
 
 
 def bin_expr(c: Column, lo: float, hi: float, bins: int) -> Column:

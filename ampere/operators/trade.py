@@ -147,6 +147,16 @@ def ratio_proxy_backtest(df: DataFrame, predicted: str, actual: str, first_ratio
     return backtest_rows(x, "__ff", "__fs", "__af", "__as", cfg, keep)
 
 
+def model_backtest(df: DataFrame, predicted: str, actual: str, first: str | None = None, first_ratio: float = 0.95,
+                   cfg: TradingConfig = TradingConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """A model's forecast of the second price. ``first``: the column of
+    the real first price, known when the trade is placed; without it the
+    first price is ``first_ratio`` times the second (the reference's proxy)."""
+    if first is None:
+        return ratio_proxy_backtest(df, predicted, actual, first_ratio, cfg, keep)
+    return backtest_rows(df, first, predicted, first, actual, cfg, keep)
+
+
 def compare_strategies(labelled_rows: DataFrame) -> DataFrame:
     """One row per strategy label with totals and average profit per
     trade over max(1, trades)."""

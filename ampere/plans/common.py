@@ -3,10 +3,13 @@ lineitem series and their SQL twins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
 from ..operators.series import Series
+from ..session import delete_on_exit, ensure_checkpoint_dir
 from ..sources.driver_tables import LINEITEM_ORDER, market_view, market_view_sql, table
 
 D = C.DATE_COLUMN
@@ -36,3 +39,9 @@ def mv_cte() -> str:
 def sql_with_mv(body: str, *ctes: str) -> str:
     extra = "".join(f", {c}" for c in ctes)
     return f"WITH {mv_cte()}{extra} {body}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster); removed when the application ends."""
+    return delete_on_exit(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")

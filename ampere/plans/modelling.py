@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig, ModelType
 from ..operators import features as fe
 from ..operators import model as ml
-from ..operators import stats
-from ..operators.series import Lag, Rolling, apply_series
+from ..operators import stats, trade
+from ..operators.series import Lag, Rolling, Series, apply_series
 from ..sources.driver_tables import table
-from .common import EVENT_SERIES, MARKET_SERIES, QD, D, P1, P2, mv, sql_with_mv
-from .features import order_sql
+from .common import EVENT_SERIES, MARKET_COLUMNS, MARKET_SERIES, QD, D, P1, P2, mv, scratch, sql_with_mv
+from .features import (FEATURE_SET_ROUNDED, FEATURE_SET_SQL, LAGS, PRICE_COLS, SYSTEM_COLS, TRIG, VOLUME_COLS,
+                       order_sql, rolling_names)
 from .registry import register
+from .trading import rows_sql, totals_sql
 
 MV_ORDER = order_sql([QD])
 METRICS = ["rmse", "mae", "r2", "smape", "mape"]
@@ -91,9 +93,7 @@ def residual_stats(spark, sf):
   GREATEST(MAX(actual), MAX(predicted)) AS hi FROM ({PAIRS_SQL}) p GROUP BY model"""), rounded=["lo", "hi"])
 def axis_range(spark, sf):
     """Common axis range of actual and predicted, per model."""
-    f = _forecasts(spark, sf)
-    return f.groupBy("model").agg(F.least(F.min("actual"), F.min("predicted")).alias("lo"),
-                                  F.greatest(F.max("actual"), F.max("predicted")).alias("hi"))
+    return stats.axis_range(_forecasts(spark, sf), "actual", "predicted", ["model"])
 
 
 @register("best_model", sql_with_mv(f"""SELECT arg_min(model, (rmse, model)) AS best_rmse_model,
@@ -158,67 +158,175 @@ def split_sizes(spark, sf):
                                  F.lit(n_test).cast("long").alias("n_test"))
 
 
-@register("lookback_windows", sql_with_mv(f"""SELECT COUNT(*) AS n FROM (SELECT COUNT(*) OVER (ORDER BY {MV_ORDER}
-  ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS k FROM mv) t WHERE k = 10"""))
+@register("lookback_windows", sql_with_mv(f"""SELECT {QD}, {", ".join(f"LAG({c}, {11 - k}) OVER (ORDER BY {MV_ORDER}) AS {c}_{k}" for k in range(1, 11) for c in (P1, P2))}
+  FROM mv QUALIFY ROW_NUMBER() OVER (ORDER BY {MV_ORDER}) > 10"""))
 def lookback_windows(spark, sf):
-    """Rows that have a full 10-row look-back."""
+    """The previous 10 rows' prices, oldest first, where there are 10."""
     from ..operators.series import Lookback
 
     m = mv(spark, sf).select(F.col(f"`{D}`"), P1, P2)
-    x = apply_series(m, MARKET_SERIES, [Lookback((P1, P2), 10, "seq")])
-    return x.where(F.col("seq").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    x = apply_series(m, MARKET_SERIES, [Lookback((P1, P2), 10, "seq")]).where(F.col("seq").isNotNull())
+    return x.select(F.col(f"`{D}`"), *[F.col("seq")[k - 1][c].alias(f"{c}_{k}") for k in range(1, 11) for c in (P1, P2)])
 
 
 # ---------------------------------------------------------- trained models
 
 CFG = ModelConfig()
 TARGET = P2
+TIME_NAMES = ["hour", "day_of_week", "month", "day_of_month", "day_of_year", "week_of_year", *TRIG, "is_weekend"]
+ALL_NAMES = [*MARKET_COLUMNS, *TIME_NAMES, *PRICE_COLS, *VOLUME_COLS, *SYSTEM_COLS,
+             *[f"{c}_lag_{n}" for c in (P1, P2) for n in LAGS], *rolling_names(P1)]
+MODEL_NAMES = [n for n in fe.select_model_features(ALL_NAMES) if n != TARGET]
+
+
+def complete_sql(names, target=TARGET):
+    """Complete rows with their position ``i`` and number ``n``."""
+    keep = " AND ".join(f"{c} IS NOT NULL" for c in [*names, target])
+    return (f"SELECT {QD}, {target} AS actual, {', '.join(names)}, ROW_NUMBER() OVER (ORDER BY {MV_ORDER}) - 1 AS i, "
+            f"COUNT(*) OVER () AS n FROM ({FEATURE_SET_SQL}) fs WHERE {keep}")
+
+
+TEST_ROWS = "i >= n - CAST(CEIL(n * 0.2) AS BIGINT)"
+#: half of the rows test the look-back slot, which loses the first ten of them
+HALF_ROWS = "i >= n - CAST(CEIL(n * 0.5) AS BIGINT)"
 
 
 def _training_frame(spark, sf):
     fs = fe.create_feature_set(mv(spark, sf), MARKET_SERIES, target_column=TARGET)
-    names = fe.select_model_features(fs.features.columns)
-    names = [n for n in names if n != TARGET]
-    data, valid = fe.prepare_training_data(fs.features, names, TARGET)
-    return data, valid
+    names = [n for n in fe.select_model_features(fs.features.columns) if n != TARGET]
+    return fe.prepare_training_data(fs.features, names, TARGET)
+
+
+@register("training_rows", f"SELECT {QD}, {', '.join(MODEL_NAMES)}, actual AS {TARGET} FROM ({complete_sql(MODEL_NAMES)}) c",
+          rounded=[n for n in MODEL_NAMES if n in FEATURE_SET_ROUNDED])
+def training_rows(spark, sf):
+    """The selected features and target of the complete rows."""
+    data, names = _training_frame(spark, sf)
+    return data.select(F.col(f"`{D}`"), *names, TARGET)
 
 
 def _model_query(model_type: ModelType):
     def build(spark, sf):
+        """Train, save, load and predict; one row per
+        predicted test row: its actual, and whether the prediction is finite
+        and the same from the stored model."""
         data, names = _training_frame(spark, sf)
-        r = ml.train(data, names, TARGET, MARKET_SERIES, model_type, True, None, CFG)
-        row = [(model_type.value, *(r.metrics.get(k) for k in METRICS), r.metrics.get("n"))]
-        return spark.createDataFrame(row, "model string, rmse double, mae double, r2 double, smape double, "
-                                          "mape double, n long")
+        r = ml.train(data, names, TARGET, MARKET_SERIES, model_type, True, 0.5 if model_type is ModelType.LSTM else None, CFG)
+        path = scratch(spark, f"model-{model_type.value}")
+        r.save(path)
+        first = r.extra["n_train"]
+        test = ml.add_position(data, MARKET_SERIES).where(F.col("__pos") >= first)
+        again = ml.predict(ml.TrainingResult.load(path), test).select(F.col(f"`{D}`").alias("__d"), F.col(ml.PRED).alias("__again"))
+        same = F.abs(F.col(ml.PRED) - F.col("__again")) <= F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col(ml.PRED)))
+        joined = r.predictions.join(again, F.col(f"`{D}`") == F.col("__d"), "full")
+        return joined.select(F.lit(model_type.value).alias("model"), F.col(f"`{D}`"), F.col("label").alias("actual"),
+                             F.coalesce(same & ~F.isnan(ml.PRED), F.lit(False)).alias("reloads"))
     return build
 
 
 for _m in ModelType:
-    register(f"model_{_m.value}")(_model_query(_m))
+    _tested = HALF_ROWS.replace(">= n", f">= {CFG.lookback} + n") if _m is ModelType.LSTM else TEST_ROWS
+    register(f"model_{_m.value}", f"SELECT '{_m.value}' AS model, {QD}, actual, TRUE AS reloads "
+             f"FROM ({complete_sql(MODEL_NAMES)}) c WHERE {_tested}")(_model_query(_m))
+
+
+# one feature: the fitted line has a closed form, so metrics can be compared
+
+ONE = complete_sql([P1])
+TRAIN = f"SELECT actual AS y, {P1} AS x FROM ({ONE}) c WHERE NOT ({TEST_ROWS})"
+METRICS_SQL = """SQRT(AVG((y - p) * (y - p))) AS rmse, AVG(ABS(y - p)) AS mae,
+  1.0 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(y)) AS r2,
+  AVG(2.0 * ABS(p - y) / (ABS(y) + ABS(p) + CAST(1e-8 AS DOUBLE))) * 100 AS smape,
+  AVG(CASE WHEN y <> 0 THEN ABS((y - p) / y) END) * 100 AS mape, COUNT(y) AS n"""
+OLS_TEST = f"""SELECT {QD}, {P1}, actual AS y, b + a * {P1} AS p FROM ({ONE}) c
+  CROSS JOIN (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM ({TRAIN}) t) l WHERE {TEST_ROWS}"""
+
+
+def _one_feature(spark, sf, model_type, scaled=True):
+    fs = fe.create_feature_set(mv(spark, sf), MARKET_SERIES, target_column=TARGET).features.select(F.col(f"`{D}`"), P1, TARGET)
+    data, names = fe.prepare_training_data(fs, [P1], TARGET)
+    return ml.train(data, names, TARGET, MARKET_SERIES, model_type, scaled, None, CFG, keep=[])
+
+
+def _metric_row(spark, r):
+    return spark.createDataFrame([tuple(r.metrics[k] for k in (*METRICS, "n"))], ", ".join(f"{m} double" for m in METRICS) + ", n long")
+
+
+@register("model_ols_split", f"SELECT {METRICS_SQL} FROM ({OLS_TEST}) t", rounded=METRICS)
+def model_ols_split(spark, sf):
+    """Split, scaler, least squares and metrics of one feature."""
+    return _metric_row(spark, _one_feature(spark, sf, ModelType.LINEAR_REGRESSION))
+
+
+ENET_TEST = f"""SELECT actual AS y, my + w * ({P1} - mx) / sx AS p FROM ({ONE}) c CROSS JOIN (
+  SELECT mx, my, sx, SIGN(cov) * GREATEST(ABS(cov) - {CFG.elastic_alpha * CFG.elastic_l1_ratio}, 0)
+    / (vz + {CFG.elastic_alpha * (1 - CFG.elastic_l1_ratio)}) AS w
+  FROM (SELECT AVG(x) AS mx, AVG(y) AS my, STDDEV_SAMP(x) AS sx, COVAR_POP(x, y) / STDDEV_SAMP(x) AS cov,
+          VAR_POP(x) / VAR_SAMP(x) AS vz FROM ({TRAIN}) t) s) l WHERE {TEST_ROWS}"""
 
 
-@register("importance_topk")
+@register("model_elastic_net_closed", f"SELECT {METRICS_SQL} FROM ({ENET_TEST}) t", rounded=METRICS, digits=4)
+def model_elastic_net_closed(spark, sf):
+    """M7: elastic net of one feature against its closed form."""
+    return _metric_row(spark, _one_feature(spark, sf, ModelType.ELASTIC_NET))
+
+
+PLANTED = "5 * l_quantity + 400 * l_discount + 100 * l_tax"
+PLANTED_NAMES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("importance_topk", f"""SELECT feature, CAST(ROW_NUMBER() OVER (ORDER BY c DESC) AS BIGINT) AS place FROM (
+  {' UNION ALL '.join(f"SELECT '{n}' AS feature, ABS(corr({n}, {PLANTED})) AS c FROM lineitem" for n in PLANTED_NAMES)}) t
+  ORDER BY c DESC LIMIT 2""")
 def importance_topk(spark, sf):
-    """M17 + T3 / V6: 15 largest forest importances."""
-    data, names = _training_frame(spark, sf)
-    r = ml.train(data, names, TARGET, MARKET_SERIES, ModelType.RANDOM_FOREST, True, None, CFG)
-    return stats.top_n(ml.importance_frame(spark, r.feature_importance), "importance", 15, "feature")
+    """M4 + M17 + T3 / V6: the largest forest importances on a planted target."""
+    from pyspark.sql import Window
 
+    li = table(spark, sf, "lineitem").withColumn("planted", F.expr(PLANTED))
+    r = ml.train(li, PLANTED_NAMES, "planted", Series(order_by=("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")),
+                 ModelType.RANDOM_FOREST, True, None, ModelConfig(forest_trees=10, forest_depth=6))
+    top = stats.top_n(ml.importance_frame(spark, r.feature_importance), "importance", 2, "feature")
+    return top.select("feature", F.row_number().over(Window.orderBy(F.desc("importance"))).cast("long").alias("place"))
 
-@register("model_backtest")
-def model_backtest(spark, sf):
-    """B5/B6 with a trained model: the linear model's test-set predictions of
-    the second price drive the ratio-proxy backtest; the oracle on the same
-    hours is the comparison row."""
-    from ..config import TradingConfig
-    from ..operators import trade
 
-    data, names = _training_frame(spark, sf)
-    r = ml.train(data, names, TARGET, MARKET_SERIES, ModelType.LINEAR_REGRESSION, True, None, CFG)
-    pred = r.predictions
-    cfg = TradingConfig()
-    model_rows = trade.ratio_proxy_backtest(pred, "prediction", "label", 0.95, cfg).withColumn(
-        "label", F.lit(ModelType.LINEAR_REGRESSION.value))
-    oracle_rows = trade.ratio_proxy_backtest(pred, "label", "label", 0.95, cfg).withColumn(
-        "label", F.lit("Oracle (Perfect)"))
+@register("top_importances", f"""SELECT feature, importance FROM (
+  {' UNION ALL '.join(f"SELECT '{n}' AS feature, ABS(corr({n}, {PLANTED})) AS importance FROM lineitem" for n in PLANTED_NAMES)}) t
+  ORDER BY importance DESC, feature LIMIT 2""", rounded=["importance"])
+def top_importances(spark, sf):
+    """The n largest values of an importance table."""
+    li = table(spark, sf, "lineitem")
+    rows = li.agg(*[F.abs(F.corr(n, F.expr(PLANTED))).alias(n) for n in PLANTED_NAMES])
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("importance")) for n in PLANTED_NAMES])))
+    return stats.top_n(long, "importance", 2, "feature")
+
+
+@register("metric_rows", f"SELECT 'ok' AS status, {METRICS_SQL.replace('AS rmse', 'AS rmse, 1 AS models', 1)} FROM ({OLS_TEST}) t",
+          rounded=METRICS)
+def metric_rows(spark, sf):
+    """The accumulated metric table of ``train_all``."""
+    fs = fe.create_feature_set(mv(spark, sf), MARKET_SERIES, target_column=TARGET).features.select(F.col(f"`{D}`"), P1, TARGET)
+    data, names = fe.prepare_training_data(fs, [P1], TARGET)
+    _, t = ml.train_all(data, names, TARGET, MARKET_SERIES, [ModelType.LINEAR_REGRESSION], CFG)
+    return t.select("status", *METRICS, "n", F.lit(1).alias("models"))
+
+
+def _model_signals(forecast_second: str) -> str:
+    """B1/B3 of a forecast of the second price beside the real first price."""
+    return rows_sql(f"({OLS_TEST}) t", P1, forecast_second, P1, "y", QD)
+
+
+BACKTEST_SQL = f"""SELECT *, total_profit / CAST(GREATEST(total_trades, 1) AS DOUBLE) AS avg_profit_per_trade FROM ({totals_sql(
+    f"SELECT 'linear_regression' AS label, action, profit FROM ({_model_signals('p')}) a UNION ALL "
+    f"SELECT 'Oracle (Perfect)' AS label, action, profit FROM ({_model_signals('y')}) b", 'label')}) t"""
+
+
+@register("model_backtest", BACKTEST_SQL, rounded=["total_profit", "win_rate", "avg_profit_per_trade"])
+def model_backtest(spark, sf):
+    """B5/B6 with a trained model: its test-set forecasts of the second price
+    against the real first price; the oracle on the same hours beside it."""
+    r = _one_feature(spark, sf, ModelType.LINEAR_REGRESSION)
+    first = mv(spark, sf).select(F.col(f"`{D}`"), P1)
+    pred = r.predictions.join(first, on=D)
+    model_rows = trade.model_backtest(pred, ml.PRED, "label", first=P1).withColumn("label", F.lit("linear_regression"))
+    oracle_rows = trade.model_backtest(pred, "label", "label", first=P1).withColumn("label", F.lit("Oracle (Perfect)"))
     return trade.compare_strategies(model_rows.unionByName(oracle_rows))

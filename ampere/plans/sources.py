@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import clean, stats
 from ..operators.features import merge_datasets
-from ..session import ensure_checkpoint_dir
 from ..sources import csv as src
 from ..sources.driver_tables import table
 from .cleaning import choice_sql, filled_sql
-from .common import QD, D, F1, P1, P2, SH, SL, SP, V1, V2, mv, sql_with_mv
+from .common import QD, D, F1, P1, P2, SH, SL, SP, V1, V2, mv, scratch, sql_with_mv
 from .registry import register
 
 AUCTION = [D, P1, P2, V1, V2, F1]
@@ -21,16 +18,10 @@ SYSTEM = [D, SP, SL, SH]
 AUCTION_UNITS = {P1: "GBP/MWh", P2: "GBP/MWh", V1: "MW", V2: "MW", F1: "GBP/MWh"}
 
 
-def _scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never machine-local
-    on a cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _roundtrip(spark, sf):
     """Write the auction slice of the market view as a market file (units
     row, bracketed day-first stamps, decimal commas), read it back."""
-    path = _scratch(spark, "auction_csv")
+    path = scratch(spark, "auction_csv")
     src.write_market_file(mv(spark, sf).select(*[F.col(f"`{c}`") for c in AUCTION]), path, AUCTION_UNITS)
     return src.load_auction_data(spark, path)
 
@@ -84,7 +75,7 @@ def csv_clean_report(spark, sf):
 @register("csv_export_roundtrip", sql_with_mv(f"SELECT {QD}, {P1}, {P2} FROM mv"))
 def csv_export_roundtrip(spark, sf):
     """Export with a header, read back and re-typed."""
-    path = _scratch(spark, "export_csv")
+    path = scratch(spark, "export_csv")
     src.write_csv(mv(spark, sf).select(F.col(f"`{D}`"), P1, P2), path)
     back = spark.read.option("header", True).csv(path)
     return back.select(F.col(f"`{D}`").cast("timestamp_ntz").alias(D), F.col(P1).cast("double").alias(P1),

@@ -47,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
+        if configured.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is {configured}: executors of a cluster do not share a local folder")
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
@@ -55,3 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         )
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> str:
+    """Have the file system remove ``path`` when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

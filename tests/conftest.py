@@ -23,3 +23,10 @@ def duck_small():
     from ampere.plans.check import duck
 
     return duck(SF_SMALL)
+
+
+@pytest.fixture(scope="session")
+def duck_check():
+    from ampere.plans.check import duck
+
+    return duck(SF_CHECK)
