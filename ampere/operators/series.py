@@ -37,6 +37,7 @@ from ..session import ensure_checkpoint_dir
 IDX = "__ampere_idx"
 BLK = "__ampere_blk"
 HALO = "__ampere_halo"
+KEY = "__ampere_key"
 PID = "__ampere_pid"
 POS = "__ampere_pos"
 OFF = "__ampere_off"
@@ -133,11 +134,18 @@ class Rolling:
 
     def expr(self, ctx: "_Ctx") -> Column:
         c = F.col(self.column)
-        frame = ctx.w.rowsBetween(-self.n, -1) if self.exclude_current else ctx.w.rowsBetween(-(self.n - 1), 0)
         need = self.n if self.min_periods is None else self.min_periods
-        value = F.when(F.count(c).over(frame) >= need, _STATS[self.stat](c).over(frame))
+        value = F.when(F.col(self.count_name) >= need, _STATS[self.stat](c).over(self.frame(ctx)))
         return F.coalesce(c, value) if self.fill_only else value
 
+    def frame(self, ctx: "_Ctx") -> WindowSpec:
+        return ctx.w.rowsBetween(-self.n, -1) if self.exclude_current else ctx.w.rowsBetween(-(self.n - 1), 0)
+
+    @property
+    def count_name(self) -> str:
+        """Non-null values in the frame: one column for all statistics over it."""
+        return f"__n_{self.column}_{self.n}_{int(self.exclude_current)}"
+
 
 @dataclass(frozen=True)
 class Fill:
@@ -156,7 +164,7 @@ class Fill:
 
     def expr(self, ctx: "_Ctx") -> Column:
         c = F.col(self.column)
-        point = F.when(c.isNotNull(), F.struct(ctx.idx.alias("i"), c.cast("double").alias("v")))
+        point = F.when(c.isNotNull(), F.struct(ctx.idx.alias("i"), c.alias("v")))  # in the column's own type
         prev = F.coalesce(
             F.last(point, ignorenulls=True).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0)),
             ctx.carry(self.column, "prev"),
@@ -168,11 +176,12 @@ class Fill:
             ctx.carry(self.column, "next"),
         )
         if self.method == "ffill":
-            return F.coalesce(c, prev["v"].cast(_type_of(ctx, self.column)))
+            return F.coalesce(c, prev["v"])
         if self.method == "bfill":
-            return F.coalesce(c, nxt["v"].cast(_type_of(ctx, self.column)))
+            return F.coalesce(c, nxt["v"])
         span = (nxt["i"] - prev["i"]).cast("double")
-        interp = prev["v"] + F.try_divide((nxt["v"] - prev["v"]) * (ctx.idx - prev["i"]).cast("double"), span)
+        before, after = prev["v"].cast("double"), nxt["v"].cast("double")
+        interp = before + F.try_divide((after - before) * (ctx.idx - prev["i"]).cast("double"), span)
         return F.coalesce(c.cast("double"), interp)
 
 
@@ -226,10 +235,6 @@ class RowIndex:
         return ctx.idx - ctx.key_start
 
 
-def _type_of(ctx: "_Ctx", column: str) -> str:
-    return ctx.types[column]
-
-
 # ----------------------------------------------------------------------- context
 
 
@@ -240,7 +245,6 @@ class _Ctx:
     idx: Column
     key_start: Column
     halo: Column | None
-    types: dict
     carries: dict = field(default_factory=dict)
 
     def carry(self, column: str, kind: str) -> Column:
@@ -296,27 +300,32 @@ def apply_series(df: DataFrame, s: Series, ops: Sequence, blocked: bool | None =
     missing = [c for c in (*s.keys, *s.order_by) if c not in df.columns]
     if missing:
         raise ValueError(f"order/key columns not found: {missing}")
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     if blocked is None:
         blocked = use_blocked(df, s)
     if not blocked:
-        return _apply_keyed(df, s, ops, types)
-    return _apply_blocked(global_index(df, s), s, ops, types, df.columns)
+        return _apply_keyed(df, s, ops)
+    return _apply_blocked(global_index(df, s), s, ops, df.columns)
 
 
-def _apply_keyed(df: DataFrame, s: Series, ops, types) -> DataFrame:
+def _apply_keyed(df: DataFrame, s: Series, ops) -> DataFrame:
     order = [F.col(c).asc_nulls_first() for c in s.order_by]
     w = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(*order)
     need_idx = any(isinstance(o, (Fill, RowIndex)) for o in ops)
     if need_idx:
         df = df.withColumn(IDX, F.row_number().over(w) - 1)
     w_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(IDX).desc())
-    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=F.lit(0), halo=None, types=types)
-    out = df.withColumns({o.name: o.expr(ctx) for o in ops})
-    return out.drop(IDX) if need_idx else out
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=F.lit(0), halo=None)
+    columns = [*df.columns, *dict.fromkeys(o.name for o in ops if o.name not in df.columns)]
+    return _with_ops(df, ops, ctx).select(*[F.col(f"`{c}`") for c in columns if c != IDX])
 
 
-def _apply_blocked(indexed: DataFrame, s: Series, ops, types, columns) -> DataFrame:
+def _with_ops(df: DataFrame, ops, ctx: "_Ctx") -> DataFrame:
+    """Add the op columns; frame counts that several statistics need come first."""
+    counts = {o.count_name: F.count(F.col(o.column)).over(o.frame(ctx)) for o in ops if isinstance(o, Rolling)}
+    return (df.withColumns(counts) if counts else df).withColumns({o.name: o.expr(ctx) for o in ops})
+
+
+def _apply_blocked(indexed: DataFrame, s: Series, ops, columns) -> DataFrame:
     B = int(s.block_rows)
     reach = max(int(o.reach) for o in ops)
     if reach >= B:
@@ -328,14 +337,16 @@ def _apply_blocked(indexed: DataFrame, s: Series, ops, types, columns) -> DataFr
         framed = framed.withColumn(HALO, F.col(BLK) != blk)
     else:
         framed = indexed.withColumn(BLK, blk).withColumn(HALO, F.lit(False))
-    keys = [F.col(k) for k in s.keys]
+    keys = [F.col(KEY)] if s.keys else []
+    if s.keys:  # one column that is never null, so that window and join agree on its partitioning
+        framed = framed.withColumn(KEY, F.struct(*[F.col(k) for k in s.keys]))
     w = Window.partitionBy(F.col(BLK), *keys).orderBy(F.col(IDX))
 
     need_start = any(isinstance(o, RowIndex) for o in ops) and s.keys
     key_start = F.lit(0)
     if need_start:
-        starts = indexed.groupBy(*s.keys).agg(F.min(IDX).alias("__ampere_start"))
-        framed = _null_safe_join(framed, starts, s.keys)
+        starts = indexed.groupBy(F.struct(*[F.col(k) for k in s.keys]).alias(KEY)).agg(F.min(IDX).alias("__ampere_start"))
+        framed = framed.join(starts, KEY, "left")
         key_start = F.col("__ampere_start")
 
     carries: dict = {}
@@ -343,24 +354,12 @@ def _apply_blocked(indexed: DataFrame, s: Series, ops, types, columns) -> DataFr
     if unbounded:
         framed, carries = _with_carries(framed, s, unbounded)
     w_rev = Window.partitionBy(F.col(BLK), *keys).orderBy(F.col(IDX).desc())
-    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), types=types,
-               carries=carries)
-    out = framed.withColumns({o.name: o.expr(ctx) for o in ops}).where(~F.col(HALO))
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), carries=carries)
+    out = _with_ops(framed, ops, ctx).where(~F.col(HALO))
     added = list(dict.fromkeys(o.name for o in ops if o.name not in columns))
     return out.select(*columns, *added)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        e = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = e if cond is None else cond & e
-    joined = left.join(renamed, cond, "left")
-    return joined.drop(*[f"__r_{k}" for k in keys])
-
-
 def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
     """Per (block, key) summaries -> carries from earlier/later blocks.
 
@@ -378,7 +377,7 @@ def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
                     continue
                 name = f"__c_{kind}_{len(names)}"
                 names[(o.column, kind)] = name
-                aggs += [pick_i(at).alias(name + "_i"), pick_v(c.cast("double"), at).alias(name + "_v")]
+                aggs += [pick_i(at).alias(name + "_i"), pick_v(c, at).alias(name + "_v")]
                 post.append(F.when(F.col(name + "_i").isNotNull(),
                                    F.struct(F.col(name + "_i").alias("i"), F.col(name + "_v").alias("v")))
                             .alias(name + "_s"))
@@ -387,10 +386,11 @@ def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
             names[(o.column, "sum")] = name
             aggs.append(F.sum(F.when(~F.col(HALO), c)).alias(name + "_s"))
             post.append(F.col(name + "_s"))
-    summary = framed.groupBy(BLK, *s.keys).agg(*aggs).select(BLK, *s.keys, *post)
-    sw = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(BLK)
-    sw_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(BLK).desc())
-    sel = [BLK, *s.keys]
+    by = [BLK, KEY] if s.keys else [BLK]
+    summary = framed.groupBy(*by).agg(*aggs).select(*by, *post)
+    sw = Window.partitionBy(*by[1:]).orderBy(BLK)
+    sw_rev = Window.partitionBy(*by[1:]).orderBy(F.col(BLK).desc())
+    sel = list(by)
     for (column, kind), name in names.items():
         src = F.col(name + "_s")
         if kind == "prev":
@@ -401,7 +401,8 @@ def _with_carries(framed: DataFrame, s: Series, ops) -> tuple[DataFrame, dict]:
         else:
             sel.append(F.sum(src).over(sw.rowsBetween(Window.unboundedPreceding, -1)).alias(name))
     carry = summary.select(*sel)
-    return _null_safe_join(framed, carry, [BLK, *s.keys]), names
+    # plain equality on the columns that the windows partition by: one shuffle for both
+    return framed.join(carry, by, "left"), names
 
 
 # ------------------------------------------------------------- public wrappers

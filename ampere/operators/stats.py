@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from .clean import missing_ranked, missing_value_stats
-from .series import IDX, Series, global_index
+from ..session import ensure_checkpoint_dir
+from .series import RunningSum, Series, apply_series
 
 CORR_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
 PICK_TYPES = (T.DoubleType, T.LongType)
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def q(c: str) -> Column:
@@ -31,16 +33,17 @@ def hourly_pattern(df: DataFrame, value_column: str, hour_column: str = "hour")
     return df.groupBy(q(hour_column)).agg(F.avg(q(value_column)).alias(f"avg_{value_column}")).orderBy(hour_column)
 
 
-def correlation_columns(df: DataFrame, max_columns: int = 15) -> list[str]:
+def correlation_columns(df: DataFrame, max_columns: int | None = 15) -> list[str]:
+    """The first ``max_columns`` numeric columns (None: all)."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, CORR_TYPES)][:max_columns]
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = 15) -> DataFrame | None:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
+                       max_columns: int | None = 15) -> DataFrame | None:
     """Pairwise-complete Pearson correlation for every ordered pair
-    of up to ``max_columns`` numeric columns, from one aggregation; tidy
-    rows (column_a, column_b, correlation). None with fewer than 2 columns."""
+    of the given columns, or else of the first ``max_columns`` numeric ones
+    (None: all), from one aggregation; tidy rows (column_a, column_b, correlation). None with fewer than 2 columns."""
     cols = list(columns) if columns else correlation_columns(df, max_columns)
-    cols = cols[:max_columns]
     if len(cols) < 2:
         return None
     x = df.select(*[F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")).alias(f"c{i}")
@@ -83,18 +86,20 @@ def histogram(df: DataFrame, column: str, bins: int = 50, expr: Column | None =
     group when ``group_by`` is given); the maximum falls into the last bin.
 
     Global: the range is two scalars from one aggregation. Grouped: the
-    ranges are one row per group, joined back on the group keys."""
+    ranges are one row per group, joined back on the group keys. Runs the
+    range aggregation when called."""
     keys = list(group_by)
     v = expr if expr is not None else q(column)
     x = df.select(*[q(k) for k in keys], v.cast("double").alias("v")).where(F.col("v").isNotNull())
     if keys:
         rng = x.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        rng = rng.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], "lo", "hi")
-        cond = None
-        for i, k in enumerate(keys):
-            e = F.col(k).eqNullSafe(F.col(f"__g{i}"))
-            cond = e if cond is None else cond & e
-        j = x.join(rng, cond).select(*keys, "v", "lo", "hi")
+        rng = rng.select(F.struct(*[q(k) for k in keys]).alias("__g"), "lo", "hi")
+        # one row per group: broadcast up to a checked number, so that a few large groups are not
+        # dealt to a few tasks; many groups are spread by their keys
+        ensure_checkpoint_dir(df.sparkSession)
+        rng = rng.checkpoint(eager=True)
+        rng = F.broadcast(rng) if rng.count() <= MAX_BROADCAST_GROUPS else rng.hint("merge")
+        j = x.withColumn("__g", F.struct(*[q(k) for k in keys])).join(rng, "__g").select(*[q(k) for k in keys], "v", "lo", "hi")
         lo, hi = F.col("lo"), F.col("hi")
         b = F.when(hi == lo, F.lit(1).cast("long")).otherwise(
             F.least(F.floor(F.try_divide(F.col("v") - lo, hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long"))
@@ -116,36 +121,39 @@ def histogram(df: DataFrame, column: str, bins: int = 50, expr: Column | None =
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], group_by: Sequence[str] = (),
                     interpolation: str = "linear") -> DataFrame:
-    """Exact quantiles per group without gathering a group in one task: the
-    values are globally ranked (range shuffle, so a hot group spans many
-    tasks), then only the rows at the needed ranks are kept.
+    """Exact quantiles per group without gathering a group in one task.
+
+    Equal values are counted first (map-side), so a value that most rows
+    share is one row; distinct values get their rank range from a running
+    sum of the counts over a blocked series, so a hot group spans many tasks;
+    only the values that cover a wanted rank are kept.
 
     linear: v[f] + (v[c] - v[f]) * (p - f), p = (n-1) q.
     nearest: v[round(p)] with halves away from zero.
-    Rows: group columns, quantile, value.
+    Rows: group columns, quantile, value. Runs the counting when called.
     """
     keys = list(group_by)
-    x = df.select(*[q(k) for k in keys], q(column).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    ranked = global_index(x, Series(order_by=("__v",), keys=tuple(keys), strategy="blocked"))
-    per = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(IDX).alias("__s"))
-    qarr = F.array(*[F.lit(float(v)) for v in qs])
-    wanted = per.select(*keys, "__n", "__s", F.explode(qarr).alias("quantile"))
+    x = df.select(F.struct(*[q(k) for k in keys], F.lit(0).alias("__none")).alias("__g"), q(column).cast("double").alias("__v"))
+    counts = x.where(F.col("__v").isNotNull()).groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = apply_series(counts, Series(order_by=("__v",), keys=("__g",), strategy="blocked"), [RunningSum("__c", "__end")])
+    per = ranked.groupBy("__g").agg(F.sum("__c").alias("__n"))
     pos = (F.col("__n") - 1).cast("double") * F.col("quantile")
+    wanted = per.select("__g", "__n", F.explode(F.array(*[F.lit(float(v)) for v in qs])).alias("quantile"))
     if interpolation == "nearest":
-        wanted = wanted.withColumns({"__lo": F.floor(pos + 0.5).cast("long"), "__w": F.lit(0.0)})
-        wanted = wanted.withColumn("__hi", F.col("__lo"))
+        wanted = wanted.withColumns({"__lo": F.floor(pos + 0.5).cast("long"), "__w": F.lit(0.0)}).withColumn("__hi", F.col("__lo"))
     else:
         wanted = wanted.withColumns({"__lo": F.floor(pos).cast("long"), "__hi": F.ceil(pos).cast("long"),
                                      "__w": pos - F.floor(pos)})
-    need = wanted.select(*keys, F.explode(F.array_distinct(F.array(F.col("__s") + F.col("__lo"),
-                                                                   F.col("__s") + F.col("__hi")))).alias(IDX))
-    picked = ranked.join(need.select(IDX).distinct(), IDX, "left_semi")
-    lo = picked.select(F.col(IDX).alias("__a"), F.col("__v").alias("__va"))
-    hi = picked.select(F.col(IDX).alias("__b"), F.col("__v").alias("__vb"))
-    out = (wanted.join(lo, F.col("__a") == F.col("__s") + F.col("__lo"))
-           .join(hi, F.col("__b") == F.col("__s") + F.col("__hi")))
+    # few rows per group beside its distinct values
+    each = wanted.groupBy("__g").agg(F.collect_list(F.struct("quantile", "__lo", "__hi", "__w")).alias("__wanted"))
+    covers = lambda w, r: (w[r] < F.col("__end")) & (w[r] >= F.col("__end") - F.col("__c"))
+    hits = ranked.join(each, "__g").select("__g", "__v", "__end", "__c", F.explode(
+        F.filter("__wanted", lambda w: covers(w, "__lo") | covers(w, "__hi"))).alias("w"))
+    lo = F.max(F.when(covers(F.col("w"), "__lo"), F.col("__v")))
+    hi = F.max(F.when(covers(F.col("w"), "__hi"), F.col("__v")))
+    out = hits.groupBy("__g", "w.quantile", F.col("w.__w").alias("__w")).agg(lo.alias("__va"), hi.alias("__vb"))
     value = F.col("__va") + (F.col("__vb") - F.col("__va")) * F.col("__w")
-    return out.select(*[q(k) for k in keys], "quantile", value.alias("value"))
+    return out.select(*[F.col("__g")[k].alias(k) for k in keys], "quantile", value.alias("value"))
 
 
 def box_summary(df: DataFrame, column: str, group_by: Sequence[str] = ()) -> DataFrame:
@@ -247,10 +255,11 @@ def home_summary(df: DataFrame, price_column: str = C.PRICE_FIRST) -> DataFrame:
                       .alias("completeness"))
 
 
-def summary_dashboard(df: DataFrame, date_column: str = C.DATE_COLUMN) -> dict[str, DataFrame | None]:
+def summary_dashboard(df: DataFrame, date_column: str = C.DATE_COLUMN,
+                      max_columns: int | None = 10) -> dict[str, DataFrame | None]:
     """Time series, first-price distribution, missing values and the
-    correlation of the first 10 64-bit numeric columns."""
-    picks = [f.name for f in df.schema.fields if isinstance(f.dataType, PICK_TYPES)][:10]
+    correlation of the first ``max_columns`` 64-bit numeric columns (None: all)."""
+    picks = [f.name for f in df.schema.fields if isinstance(f.dataType, PICK_TYPES)][:max_columns]
     out = {
         "timeseries": timeseries(df, date_column),
         "missing": missing_ranked(df),

@@ -39,7 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
     as is. Only a local-mode session without the setting (tests, bench) gets
-    a fresh folder under /tmp.
+    a fresh folder under /tmp. Spark makes a subfolder of its own per
+    application; it is removed when the application ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,13 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(
                 f"spark.checkpoint.dir is {configured}: executors of a cluster do not share a local folder")
         sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
+        return delete_on_exit(spark, sc.getCheckpointDir())
     if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; ordered operators on a cluster need a shared checkpoint folder"
         )
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp"))
-    return sc.getCheckpointDir()
+    return delete_on_exit(spark, sc.getCheckpointDir())
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> str:
