@@ -73,11 +73,9 @@ FEATURE_NAME_FRAGMENTS = ("_lag_", "_rolling_", "hour", "month", "is_weekend")
 @dataclass(frozen=True)
 class CleaningConfig:
     rolling_window: int = 24
-    min_periods: int = 1
     default_imputation: ImputationMethod = ImputationMethod.ROLLING_MEDIAN
     outlier_std_threshold: float = 3.0
     date_format: str = "d/M/yyyy H:mm"
-    skip_first_row: bool = True
     imputation_test_size: int = 24
 
 
@@ -86,7 +84,6 @@ class TradingConfig:
     transaction_cost: float = 5.0
     max_volume_per_trade: float = 10.0
     price_diff_threshold: float = 10.0
-    train_test_split: float = 0.8
 
 
 @dataclass(frozen=True)

@@ -210,23 +210,28 @@ def impute_rolling(df: DataFrame, column: str, s: Series,
     return apply_series(df, s, [imputation_op(column, method, window_size or cfg.rolling_window)])
 
 
-def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
-                      cfg: CleaningConfig = CleaningConfig(), counts: dict | None = None) -> DataFrame:
+def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series, cfg: CleaningConfig = CleaningConfig(),
+                      counts: dict | None = None, policy: str = "reference") -> DataFrame:
     """C4 scoring for many columns in one pass: for each column, its non-null
     values in series order, the last ``test_size`` masked, each candidate
     scored by RMSE on the masked cells (null when a cell stays unfilled).
 
     Only the last ``test_size + rolling_window`` non-null values can affect
-    the masked cells, so each column keeps a bounded top-k: the columns are
-    unpivoted in one scan and ``row_number() <= k`` per column is planned
-    with a partial group limit before the shuffle (k rows per column per
-    partition cross the network). Columns with fewer than ``2 * test_size``
-    non-null values get no rows (caller uses the default). ``counts`` may
-    pass the non-null counts when the caller already has them.
+    the masked cells, so each column keeps its newest k by an ordered limit
+    (k rows per partition, whatever k is). Columns with fewer than
+    ``2 * test_size`` non-null values get no rows (caller uses the default).
+    ``counts`` may pass the non-null counts when the caller already has them.
+
+    ``policy``: ``reference`` masks the newest values in one gap, so that at
+    the default sizes only forward fill reaches all of them; ``interior``
+    masks every second of the newest ``2 * test_size`` values but the last,
+    so that every candidate has neighbours to work with.
     Rows: (column_name, method, position, rmse).
     """
+    if policy not in ("reference", "interior"):
+        raise ValueError(f"unknown imputation policy {policy!r}")
     test, win = cfg.imputation_test_size, cfg.rolling_window
-    keep = test + win
+    keep = test + win if policy == "reference" else 2 * test + win
     order = [*s.keys, *s.order_by]
     if s.keys:
         raise ValueError("imputation scoring works on one series; filter to a key first")
@@ -238,16 +243,19 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series,
     if not enough:
         return spark.createDataFrame([], "column_name string, method string, position int, rmse double")
     o = F.struct(*[q(c) for c in order])
-    longf = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), o.alias("o"), q(c).cast("double").alias("v")) for c in enough])))
-    longf = longf.where(F.col("v").isNotNull())
-    newest = Window.partitionBy("column_name").orderBy(F.col("o").desc())
-    longf = longf.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= keep).drop("__r")
+    longf = None
+    for c in enough:
+        one = df.select(F.lit(c).alias("column_name"), o.alias("o"), q(c).cast("double").alias("v"))
+        one = one.where(F.col("v").isNotNull()).orderBy(F.col("o").desc()).limit(keep)
+        longf = one if longf is None else longf.unionAll(one)
     w = Window.partitionBy("column_name").orderBy("o")
     # rows in each column's frame (at most `keep`)
     x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column_name")))
     x = x.withColumn("__i", F.row_number().over(w) - 1)
     masked = F.col("__i") >= F.col("__k") - test
+    if policy == "interior":
+        back = F.col("__k") - 1 - F.col("__i")  # 0 for the newest value, which stays
+        masked = (back < 2 * test) & (F.pmod(back, F.lit(2)) == 1)
     x = x.withColumn("mv", F.when(~masked, F.col("v")))
     ops = {
         ImputationMethod.ROLLING_MEAN: F.avg("mv").over(w.rowsBetween(-(win - 1), 0)),
@@ -285,9 +293,9 @@ def choose_imputation(scores: DataFrame, columns: Sequence[str], cfg: CleaningCo
     )
 
 
-def find_best_imputation_method(df: DataFrame, column: str, s: Series,
-                                cfg: CleaningConfig = CleaningConfig()) -> tuple[ImputationMethod, float]:
-    row = choose_imputation(imputation_scores(df, [column], s, cfg), [column], cfg).first()
+def find_best_imputation_method(df: DataFrame, column: str, s: Series, cfg: CleaningConfig = CleaningConfig(),
+                                policy: str = "reference") -> tuple[ImputationMethod, float]:
+    row = choose_imputation(imputation_scores(df, [column], s, cfg, policy=policy), [column], cfg).first()
     return ImputationMethod(row["method"]), row["rmse"]
 
 
@@ -297,7 +305,8 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None = None,
                         auto_select_method: bool = True, cfg: CleaningConfig = CleaningConfig(),
-                        methods: dict | None = None, materialize: bool = True) -> tuple[DataFrame, dict[str, str]]:
+                        methods: dict | None = None, materialize: bool = True,
+                        policy: str = "reference") -> tuple[DataFrame, dict[str, str]]:
     """Impute every numeric column that has nulls, each with the chosen
     (or default, or given) method, all in one shared framing. Returns the
     filled frame and the method used per column.
@@ -324,7 +333,7 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
         chosen.update({c: ImputationMethod(m).value for c, m in methods.items() if c in todo})
     rest = [c for c in todo if c not in chosen]
     if rest and auto_select_method:
-        for r in choose_imputation(imputation_scores(df, rest, s, cfg, counts), rest, cfg).collect():
+        for r in choose_imputation(imputation_scores(df, rest, s, cfg, counts, policy), rest, cfg).collect():
             chosen[r["column_name"]] = r["method"]
     for c in rest:
         chosen.setdefault(c, cfg.default_imputation.value)
@@ -373,51 +382,96 @@ INGEST_ORDER = "_ingest_order"
 
 def clean_table(df: DataFrame, auto_impute: bool = True, date_column: str = C.DATE_COLUMN,
                 cfg: CleaningConfig = CleaningConfig(), order_by: Sequence[str] | None = None,
-                remove_dupes: bool = True, report: bool = True,
-                block_rows: int = 1_000_000) -> tuple[DataFrame, CleaningReport | None]:
+                remove_dupes: bool = True, report: bool = True, block_rows: int = 1_000_000,
+                methods: dict[str, str] | None = None, policy: str = "reference",
+                outliers: str | None = None, outlier_threshold: float | None = None,
+                outlier_action: str = "null") -> tuple[DataFrame, CleaningReport | None]:
     """Parse the timestamp, convert strings to numbers, keep the first
-    row per timestamp (ingest order), impute, sort by timestamp.
+    row per timestamp (ingest order; without a timestamp: of equal rows),
+    treat outliers, impute, sort by timestamp. Runs jobs when it reports,
+    imputes or treats outliers.
 
     ``order_by`` is the ingest order for "first"; by default the loader's
-    ``_ingest_order`` column, which is dropped from the result.
+    ``_ingest_order`` column, which is dropped from the result. It also
+    orders the imputation of a table without the timestamp column; without
+    either, imputation raises. ``methods``: imputation method by column, the
+    others are chosen under ``policy``; with ``auto_impute`` off only those
+    columns are imputed. ``outliers``: ``zscore`` or ``iqr``; flagged cells
+    become null before imputation (``null``) or their rows go (``drop``).
     """
     has_date = date_column in df.columns
     ingest = list(order_by) if order_by else ([INGEST_ORDER] if INGEST_ORDER in df.columns else None)
+    impute = auto_impute or bool(methods)
+    if impute and not has_date and not ingest:
+        raise ValueError(f"imputation needs an order: no column {date_column!r}, no order_by and no {INGEST_ORDER}")
+    if outlier_action not in ("null", "drop"):
+        raise ValueError(f"unknown outlier action {outlier_action!r}")
     original = df.count() if report else None
     if has_date:
         df = parse_datetime(df, date_column, cfg=cfg)
     df, converted = convert_to_numeric(df, date_column=date_column)
     if remove_dupes:
-        df, _ = remove_duplicates(df, [date_column] if has_date else None, "first", ingest, count=False)
-    if INGEST_ORDER in df.columns:
+        subset = [date_column] if has_date else [c for c in df.columns if c != INGEST_ORDER]
+        df, _ = remove_duplicates(df, subset, "first", ingest, count=False)
+    series_order = (date_column,) if has_date else tuple(ingest or ())
+    if INGEST_ORDER in df.columns and INGEST_ORDER not in series_order:
         df = df.drop(INGEST_ORDER)
-    if report or (auto_impute and has_date):
-        # the report counts and the imputation choices (null counts, method
-        # scores, ranking) are data-dependent; write the parsed,
-        # de-duplicated table once so each reads it instead of re-parsing
+    if report or impute or outliers:
+        # the report counts and the choices (null counts, method scores, ranking)
+        # are data-dependent; write the parsed, de-duplicated table once so each
+        # reads it instead of re-parsing
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     deduped = df.count() if report else None
-    methods: dict = {}
+    numbers = numeric_columns(df, [date_column])
+    handled: dict = {}
+    if outliers:
+        df, handled = treat_outliers(df, numbers, outliers, outlier_threshold, outlier_action, cfg)
+    used: dict = {}
     filled: dict = {}
-    if auto_impute and has_date:
-        s = Series(order_by=(date_column,), block_rows=block_rows)
+    if impute:
+        s = Series(order_by=series_order, block_rows=block_rows)
         before = None
         if report:
-            before = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in numeric_columns(df, [date_column])]).first()
-        df, methods = fill_missing_values(df, s, cfg=cfg, materialize=False)
-        if report and methods:
-            after = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in methods]).first()
-            filled = {c: int(before[c] - after[c]) for c in methods}
+            before = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in numbers]).first()
+        columns = None if auto_impute else [c for c in numbers if c in methods]
+        df, used = fill_missing_values(df, s, columns, cfg=cfg, methods=methods, materialize=False, policy=policy)
+        if report and used:
+            after = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in used]).first()
+            filled = {c: int(before[c] - after[c]) for c in used}
+    if INGEST_ORDER in df.columns:
+        df = df.drop(INGEST_ORDER)
     if has_date:
         df = df.orderBy(q(date_column).asc_nulls_first())
     rep = None
     if report:
         removed = (original - deduped) if remove_dupes else 0
-        rep = CleaningReport(original, deduped, converted, filled, {}, int(removed), [], methods)
+        gone = handled.pop("__rows", 0)
+        rep = CleaningReport(original, deduped - gone, converted, filled, handled, int(removed), [], used)
     return df, rep
 
 
+def treat_outliers(df: DataFrame, columns: Sequence[str], method: str, threshold: float | None = None,
+                   action: str = "null", cfg: CleaningConfig = CleaningConfig()) -> tuple[DataFrame, dict[str, int]]:
+    """Null the flagged cells of ``columns``, or drop the rows that have any.
+    Returns the number of flagged cells per column (and of dropped rows under
+    ``__rows``); flags follow from the untreated columns."""
+    flags = {c: f"__outlier_{i}" for i, c in enumerate(columns)}
+    flagged = df
+    for c, name in flags.items():
+        flagged = detect_outliers(flagged, c, method, threshold, cfg, name)
+    any_flag = F.greatest(*[F.coalesce(F.col(n), F.lit(False)) for n in flags.values()]) if len(flags) > 1 else F.lit(False)
+    if len(flags) == 1:
+        any_flag = F.coalesce(F.col(next(iter(flags.values()))), F.lit(False))
+    counts = flagged.agg(*[F.count_if(F.col(n)).alias(n) for n in flags.values()], F.count_if(any_flag).alias("__rows")).first()
+    handled = {c: int(counts[n]) for c, n in flags.items() if counts[n]}
+    if action == "drop":
+        handled["__rows"] = int(counts["__rows"])
+        return flagged.where(~any_flag).select(*[q(c) for c in df.columns]), handled
+    cells = {c: F.when(~F.coalesce(F.col(n), F.lit(False)), q(c)) for c, n in flags.items()}
+    return flagged.withColumns(cells).select(*[q(c) for c in df.columns]), handled
+
+
 def clean_auction_data(df: DataFrame, auto_impute: bool = True, cfg: CleaningConfig = CleaningConfig(),
                        **kw) -> tuple[DataFrame, CleaningReport | None]:
     """C8 under its familiar name."""

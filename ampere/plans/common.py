@@ -20,9 +20,8 @@ MARKET_COLUMNS = (D, P1, P2, V1, V2, F1, SP, SL, SH)
 
 # one global series: the hourly market view
 MARKET_SERIES = Series(order_by=(D,), block_rows=1_000_000)
-# one global series over raw events (block size small enough that the test
-# scales really cross blocks)
-EVENT_SERIES = Series(order_by=("ts", "event_id"), block_rows=4096)
+# one global series over raw events (tests cross blocks with smaller ones)
+EVENT_SERIES = Series(order_by=("ts", "event_id"))
 # keyed series: lineitem per supplier in ship order
 LINEITEM_SERIES = Series(order_by=LINEITEM_ORDER, keys=("l_suppkey",))
 LINEITEM_ORDER_SQL = ", ".join(LINEITEM_ORDER)

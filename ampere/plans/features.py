@@ -131,7 +131,7 @@ def rolling_features_keyed(spark, sf):
 @register("rolling_features_keyed_blocked", KEYED_ROLLING_SQL, rounded=rolling_names("l_extendedprice"), digits=4)
 def rolling_features_keyed_blocked(spark, sf):
     """W2-W5 per supplier on the hot-key-safe shape (equal blocks across keys)."""
-    return _keyed_rolling(spark, sf, LINEITEM_SERIES.with_(strategy="blocked", block_rows=4096))
+    return _keyed_rolling(spark, sf, LINEITEM_SERIES.with_(strategy="blocked"))
 
 
 # ------------------------------------------------------------ market view

@@ -17,8 +17,7 @@ from .common import LINEITEM_SERIES
 from .features import order_sql
 from .registry import register
 
-STATUS_SERIES = Series(order_by=("o_orderdate", "o_orderkey"), keys=("o_orderstatus",), strategy="blocked",
-                       block_rows=2048)
+STATUS_SERIES = Series(order_by=("o_orderdate", "o_orderkey"), keys=("o_orderstatus",), strategy="blocked")
 ST_ORDER = order_sql(["o_orderdate", "o_orderkey"])
 
 
@@ -88,5 +87,5 @@ def ffill_returns_keyed(spark, sf):
     li = table(spark, sf, "lineitem").select(
         "l_suppkey", *LINEITEM_ORDER,
         F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).alias("returned_price"))
-    return apply_series(li, LINEITEM_SERIES.with_(strategy="blocked", block_rows=4096),
+    return apply_series(li, LINEITEM_SERIES.with_(strategy="blocked"),
                         [Fill("returned_price", "ffill", "returned_price")])

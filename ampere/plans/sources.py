@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config as C
+from ..functions.scalar import lenient_double
 from ..operators import clean, stats
 from ..operators.features import merge_datasets
 from ..sources import csv as src
@@ -50,26 +52,82 @@ def csv_clean_imputed(spark, sf):
     return cleaned
 
 
-@register("csv_units_row", sql_with_mv("SELECT COUNT(*) AS data_rows FROM mv"))
+@register("csv_units_row", sql_with_mv(f"""SELECT strftime({QD}, '[%d/%m/%Y %H:%M]') AS stamp,
+  CAST({V1} AS BIGINT) AS volume, COALESCE({P1}, 0) AS price FROM mv"""), rounded=["price"])
 def csv_units_row(spark, sf):
-    """Exactly the data rows survive the units-row filter."""
-    return _roundtrip(spark, sf).agg(F.count(F.lit(1)).alias("data_rows"))
+    """The data rows survive the units-row filter, each with its text."""
+    raw = _roundtrip(spark, sf)
+    number = lambda c: F.coalesce(lenient_double(c), F.lit(0.0))
+    return raw.select(F.col(f"`{D}`").alias("stamp"), number(V1).cast("long").alias("volume"), number(P1).alias("price"))
+
+
+FORECAST_UNITS = {"demand": "MW", "wind": "%"}
+SYSTEM_UNITS = {SP: "GBP/MWh", SL: "GBP/MWh", SH: "GBP/MWh"}
+
+
+def _directory(spark, sf):
+    """The three market files of one directory, as text."""
+    base = scratch(spark, "market_dir")
+    m = mv(spark, sf)
+    tables = {"auction_data": (AUCTION, AUCTION_UNITS), "system_prices": (SYSTEM, SYSTEM_UNITS)}
+    files = {"auction_data": C.AUCTION_FILE, "forecast_inputs": C.FORECAST_FILE, "system_prices": C.SYSTEM_FILE}
+    for name, (columns, units) in tables.items():
+        src.write_market_file(m.select(*[F.col(f"`{c}`") for c in columns]), f"{base}/{files[name]}", units)
+    forecast = m.select(F.col(f"`{D}`"), (F.col(V1) + F.col(V2)).alias("demand"), F.try_divide(F.col(V1), F.col(V2)).alias("wind"))
+    src.write_market_file(forecast, f"{base}/{files['forecast_inputs']}", FORECAST_UNITS)
+    return src.load_all_from_directory(spark, base)
+
+
+@register("csv_forecast_clean", sql_with_mv(f"SELECT {QD}, {V1} + {V2} AS demand, {V1} / NULLIF({V2}, 0) AS wind FROM mv"),
+          rounded=["wind"])
+def csv_forecast_clean(spark, sf):
+    """The forecast file of a directory, loaded and cleaned."""
+    return clean.clean_forecast_data(_directory(spark, sf).forecast_inputs, auto_impute=False, report=False)[0]
+
+
+@register("csv_system_clean", sql_with_mv(f"SELECT {QD}, {SP}, {SL}, {SH} FROM mv"))
+def csv_system_clean(spark, sf):
+    """The system-price file of a directory, loaded and cleaned."""
+    return clean.clean_system_prices(_directory(spark, sf).system_prices, auto_impute=False, report=False)[0]
+
+
+@register("csv_directory_summary", sql_with_mv("""SELECT name, COUNT(*) AS rows, width AS columns, TRUE AS valid FROM mv,
+  (VALUES ('auction_data', 6), ('forecast_inputs', 3), ('system_prices', 4)) t(name, width) GROUP BY name, width"""))
+def csv_directory_summary(spark, sf):
+    """Rows and width of every table of a directory."""
+    found = _directory(spark, sf)
+    rows = [(n, t["rows"], t["columns"], found.is_valid) for n, t in found.get_summary().items()]
+    return spark.createDataFrame(rows, "name string, rows long, columns int, valid boolean")
 
 
 @register("csv_clean_report", sql_with_mv(f"""
   SELECT COUNT(*) AS original_rows, COUNT(*) AS final_rows, 0 AS rows_removed, 0 AS duplicates_removed,
-         5 AS columns_converted FROM mv"""))
+         5 AS columns_converted, {', '.join(f"COUNT(*) - COUNT({c}) - COUNT(CASE WHEN i < f_{c} THEN 1 END) AS filled_{c}" for c in (P1, P2, F1))}
+  FROM (SELECT *, {', '.join(f"MIN(CASE WHEN {c} IS NOT NULL THEN i END) OVER () AS f_{c}" for c in (P1, P2, F1))}
+        FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {QD}) AS i FROM mv) a) b"""))
 def csv_clean_report(spark, sf):
-    """The cleaning report of the round trip, as one row."""
+    """The cleaning report of the round trip with forward fill, which
+    leaves only the cells before a column's first value."""
     raw = _roundtrip(spark, sf)
-    _, rep = clean.clean_table(raw, auto_impute=False, report=True)
+    fill = {c: "forward_fill" for c in (P1, P2, F1)}
+    _, rep = clean.clean_table(raw, auto_impute=False, methods=fill, report=True)
     d = rep.to_dict()
     return spark.range(1).select(
-        F.lit(d["original_rows"]).cast("long").alias("original_rows"),
-        F.lit(d["final_rows"]).cast("long").alias("final_rows"),
-        F.lit(d["rows_removed"]).cast("int").alias("rows_removed"),
-        F.lit(d["duplicates_removed"]).cast("int").alias("duplicates_removed"),
-        F.lit(len(d["columns_converted"])).cast("int").alias("columns_converted"))
+        *[F.lit(d[k]).cast("long").alias(k) for k in ("original_rows", "final_rows")],
+        *[F.lit(d[k]).cast("int").alias(k) for k in ("rows_removed", "duplicates_removed")],
+        F.lit(len(d["columns_converted"])).cast("int").alias("columns_converted"),
+        *[F.lit(d["missing_values_filled"].get(c, 0)).cast("long").alias(f"filled_{c}") for c in fill])
+
+
+@register("clean_outliers", sql_with_mv(f"""SELECT {QD}, CASE WHEN ABS(({P1} - m1) / s1) > 2 THEN NULL ELSE {P1} END AS {P1},
+  CASE WHEN ABS(({P2} - m2) / s2) > 2 THEN NULL ELSE {P2} END AS {P2}
+  FROM mv, (SELECT AVG({P1}) AS m1, STDDEV_SAMP({P1}) AS s1, AVG({P2}) AS m2, STDDEV_SAMP({P2}) AS s2 FROM mv) s"""),
+          rounded=[P1, P2])
+def clean_outliers(spark, sf):
+    """C6 within C8: cells over two standard deviations become null."""
+    path = scratch(spark, "outlier_csv")
+    src.write_market_file(mv(spark, sf).select(F.col(f"`{D}`"), P1, P2), path, AUCTION_UNITS)
+    return clean.clean_table(src.load_auction_data(spark, path), False, report=False, outliers="zscore", outlier_threshold=2.0)[0]
 
 
 @register("csv_export_roundtrip", sql_with_mv(f"SELECT {QD}, {P1}, {P2} FROM mv"))
@@ -130,8 +188,9 @@ def home_summary(spark, sf):
     return stats.home_summary(mv(spark, sf))
 
 
-@register("preview_rows", "SELECT COUNT(*) AS n FROM (SELECT * FROM orders LIMIT 100) t")
+@register("preview_rows", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+  ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def preview_rows(spark, sf):
-    """A 100-row preview (the limit is the feature)."""
-    return stats.preview(table(spark, sf, "orders"), 100).agg(F.count(F.lit(1)).alias("n"))
-
+    """A 100-row preview (the limit is the feature) of an ordered table."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return stats.preview(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 100)

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from ..sources.driver_tables import market_view_sql, table
+from ..sources.driver_tables import market_view, market_view_sql, table
 from ..streaming import market_view_stream
-from .common import QD
+from .common import D, scratch
 from .registry import register
 
 WATERMARK_HOURS = 2
 
 
-@register("market_view_stream", f"""WITH mv AS ({market_view_sql()})
-  SELECT * FROM mv WHERE {QD} + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL {WATERMARK_HOURS} HOUR""")
+@register("market_view_stream", f"WITH mv AS ({market_view_sql()}) SELECT * FROM mv")
 def market_view_streamed(spark, sf):
-    """Hourly market view from a file stream of events: an hour is emitted
-    once the watermark (latest event - 2 h) passes its end; results go to a
-    parquet sink in the shared checkpoint folder and are read back."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    q = (market_view_stream(events, f"{WATERMARK_HOURS} hours").writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").start())
+    """Hourly market view from a file stream of events. An hour is final once
+    the watermark (latest event - 2 h) passes its end; finals go to a parquet
+    sink in the shared checkpoint folder. The hours still open when the files
+    are read come from the events after the last final hour, so the result
+    is the whole view."""
+    base = scratch(spark, "stream")
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf}/events.parque[t]")  # as a pattern: a file or a folder of files
+    q = (market_view_stream(stream, f"{WATERMARK_HOURS} hours").writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append")
+         .trigger(availableNow=True).start())
     try:
-        q.processAllAvailable()
+        q.awaitTermination()
     finally:
         q.stop()
-    return spark.read.parquet(f"{base}/out")
+    view = market_view(events)
+    final = spark.read.schema(view.schema).parquet(f"{base}/out")
+    last = final.agg(F.max(f"`{D}`")).first()[0]
+    if last is None:
+        return view
+    rest = market_view(events.where(F.col("ts") >= F.lit(last) + F.expr("INTERVAL 1 HOUR")))
+    return final.unionByName(rest)

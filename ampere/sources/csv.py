@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.scalar import lenient_double, parse_timestamp
 from ..operators.clean import INGEST_ORDER
-from ..operators.series import IDX, Series, global_index
-
-_MAX_BROADCAST_FILES = 100_000
-
+from ..operators.series import RowIndex, Series, apply_series
 
 def _ingest(df: DataFrame) -> DataFrame:
     return df.withColumn(INGEST_ORDER, F.struct(
@@ -33,7 +31,8 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
     """Header row, all columns as strings, plus ``_ingest_order``.
 
     ``skip_rows`` lines before the header are dropped per file (line
-    numbers come from a distributed ranking, not from a single task)."""
+    numbers come from a distributed ranking, not from a single task); the
+    reader options apply to the lines, and all files must share one header."""
     paths = [path] if isinstance(path, str) else list(path)
     if skip_rows <= 0:
         reader = spark.read.option("sep", delimiter).option("header", True).option("inferSchema", False)
@@ -43,42 +42,33 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
         F.monotonically_increasing_id().alias("__m"))
-    ranked = global_index(lines, Series(order_by=("__b", "__m"), keys=("__f",), strategy="blocked"))
-    start = ranked.groupBy("__f").agg(F.min(IDX).alias("__s"))
-    if len(lines.inputFiles()) <= _MAX_BROADCAST_FILES:  # one row per file
-        start = F.broadcast(start)
-    ranked = ranked.join(start, "__f").withColumn("__line", F.col(IDX) - F.col("__s"))
-    header = ranked.where(F.col("__line") == skip_rows).select("value").first()
-    if header is None:
+    ranked = apply_series(lines, Series(order_by=("__b", "__m"), keys=("__f",), strategy="blocked"), [RowIndex("__line")])
+    headers = [r["value"] for r in ranked.where(F.col("__line") == skip_rows).select("value").distinct().limit(2).collect()]
+    if not headers:
         raise ValueError("no header line after the skipped rows")
-    names = header["value"].split(delimiter)
+    if len(headers) > 1:
+        raise ValueError(f"files with different headers; load them one by one: {headers[0]!r}, {headers[1]!r}")
+    names = [n.strip('"') for n in headers[0].split(delimiter)]
     ddl = ", ".join(f"`{n}` string" for n in names)
-    body = ranked.where(F.col("__line") > skip_rows)
-    parsed = body.select(F.from_csv("value", ddl, {"sep": delimiter}).alias("r"),
+    body = ranked.where((F.col("__line") > skip_rows) & (F.length("value") > 0))
+    parsed = body.select(F.from_csv("value", ddl, {"sep": delimiter, **{k: str(v) for k, v in options.items()}}).alias("r"),
                          F.struct(F.col("__f").alias("file"), F.col("__b").alias("start"),
                                   F.col("__m").alias("pos")).alias(INGEST_ORDER))
     return parsed.select(*[F.col("r")[n].alias(n) for n in names], INGEST_ORDER)
 
 
-def _has_token(df: DataFrame, tokens: Sequence[str]) -> Column:
-    cols = [c for c in df.columns if c != INGEST_ORDER]
-    cond = F.lit(False)
-    for c in cols:
+def drop_units_row(df: DataFrame, tokens: Sequence[str], date_column: str = C.DATE_COLUMN) -> DataFrame:
+    """Drop the units record under the header: one where a cell holds a
+    unit token and the date cell is no date (without a date column: no cell
+    is a number). One pass, no join: it depends on the record alone."""
+    cells = [F.col(f"`{c}`") for c in df.columns if c != INGEST_ORDER]
+    token, number = F.lit(False), F.lit(False)
+    for cell in cells:
+        number = number | lenient_double(cell).isNotNull()
         for t in tokens:
-            cond = cond | F.coalesce(F.col(f"`{c}`").contains(t), F.lit(False))
-    return cond
-
-
-def drop_units_row(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
-    """Drop the first data row of each file when any cell holds a
-    unit token. First rows come from a one-row-per-file aggregation joined
-    back (broadcast while the file count is bounded)."""
-    firsts = df.groupBy(F.col(INGEST_ORDER)["file"].alias("__f")).agg(F.min(INGEST_ORDER).alias("__first"))
-    if len(df.inputFiles()) <= _MAX_BROADCAST_FILES:
-        firsts = F.broadcast(firsts)
-    joined = df.join(firsts, df[INGEST_ORDER]["file"] == firsts["__f"], "left")
-    is_first = F.coalesce(F.col(INGEST_ORDER) == F.col("__first"), F.lit(False))
-    return joined.where(~(is_first & _has_token(df, tokens))).drop("__f", "__first")
+            token = token | F.coalesce(cell.contains(t), F.lit(False))
+    units = parse_timestamp(F.col(f"`{date_column}`")).isNull() if date_column in df.columns else ~number
+    return df.where(~(token & units))
 
 
 def load_auction_data(spark: SparkSession, path: str, delimiter: str = ";") -> DataFrame:
@@ -185,18 +175,10 @@ def write_market_file(df: DataFrame, path: str, units: dict[str, str], date_colu
             if decimal_comma:
                 s = F.regexp_replace(s, r"\.", ",")
         fields.append(F.coalesce(s, F.lit("")))
-    lines = df.select(F.concat_ws(";", *fields).alias("value"))
     head = ";".join(cols)
     unit_line = ";".join(units.get(c, "") for c in cols)
-
-    def prepend(batches):
-        import pandas as pd
-
-        first = True
-        for b in batches:
-            if first and len(b):
-                yield pd.DataFrame({"value": [head, unit_line]})
-                first = False
-            yield b
-
-    lines.mapInPandas(prepend, "value string").write.mode("overwrite").text(path)
+    line = F.concat_ws(";", *fields)
+    # the two lines go before the first row of each partition, which writes one file
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = df.select(F.explode(F.when(in_partition == 0, F.array(F.lit(head), F.lit(unit_line), line)).otherwise(F.array(line))).alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -20,13 +20,13 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck_small():
-    from ampere.plans.check import duck
+    from oracle_compare import duck
 
     return duck(SF_SMALL)
 
 
 @pytest.fixture(scope="session")
 def duck_check():
-    from ampere.plans.check import duck
+    from oracle_compare import duck
 
     return duck(SF_CHECK)

@@ -5,7 +5,7 @@ import pytest
 
 from ampere.config import ModelType
 from ampere.plans import REGISTRY
-from ampere.plans.check import compare
+from oracle_compare import compare
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_CHECK = "/root/testdata/sf0.01"

@@ -7,9 +7,10 @@ import os
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.join(sys.path[0], "tests"))
 
 from ampere.plans import REGISTRY  # noqa: E402
-from ampere.plans.check import compare, duck  # noqa: E402
+from oracle_compare import compare, duck  # noqa: E402
 from ampere.session import local_session  # noqa: E402
 
 

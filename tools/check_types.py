@@ -2,9 +2,10 @@
 import sys
 import os
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.join(sys.path[0], "tests"))
 from ampere.session import local_session
 from ampere.plans import REGISTRY
-from ampere.plans.check import duck
+from oracle_compare import duck
 spark = local_session(8, 8)
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
 con = duck(sf)
