@@ -38,18 +38,27 @@ def correlation_columns(df: DataFrame, max_columns: int | None = 15) -> list[str
     return [f.name for f in df.schema.fields if isinstance(f.dataType, CORR_TYPES)][:max_columns]
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation over the complete pairs; null where a side is constant
+    (``corr`` itself divides by zero there, which ANSI mode refuses)."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
                        max_columns: int | None = 15) -> DataFrame | None:
     """Pairwise-complete Pearson correlation for every ordered pair
     of the given columns, or else of the first ``max_columns`` numeric ones
-    (None: all), from one aggregation; tidy rows (column_a, column_b, correlation). None with fewer than 2 columns."""
+    (None: all), from one aggregation; tidy rows (column_a, column_b,
+    correlation), null for a constant column. None with fewer than 2 columns."""
     cols = list(columns) if columns else correlation_columns(df, max_columns)
     if len(cols) < 2:
         return None
     x = df.select(*[F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")).alias(f"c{i}")
                     for i, c in enumerate(cols)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    agg = x.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs])
+    agg = x.agg(*[_pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
     rows = []
     for i, j in pairs:
         rows.append(F.struct(F.lit(cols[i]).alias("column_a"), F.lit(cols[j]).alias("column_b"),
