@@ -80,3 +80,6 @@ def op5_license_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")
     path = F.concat_ws("/", "source", "lang", shelf, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs.withColumn("path", path))
+
+
+ORACLES["op8_jump_shards"] = sharding.ORACLE_SQL

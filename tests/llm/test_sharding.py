@@ -29,7 +29,7 @@ def test_jump_hash_equals_reference(spark, shards):
 
 
 def test_documents(spark, small, texts):
-    rows = sharding.shard_documents(small, rows_per_bucket=20).collect()
+    rows = sharding.shard_documents(small).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     slots = collections.defaultdict(list)
     for r in rows:
@@ -41,7 +41,7 @@ def test_documents(spark, small, texts):
 
 
 def test_odd_rows(odd, empty):
-    rows = sharding.shard_documents(odd, rows_per_bucket=3).collect()
+    rows = sharding.shard_documents(odd).collect()
     assert len(rows) == odd.count()
     by_shard = collections.defaultdict(list)
     for r in rows:
@@ -55,3 +55,12 @@ def test_many_copies_of_a_row(spark):
     df = spark.range(5000).selectExpr("7L as doc_id", "'same' as text")
     slots = [r.slot for r in sharding.shard_documents(df).collect()]
     assert sorted(slots) == list(range(5000))
+
+
+def test_sql_twin(spark):
+    from oracle_compare import compare
+
+    from ampere.llm import ORACLES, QUERIES
+
+    r = compare(spark, "op8", QUERIES["op8_jump_shards"], ORACLES["op8_jump_shards"], "/root/testdata/sf0.001")
+    assert r["status"] == "match", r
