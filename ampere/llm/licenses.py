@@ -5,6 +5,8 @@ ancestor directory that holds a licence file. DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,6 @@ def template_weights(spark: SparkSession) -> tuple[DataFrame, float]:
     tokens = tokens.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license", "template")))
     weights = tokens.select("license", "template", "token", "idf", (F.col("w") / norm).alias("weight"))
-    import math
-
     return weights, math.log(1.0 + n) + 1.0
 
 
@@ -139,3 +139,62 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.2, named: s
         *[rows[k] for k in keys], F.coalesce("license", "inherited").alias("license"), "similarity",
         F.when(header, F.lit("header")).when(F.col("inherited").isNotNull(), F.lit("inherited")).alias("origin"),
         F.when(~header, F.col("from_directory")).alias("from_directory"))
+
+
+def oracle_sql(files: str, least: float = 0.7, file_share: float = 0.2) -> str:
+    """DuckDB twin of ``scan`` over the subquery ``files (doc_id, path, text)``
+    with at most four directories above a file; file names play no part."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(name)}, {i}, {quote(text)})" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
+    n = sum(map(len, TEMPLATES.values()))
+    return f"""
+WITH files AS ({files}),
+template_tf AS (
+  SELECT license, template, token, COUNT(*) AS tf FROM (
+    SELECT license, template, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM (VALUES {rows}) v(license, template, text)) t
+  GROUP BY ALL),
+idf AS (SELECT token, ln((1.0 + {n}) / (1.0 + COUNT(*))) + 1.0 AS idf FROM template_tf GROUP BY token),
+weights AS (
+  SELECT license, template, token, tf * idf / sqrt(SUM(tf * idf * tf * idf) OVER (PARTITION BY license, template)) AS weight
+  FROM template_tf JOIN idf USING (token)),
+-- an end of a sentence ends a line as well
+lines AS (
+  SELECT doc_id, path, unnest(string_split(regexp_replace(COALESCE(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS line FROM files),
+tokens AS (
+  SELECT doc_id, path, regexp_extract_all(lower(line), '{_TOKEN}') AS tokens FROM lines WHERE regexp_matches(line, '{_GATE}')),
+windows AS (
+  SELECT doc_id, path, list_slice(tokens, s, s + {_WIDTH - 1}) AS w FROM (
+    SELECT doc_id, path, tokens, unnest(range(1, greatest(len(tokens) - {_WIDTH - _STEP}, 1) + 1, {_STEP})) AS s
+    FROM tokens WHERE len(tokens) > 0) x),
+statements AS (SELECT doc_id, path, array_to_string(w, ' ') AS statement, len(w) AS words FROM windows),
+statement_tf AS (
+  SELECT statement, token, COUNT(*) AS tf FROM (
+    SELECT statement, unnest(string_split(statement, ' ')) AS token FROM (SELECT DISTINCT statement FROM statements) d) t GROUP BY ALL),
+vectors AS (SELECT statement, token, tf * COALESCE(idf, ln(1.0 + {n}) + 1.0) AS w FROM statement_tf LEFT JOIN idf USING (token)),
+norms AS (SELECT statement, sqrt(SUM(w * w)) AS norm FROM vectors GROUP BY statement),
+scored AS (
+  SELECT statement, license, ROUND(dot / norm, 6) AS similarity FROM (
+    SELECT statement, license, template, SUM(w * weight) AS dot FROM vectors JOIN weights USING (token) GROUP BY ALL) d JOIN norms USING (statement)),
+best AS (SELECT statement, arg_min(license, (-similarity, license)) AS license, MAX(similarity) AS similarity FROM scored GROUP BY statement),
+own AS (
+  SELECT doc_id, path, arg_min(license, (-similarity, license)) AS license, MAX(similarity) AS similarity, SUM(words) AS licensed
+  FROM statements JOIN best USING (statement) WHERE similarity >= {least} GROUP BY doc_id, path),
+carriers AS (
+  SELECT DISTINCT o.doc_id, o.path, o.license FROM own o JOIN files f ON f.doc_id = o.doc_id AND f.path = o.path
+  WHERE licensed >= {file_share} * len(regexp_extract_all(lower(f.text), '\\S+'))),
+votes AS (SELECT regexp_replace(path, '[^/]*$', '') AS directory, license, COUNT(*) AS n FROM carriers GROUP BY ALL),
+of_directory AS (SELECT directory AS from_directory, arg_min(license, (-n, license)) AS inherited FROM votes GROUP BY directory),
+directories AS (SELECT DISTINCT regexp_replace(path, '[^/]*$', '') AS directory FROM files),
+up AS (
+  SELECT directory, directory AS a, 4 AS depth FROM directories
+  UNION ALL SELECT directory, regexp_replace(directory, '[^/]*/$', ''), 3 FROM directories
+  UNION ALL SELECT directory, regexp_replace(directory, '[^/]*/[^/]*/$', ''), 2 FROM directories
+  UNION ALL SELECT directory, '', 1 FROM directories),
+nearest AS (
+  SELECT directory, arg_max(inherited, depth) AS inherited, arg_max(from_directory, depth) AS from_directory
+  FROM up JOIN of_directory ON from_directory = a GROUP BY directory)
+SELECT f.doc_id, f.path, COALESCE(o.license, inherited) AS license, similarity,
+  CASE WHEN o.license IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN o.license IS NULL THEN from_directory END AS from_directory
+FROM files f LEFT JOIN own o ON o.doc_id = f.doc_id AND o.path = f.path
+LEFT JOIN nearest ON directory = regexp_replace(f.path, '[^/]*$', '')"""

@@ -77,3 +77,12 @@ def test_documents_against_their_lines(spark, small, texts):
     for r in QUERIES["op5_license_paths"](spark, "/root/testdata/sf0.001").collect():
         own = {v for k, v in marks.items() if k in texts[r.doc_id]}
         assert (r.origin == "header") == bool(own) and (not own or r.license in own)
+
+
+def test_sql_twin(spark):
+    from oracle_compare import compare
+
+    from ampere.llm import ORACLES, QUERIES
+
+    r = compare(spark, "op5", QUERIES["op5_license_paths"], ORACLES["op5_license_paths"], "/root/testdata/sf0.01")
+    assert r["status"] == "match", r
