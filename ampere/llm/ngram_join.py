@@ -14,7 +14,6 @@ pair in blocks, so links are exact Jaccard values.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,34 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampere.llm import words as word_arrays
 from ampere.llm.tables import connected_components, least_labels, mix64, seeds64, spans_of, staged, whole_groups
 
-_WORD = re.compile(r"\w+")
 _SKETCH = 64
 _TOKENS_AT_ONCE = 1 << 15
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Distinct hashes (sorted uint64) of the runs of ``words`` lower-cased
-    words. A text of fewer words has one shingle of them all; one without
-    words has none."""
-    found = _WORD.findall((text or "").lower())
-    if not found:
+def _shingles(w: np.ndarray, words: int) -> np.ndarray:
+    if len(w) == 0:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
     n = min(words, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
@@ -59,6 +40,21 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(mix64(h))
 
 
+def shingle_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
+    """Distinct hashes (sorted uint64) of the runs of ``words`` words of each
+    lower-cased text. A text of fewer words has one shingle of them all; one
+    without words has none."""
+    for begin, end, h, row in word_arrays.slices(texts, 512):
+        bounds = np.searchsorted(row, np.arange(end - begin + 1))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield _shingles(h[lo:hi], words)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The shingle set of one text."""
+    return next(shingle_sets(pa.array([(text or "").lower()]), words))
+
+
 _SLOPES = seeds64(_SKETCH, 11) | np.uint64(1)
 
 
@@ -134,8 +130,7 @@ def path_table(docs: DataFrame, p: JoinParams) -> DataFrame:
                 part = batch.slice(at, 512)
                 digests, sizes, sketches = [], [], []
                 lists: list[list[np.ndarray]] = [[] for _ in names[4:]]
-                for text in part.column("text").to_pylist():
-                    s = shingles(text, p.words)
+                for s in shingle_sets(part.column("text"), p.words):
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     sketches.append(sketch(s))
@@ -154,7 +149,7 @@ def path_table(docs: DataFrame, p: JoinParams) -> DataFrame:
                      pa.array(sketches, pa.binary()), *map(_lists, lists)], names)
 
     schema = "doc_id long, digest binary, n long, sketch binary, " + ", ".join(f"{c} array<long>" for c in names[4:])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(paths, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(paths, schema)
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -267,10 +262,9 @@ def exact_links(docs: DataFrame, members: DataFrame, p: JoinParams) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("set"), part.column("component"), part.column("c"),
-                     pa.array([shingles(x, p.words).tobytes() for x in texts], pa.binary())],
+                     pa.array([x.tobytes() for x in shingle_sets(part.column("text"), p.words)], pa.binary())],
                     ["set", "component", "c", "tokens"])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +298,7 @@ def exact_links(docs: DataFrame, members: DataFrame, p: JoinParams) -> DataFrame
                     [pa.array(sets[kept]), pa.array(sets[label[kept]]), pa.array(links[kept])], ["set", "label", "links"])
 
     # always a merge join: the members grow with the corpus, so the plan is the same at every size
-    rows = (docs.select(F.col("doc_id").cast("long").alias("set"), "text").join(members.hint("merge"), "set")
+    rows = (docs.select(F.col("doc_id").cast("long").alias("set"), F.lower("text").alias("text")).join(members.hint("merge"), "set")
             .select("set", "component", "c", "text")
             .mapInArrow(tokens, "set long, component long, c long, tokens binary"))
     rows = in_blocks(rows, "component", "c", p.block)
@@ -352,3 +346,24 @@ def keep_one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
     kept = near_duplicates(docs, params).where("doc_id = class_id").select("doc_id")
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+
+
+#: DuckDB twin of ``near_duplicates(documents)``: all pairs that share a shingle
+ORACLE_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0) x),
+digests AS (
+  SELECT d.doc_id, COUNT(s) AS n, md5(COALESCE(string_agg(s, chr(10) ORDER BY s), '')) AS digest
+  FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id),
+sets AS (SELECT digest, MIN(doc_id) AS rep, COUNT(*) AS copies, MAX(n) AS n FROM digests GROUP BY digest),
+members AS (SELECT rep, n, s FROM sets JOIN shingles ON doc_id = rep),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM members a JOIN members b ON a.s = b.s AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING COUNT(*) >= 0.8 * (a.n + b.n - COUNT(*)) - 1e-9),
+reach AS (SELECT rep AS node, rep AS other FROM sets UNION SELECT node, b FROM reach JOIN links ON a = other),
+classes AS (SELECT node, MIN(other) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, class_id, (SELECT COUNT(*) FROM links WHERE a = rep) AS n_links, copies AS n_copies
+FROM digests JOIN sets USING (digest) JOIN classes ON node = rep"""

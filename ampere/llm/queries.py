@@ -85,3 +85,4 @@ def op5_license_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_jump_shards"] = sharding.ORACLE_SQL
 ORACLES["op5_license_paths"] = licenses.oracle_sql("""SELECT doc_id, source || '/' || lang || '/' ||
   CAST(CAST(FLOOR(doc_id / 1000) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents""")
+ORACLES["op4_chosen_path_join"] = ngram_join.ORACLE_SQL

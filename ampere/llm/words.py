@@ -43,25 +43,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return span_hashes(data, start, stop), np.searchsorted(offsets, start, side="right") - 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes: a polynomial of its bytes and its
+    size, mixed; all spans take a step together."""
     size = stop - start
     h = size.astype(np.uint64)
     order = np.argsort(-size, kind="stable")
-    live = np.searchsorted(-size[order], -np.arange(1, _LONG + 1), side="right")  # words of at least k bytes
+    live = np.searchsorted(-size[order], -np.arange(1, _LONG + 1), side="right")  # spans of at least k bytes
     by_size, at = h[order], start[order]
     for k in range(min(_LONG, int(size.max(initial=0)))):
         n = live[k]
         by_size[:n] = by_size[:n] * np.uint64(0x9E3779B97F4A7C15) + data[at[:n] + k]
-    for i in range(int(np.searchsorted(-size[order], -_LONG, side="left"))):  # longer words: their later bytes too
+    for i in range(int(np.searchsorted(-size[order], -_LONG, side="left"))):  # longer spans: their later bytes too
         rest = data[at[i] + _LONG : at[i] + size[order[i]]]
         powers = np.full(len(rest), 0x9E3779B97F4A7C15, np.uint64).cumprod(dtype=np.uint64)
         by_size[i : i + 1] += (rest * powers).sum(dtype=np.uint64)
     h[order] = by_size
-    return mix64(h), np.searchsorted(offsets, start, side="right") - 1
+    return mix64(h)
 
 
-def slices(texts: pa.Array, rows: int = 256, most: int = 1_500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(begin, end, hash, row)`` for consecutive rows of at most ``most``
-    bytes together, a longer text being a slice of its own. Null: no words."""
+def byte_slices(texts: pa.Array, rows: int = 256, most: int = 1_500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(begin, end, data, offsets)``: UTF-8 bytes of consecutive rows of at
+    most ``most`` bytes together, a longer text being a slice of its own, and
+    where each row begins (and the last ends). Null: empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if len(texts) == 0:
         return
@@ -72,6 +79,11 @@ def slices(texts: pa.Array, rows: int = 256, most: int = 1_500_000) -> Iterator[
     while at < len(texts):
         end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
         end = min(max(end, at + 1), at + rows, len(texts))
-        h, row = word_hashes(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
-        yield at, end, h, row
+        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+
+
+def slices(texts: pa.Array, rows: int = 256, most: int = 1_500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(begin, end, hash, row)``: the words of consecutive rows."""
+    for begin, end, data, offsets in byte_slices(texts, rows, most):
+        yield begin, end, *word_hashes(data, offsets)

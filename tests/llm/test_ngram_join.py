@@ -111,3 +111,12 @@ def test_components_of_a_long_chain(spark):
     rows = connected_components(edges).collect()
     assert len(rows) == 201 and {r.component for r in rows} == {0}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_sql_twin(spark):
+    from oracle_compare import compare
+
+    from ampere.llm import ORACLES, QUERIES
+
+    r = compare(spark, "op4", QUERIES["op4_chosen_path_join"], ORACLES["op4_chosen_path_join"], "/root/testdata/sf0.01")
+    assert r["status"] == "match", r
