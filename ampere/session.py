@@ -43,26 +43,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     application; it is removed when the application ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if configured.startswith(("file:", "/")) and not sc.master.startswith("local"):
+    current = sc.getCheckpointDir()  # Spark sets it from spark.checkpoint.dir itself where it can
+    configured = current or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local"):
             raise RuntimeError(
-                f"spark.checkpoint.dir is {configured}: executors of a cluster do not share a local folder")
+                "spark.checkpoint.dir is not set; ordered operators on a cluster need a shared checkpoint folder")
+        configured = tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp")
+    elif not sc.master.startswith("local") and _file_system(spark, configured).getScheme() == "file":
+        raise RuntimeError(f"the checkpoint folder is {configured}: executors of a cluster do not share a local folder")
+    if not current:
         sc.setCheckpointDir(configured)
-        return delete_on_exit(spark, sc.getCheckpointDir())
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; ordered operators on a cluster need a shared checkpoint folder"
-        )
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp"))
     return delete_on_exit(spark, sc.getCheckpointDir())
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> str:
     """Have the file system remove ``path`` when the application ends."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path (one without a scheme: the default one)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
