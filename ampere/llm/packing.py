@@ -12,14 +12,17 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampere.llm.tables import seeds64, staged
+from ampere.llm.words import byte_slices, span_hashes
 
 _BUCKETS = 1024
 _DIMS = 3
@@ -103,38 +106,127 @@ def hilbert_keys(points: np.ndarray, reach: float = _REACH, bits: int = _BITS) -
     return key
 
 
+def _classes() -> np.ndarray:
+    """Per byte: 0 white space, 1 ASCII letter, 2 ASCII sign other than an
+    apostrophe, 3 the rest (digits, apostrophes, control and non-ASCII bytes)."""
+    out = np.full(256, 3, np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[[*range(65, 91), *range(97, 123)]] = 1
+    out[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+    return out
+
+
+_CLASS = _classes()
+
+
 class CachedTokenizer:
-    """Token ids of texts as little-endian uint32 bytes. White space never
-    lies inside a token of the word-BPE vocabulary, so ids are looked up per
-    white-space piece; unseen pieces are encoded together."""
+    """Token ids of many texts at once. The word-BPE vocabulary lower-cases,
+    drops white space and never joins a letter with a sign, so a text falls
+    into units at white space and between ASCII letters and signs (not in a
+    white-space piece with an apostrophe, whose contractions count). Units
+    are told apart by 64-bit hashes; each new one is encoded once."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._known: dict[str, bytes] = {}
         self._most = most
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # characters that str.split breaks at, but the tokenizer does not
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        pieces = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        if len(self._known) > self._most:
-            self._known.clear()
-        unseen = list(set().union(*pieces).difference(self._known))
-        for at in range(0, len(unseen), 20_000):
-            part = unseen[at : at + 20_000]
-            self._known.update(zip(part, self._plain(part)))
-        get = self._known.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
-        for i, ids in zip(sorted(odd), self._plain([texts[i] for i in sorted(odd)])):
-            out[i] = ids
-        return out
+        ends = [i for token, i in self._tok.get_vocab().items() if token.endswith("</w>")]
+        self._ends_word = np.zeros(self._tok.get_vocab_size(), bool)
+        self._ends_word[ends] = True
+        self._place: dict[int, int] = {}  # unit hash -> its number
+        self._size = np.zeros(0, np.int64)  # ids of each unit
+        self._begin = np.zeros(0, np.int64)
+        self._used = np.zeros(0, np.int32)  # blocks of text that held it
+        self._ids = np.zeros(0, np.uint32)
+
+    def _forget(self) -> None:
+        """Drop the units that one block of text alone has held."""
+        kept = self._used > 1
+        if kept.all():
+            kept[:] = False
+        number = np.cumsum(kept) - 1
+        self._place = {h: int(number[p]) for h, p in self._place.items() if kept[p]}
+        self._ids = self._ids[np.repeat(kept, self._size)]  # ids lie in the order of the units
+        self._size, self._used = self._size[kept], np.zeros(int(kept.sum()), np.int32)
+        self._begin = np.cumsum(self._size) - self._size
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Encode new units. One of letters is one word, whose last id says so:
+        thousands of them are encoded as one text."""
+        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        order: list[int] = []
+        sizes, ids = [self._size], [self._ids]
+        joined = [words[at : at + 2000] for at in range(0, len(words), 2000)]
+        for group, e in zip(joined, self._tok.encode_batch_fast([" ".join([texts[k] for k in g]) for g in joined], add_special_tokens=False)):
+            found = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(self._ends_word[found]) + 1
+            if len(cut) == len(group):
+                order += group
+                sizes.append(np.diff(cut, prepend=0))
+                ids.append(found)
+            else:
+                rest += group
+        alone = [e.ids for e in self._tok.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+        order += rest
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        ids.append(np.fromiter(chain.from_iterable(alone), np.uint32, int(sizes[-1].sum())))
+        first = len(self._size)
+        self._place.update(zip([hashes[k] for k in order], range(first, first + len(order))))
+        self._size, self._ids = np.concatenate(sizes), np.concatenate(ids)
+        self._begin = np.cumsum(self._size) - self._size
+        self._used = np.concatenate((self._used, np.zeros(len(order), np.int32)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, bounds)`` of texts given as UTF-8 bytes and offsets: the
+        ids of row i are ``ids[bounds[i]:bounds[i + 1]]``."""
+        rows = len(offsets) - 1
+        if len(data) == 0:
+            return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
+        if len(self._place) > self._most:
+            self._forget()
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        kind = _CLASS[data]
+        solid = kind > 0
+        edge = np.zeros(len(data) + 1, bool)  # a piece between white space or rows begins or ends here
+        edge[1:-1] = solid[1:] != solid[:-1]
+        edge[[0, -1]] = True
+        edge[offsets] = True
+        turn = np.zeros(len(data) + 1, bool)  # a unit within a piece begins
+        turn[1:-1] = (kind[1:] + kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)
+        marks = np.flatnonzero(data == 39)
+        if len(marks):
+            bounds = np.flatnonzero(edge)
+            piece = np.unique(np.searchsorted(bounds, marks, side="right") - 1)
+            for lo, hi in zip(bounds[piece].tolist(), bounds[piece + 1].tolist()):
+                turn[lo:hi] = False
+        cut = np.flatnonzero(edge | turn)
+        start, stop = cut[:-1], cut[1:]
+        real = solid[start]
+        start, stop = start[real], stop[real]
+        unit, distinct = pd.factorize(span_hashes(data, start, stop))
+        first = np.zeros(len(distinct), np.int64)
+        first[unit[::-1]] = np.arange(len(unit) - 1, -1, -1)
+        hashes = distinct.tolist()
+        get = self._place.get
+        place = [get(x, -1) for x in hashes]
+        new = [k for k, p in enumerate(place) if p < 0]
+        if new:
+            raw = data.tobytes()
+            self._learn([hashes[k] for k in new], [raw[start[first[k]] : stop[first[k]]].decode() for k in new])
+            place = [get(x) for x in hashes]
+        place = np.array(place, np.int64)
+        self._used[place] += 1
+        of_unit = place[unit]
+        size, begin = self._size[of_unit], self._begin[of_unit]
+        ends = np.cumsum(size)
+        ids = self._ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - begin, size)]
+        # ids before the first unit of each row
+        before = np.concatenate(([0], ends))
+        return ids, before[np.searchsorted(start, offsets, side="left")]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
@@ -186,11 +278,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
         sequence, used = TaskContext.get().partitionId() << 32, 0
         last = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for begin, end, data, offsets in byte_slices(batch.column("text"), 1024, 3_000_000):
+                flat, bounds = tok.encode(data, offsets)
                 out = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.encode(part.column("text").to_pylist())):
-                    ids += last
+                for doc_id, lo, hi in zip(doc_ids[begin:end], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = flat[lo:hi].astype("<u4").tobytes() + last
                     tokens, start = len(ids) // 4, 0
                     while start < tokens:
                         n = min(tokens - start, capacity - used)

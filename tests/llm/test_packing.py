@@ -7,10 +7,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ampere.llm import packing
 from ampere.llm.queries import word_vocabulary
+from ampere.llm.words import byte_slices
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +83,24 @@ def test_points_depend_on_the_text_alone():
 
 
 def test_cached_tokenizer_equals_the_tokenizer(tok):
-    texts = ["Hello, World's  end now", "it's a\x1cb", "<|endoftext|> x", "naïve café ①②", "", "a,b ,c , d"] * 2
+    texts = ["Hello, World's  end now", "it's a\x1cb", "<|endoftext|> x", "naïve café, ①② e\u0301. x", "", "a,b ,c , d", "x'%s 'S! don't,stop",
+             "A.B.C %%% and%%%, \u00a0nbsp\u2003em…, (é) «q» 3.14 ab12c", "tail", " ", "head"] * 2
     cached = packing.CachedTokenizer(word_vocabulary(), most=3)
-    for _ in range(2):
-        assert cached.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+    for rows in (1, 3, 100):
+        got = []
+        for _, _, data, offsets in byte_slices(pa.array(texts), rows):
+            ids, bounds = cached.encode(data, offsets)
+            got += [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+        assert [g.tolist() for g in got] == [w.tolist() for w in want]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab'AZ., !%s\t\n09é\u0301ñ…ß"), st.characters(codec="utf-8")), max_size=40), max_size=5))
+def test_cached_tokenizer_on_any_text(tok, texts):
+    cached = packing.tokenizer(word_vocabulary())
+    got = []
+    for _, _, data, offsets in byte_slices(pa.array(texts, pa.string())):
+        ids, bounds = cached.encode(data, offsets)
+        got += [ids[lo:hi].tolist() for lo, hi in zip(bounds[:-1], bounds[1:])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
