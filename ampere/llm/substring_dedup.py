@@ -4,11 +4,13 @@ A gear rolling hash (a shift and a table look-up per character) cuts texts
 where its top bits are zero, so cuts depend on the last 16 characters alone
 and move with the text when something is inserted before them. Chunks that
 several documents hold are found by their digest; runs of adjacent repeated
-chunks become spans.
+chunks are extended, character by character, over the parts of chunks at
+either end that the documents share, and become spans.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,8 @@ _REACH = 16  # characters that a 16-bit gear hash remembers
 class ChunkParams:
     """Chunks end where ``bits`` top bits of the hash are zero (every 2^bits
     characters), at ``least`` characters or more and ``most`` or fewer. A run
-    of repeated chunks counts from ``span`` characters on."""
+    of repeated chunks with its extensions counts from ``span`` characters on,
+    or if it is the whole text."""
 
     bits: int = 5
     least: int = 16
@@ -37,6 +40,12 @@ class ChunkParams:
     span: int = 96
 
 
+#: documents to compare with: the first ones that share so many characters beside a chunk
+_RUNGS = (0, 16, 48, 128)
+_GAIN = 16  # characters that another than the chunk's first document must share beyond it
+_BACK = 128  # characters before the chunk in front of a run that are compared as well
+
+
 def gear_hashes(points: np.ndarray) -> np.ndarray:
     """Gear hash after each character: h = (h << 1) + gear[c], in 16 bits.
     Doubling: the hash over 2n characters joins two over n."""
@@ -75,14 +84,15 @@ def cuts(points: np.ndarray, p: ChunkParams) -> list[int]:
 
 
 def chunk_table(docs: DataFrame, p: ChunkParams) -> DataFrame:
-    """``(doc_id, start, length, d1, d2)``: all chunks of all whole texts with
-    their 128-bit digest; positions in code points."""
+    """``(doc_id, start, length, prev, next, d1, d2)``: all chunks of all whole
+    texts with their 128-bit digest; positions in code points; ``prev`` and
+    ``next``: lengths of the chunks before and after (0: none)."""
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, starts, lengths, digests = [], [], [], []
+                ids, starts, lengths, prevs, nexts, digests = [], [], [], [], [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     if not text:
                         continue
@@ -93,38 +103,170 @@ def chunk_table(docs: DataFrame, p: ChunkParams) -> DataFrame:
                     digests += [xxhash.xxh3_128_digest(view[4 * b : 4 * e]) for b, e in zip(begins, ends)]
                     ids.append(np.full(len(ends), doc_id, np.int64))
                     starts.append(np.array(begins, np.int64))
-                    lengths.append(np.diff([0, *ends]))
+                    sizes = np.diff([0, *ends])
+                    lengths.append(sizes)
+                    prevs.append(np.concatenate(([0], sizes[:-1])).astype(np.int32))
+                    nexts.append(np.concatenate((sizes[1:], [0])).astype(np.int32))
                 if ids:
                     d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, starts, lengths)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, starts, lengths, prevs, nexts)]
                                                      + [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
-                                                     ["doc_id", "start", "length", "d1", "d2"])
+                                                     ["doc_id", "start", "length", "prev", "next", "d1", "d2"])
+
+    return with_text(docs).mapInArrow(chunks, "doc_id long, start long, length long, prev int, next int, d1 long, d2 long")
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, zipped)``: texts compressed one by one, for the shuffle."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.encode() for x in batch.column("text").to_pylist()]
+            zipped = [len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(zipped, pa.binary())], ["doc_id", "zipped"])
+
+    return with_text(docs).where("text <> ''").mapInArrow(pack, "doc_id long, zipped binary")
+
+
+def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(doc_id, start, side, d1, d2, length, mine, context, whole)``: the text
+    beside the chunks of ``places (doc_id, start, length, side, d1, d2, reach,
+    mine)``, up to ``reach`` characters: before it and backwards (side 0) or
+    after it (side 1); ``whole``: up to the border of the text. Places given
+    twice count once."""
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(chunks, "doc_id long, start long, length long, d1 long, d2 long")
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
+                    zipped = r["zipped"]
+                    points = codepoints(pa.decompress(zipped[8:], int.from_bytes(zipped[:8], "little"), "zstd", asbytes=True).decode())
+                    view = memoryview(points).cast("B")
+                    mine = {(x["start"], x["side"]) for x in r["places"] if x["mine"]}
+                    for x in r["places"]:
+                        b, e = x["start"], x["start"] + x["length"]
+                        if x["mine"] or e > len(points):
+                            continue
+                        digest = np.frombuffer(xxhash.xxh3_128_digest(view[4 * b : 4 * e]), np.int64)
+                        if digest[0] != x["d1"] or digest[1] != x["d2"]:  # another text of this id
+                            continue
+                        left, room = x["side"] == 0, b if x["side"] == 0 else len(points) - e
+                        beside = points[max(0, b - x["reach"]) : b][::-1] if left else points[e : e + x["reach"]]
+                        rows.append((r["doc_id"], b, x["side"], x["d1"], x["d2"], x["length"], (b, x["side"]) in mine,
+                                     beside.tobytes().decode("utf-32-le", "replace"), len(beside) == room))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    names = ["doc_id", "start", "side", "d1", "d2", "length", "mine", "context", "whole"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_()]
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "side", "d1", "d2", "reach", "mine")).alias("places"))
+    return packed(docs).join(by_doc.hint("merge"), "doc_id").mapInArrow(
+        cut, "doc_id long, start long, side int, d1 long, d2 long, length long, mine boolean, context string, whole boolean")
+
+
+def shared_lengths(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``shared``, the length of the common beginning of
+    ``context`` and ``other``, in place of those two."""
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("context").to_pylist(), batch.column("other").to_pylist())
+            shared = pa.array([(len(os.path.commonprefix(x)), len(x[0])) for x in both], pa.list_(pa.int64(), 2)).flatten()
+            out = batch.drop_columns(["context", "other", "whole"])
+            whole = np.asarray(batch.column("whole").to_numpy(zero_copy_only=False)) & (np.asarray(shared[::2]) == np.asarray(shared[1::2]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.asarray(shared[::2])), pa.array(whole)], [*out.schema.names, "shared", "whole"])
+
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name not in ("context", "other", "whole")]
+    return pairs.mapInArrow(measure, ", ".join([*kept, "shared long", "whole boolean"]))
+
+
+def extensions(docs: DataFrame, repeated: DataFrame, runs: DataFrame, params: ChunkParams) -> DataFrame:
+    """``(doc_id, start, end, last, copy_of)``: what the ends of ``runs`` share
+    with a document of smaller id that holds the same chunk, beyond the chunk.
+
+    Of the documents compared, the one that shares the most counts; ties and
+    less than 16 characters more go to the first document of the chunk. After
+    a chunk both texts are cut alike, so less than one more chunk can be
+    shared; before it, cuts may differ for a while: 128 characters before the
+    next chunk are compared as well.
+    """
+    edge = lambda side, x, reach: F.struct(F.lit(side).alias("side"), x["start"].alias("start"), x["length"].alias("length"), x["d1"].alias("d1"),
+                                           x["d2"].alias("d2"), reach.cast("int").alias("reach"))
+    edges = runs.select("doc_id", F.explode(F.array(
+        edge(0, F.col("head"), F.when(F.col("head.start") > 0, F.col("head.prev") + _BACK).otherwise(F.lit(0))),
+        edge(1, F.col("tail"), F.col("tail.next")))).alias("e")).select("doc_id", "e.*", F.lit(True).alias("mine")).where("reach > 0")
+    sought = edges.groupBy("d1", "d2", "side").agg(F.max("reach").alias("reach"))
+    places = repeated.select("doc_id", "start", "length", "d1", "d2").join(sought.hint("merge"), ["d1", "d2"]).withColumn("mine", F.lit(False))
+    beside = staged(contexts(docs, places.unionByName(edges)), "chunk-contexts")
+    # the first place of each chunk with these 0, 16, ... characters beside it
+    rungs = F.filter(F.array(*map(F.lit, _RUNGS)), lambda k: k <= F.char_length("context"))
+    key = lambda k: F.xxhash64("d2", "side", k, F.substring(F.col("context"), F.lit(1), k))
+    place = ["doc_id", "start", "side", "d1", "d2"]
+    steps = beside.select(*place, "mine", F.explode(F.transform(rungs, lambda k: F.struct(k.alias("k"), key(k).alias("key")))).alias("s"))
+    steps = steps.select(*place, "mine", "s.k", "s.key")
+    least = steps.groupBy("d1", "key").agg(F.min(F.struct("doc_id", "start")).alias("source"))
+    least = least.select("d1", "key", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
+    best = steps.where("mine").drop("mine").join(least.hint("merge"), ["d1", "key"]).where("source_doc < doc_id")
+    best = best.groupBy(*place, "source_doc", "source_start").agg(F.min("k").alias("k"))
+    ours = beside.where("mine").groupBy(*place).agg(F.min(F.struct("length", "context", "whole")).alias("c"))
+    other = beside.groupBy(*place).agg(F.min("context").alias("other"))  # once for repeated rows of one id
+    other = other.withColumnsRenamed({"doc_id": "source_doc", "start": "source_start"})
+    pairs = best.join(ours.hint("merge"), place).select(*place, "k", "source_doc", "source_start", "c.*")
+    pairs = pairs.join(other.hint("merge"), ["source_doc", "source_start", "side", "d1", "d2"])
+    pairs = pairs.select("doc_id", "start", "length", "side", "source_doc", "k", "context", "other", "whole")
+    gain = F.col("shared") - F.when(F.col("k") > 0, F.lit(_GAIN)).otherwise(F.lit(0))
+    found = shared_lengths(pairs).groupBy("doc_id", "start", "length", "side").agg(
+        F.max(F.struct(gain.alias("gain"), (-F.col("source_doc")).alias("less"), "shared", "whole")).alias("f"))
+    found = found.select("doc_id", "start", "length", "side", (-F.col("f.less")).alias("source_doc"), "f.shared", "f.whole").where("shared > 0")
+    after = F.col("start") + F.col("length")
+    return found.select("doc_id", F.when(F.col("side") == 0, F.col("start") - F.col("shared")).otherwise(after).alias("start"),
+                        F.when(F.col("side") == 0, F.col("start")).otherwise(after + F.col("shared")).alias("end"),
+                        ((F.col("side") == 1) & F.col("whole")).alias("last"), F.array("source_doc").alias("copy_of"))
 
 
 def repeated_spans(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """``doc_id, start, length, chunks, copy_of``: spans (code points) that a
-    document repeats from documents with smaller ids, which keep them.
+    document repeats from documents with smaller ids, which keep them: runs of
+    repeated chunks and what their ends share beyond, ``span`` characters or
+    more, and whole texts of any length.
 
-    ``copy_of``: sorted ids of the first documents of the span's chunks.
-    Repeats inside one document are left alone. Rows without id or text have
-    no spans; repeated rows of one id count as one document; other columns are
-    ignored; an empty table gives no spans.
+    ``chunks``: the number of whole chunks; ``copy_of``: sorted ids of the
+    first documents of the span's chunks and of those its ends were compared
+    with. Repeats inside one document are left alone. Rows without id or text
+    have no spans; repeated rows of one id count as one document; other
+    columns are ignored; an empty table gives no spans.
     """
     chunks = staged(chunk_table(docs, params), "chunks")
     first = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     first = first.where("first_doc <> last_doc").select("d1", "d2", "first_doc")
-    again = chunks.join(first, ["d1", "d2"]).where("doc_id <> first_doc")
-    again = again.groupBy("doc_id", "start").agg(F.max("length").alias("length"), F.min("first_doc").alias("first_doc"))
+    repeated = staged(chunks.join(first, ["d1", "d2"]), "repeated-chunks")
+    again = repeated.where("doc_id <> first_doc").groupBy("doc_id", "start").agg(
+        F.min(F.struct((-F.col("length")).alias("less"), "first_doc", "prev", "next", "d1", "d2")).alias("c"))
+    again = again.select("doc_id", "start", (-F.col("c.less")).alias("length"), "c.first_doc", "c.prev", "c.next", "c.d1", "c.d2")
     by_place = Window.partitionBy("doc_id").orderBy("start")
     gap = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by_place) != F.col("start"), F.lit(True))
     run = F.sum(gap.cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-    runs = again.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("chunks"),
-        F.array_sort(F.collect_set("first_doc")).alias("copy_of"))
-    return runs.where(F.col("length") >= params.span).drop("run")
+    chunk = F.struct("start", "length", "prev", "next", "d1", "d2")
+    runs = staged(again.withColumn("run", run).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("chunks"),
+        F.collect_set("first_doc").alias("copy_of"), F.min(chunk).alias("head"), F.max(chunk).alias("tail")), "chunk-runs")
+    parts = runs.select("doc_id", "start", "end", (F.col("tail.next") == 0).alias("last"), "copy_of", "chunks").unionByName(
+        extensions(docs, repeated, runs, params).withColumn("chunks", F.lit(0).cast("bigint")))
+    # runs and extensions that touch or overlap are one span
+    by_place = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("gap", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    spans = parts.withColumn("span", F.sum("gap").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("last").alias("last"), F.sum("chunks").alias("chunks"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("copy_of")))).alias("copy_of"))
+    length = F.col("end") - F.col("start")
+    return spans.where((length >= params.span) | (F.col("start") == 0) & F.col("last")).select(
+        "doc_id", "start", length.alias("length"), "chunks", "copy_of")
 
 
 def without_spans(text: Column, spans: Column) -> Column:

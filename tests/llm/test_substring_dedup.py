@@ -81,3 +81,35 @@ def test_copies_are_spans_of_the_first(spark):
     text = text_of(random.Random(9), 100)
     spans = sub.repeated_spans(documents(spark, [(5, text), (2, text), (9, text), (9, text)])).collect()
     assert sorted((r.doc_id, r.start, r.length, r.copy_of) for r in spans) == [(5, 0, len(text), [2]), (9, 0, len(text), [2])]
+
+
+def test_short_copies_and_passages_without_a_long_run(spark):
+    rng = random.Random(6)
+    p = sub.ChunkParams()
+
+    def longest_run(text, passage):
+        at, ends = text.index(passage), sub.cuts(sub.codepoints(text), p)
+        inside = [e for e in [0, *ends] if at <= e <= at + len(passage)]
+        return inside[-1] - inside[0] if len(inside) > 1 else 0
+
+    rows, planted = [(1, "Thanks, all done."), (2, "Thanks, all done."), (3, "Thanks, all gone.")], {}
+    while len(planted) < 12:  # passages whose whole chunks are shorter than a span
+        passage = text_of(rng, 51)
+        d = len(rows) + 1
+        texts = [f"{text_of(rng, 90)} {passage} {text_of(rng, 90)}" for _ in range(2)]
+        if 0 < max(longest_run(t, passage) for t in texts) < p.span:
+            rows += [(d, texts[0]), (d + 1, texts[1])]
+            planted[d + 1] = passage
+    # the first holder of a chunk need not be the one that shares the passage
+    passage, texts = list(planted.items())[0][1], dict(rows)
+    runs = [c for c in zip([0, *sub.cuts(sub.codepoints(passage), p)], sub.cuts(sub.codepoints(passage), p)) if c[1] < len(passage)]
+    rows.append((0, f"{text_of(rng, 30)} {passage[max(0, runs[0][0] - 16) : runs[-1][1]]}"))
+    texts = dict(rows)
+    spans = sub.repeated_spans(documents(spark, rows)).collect()
+    got = {r.doc_id: r for r in spans if r.doc_id in planted}
+    assert (2, 0, 17, [1]) in [(r.doc_id, r.start, r.length, r.copy_of) for r in spans] and 3 not in {r.doc_id for r in spans}
+    assert set(got) == set(planted)
+    for d, passage in planted.items():
+        at = texts[d].index(passage)
+        assert got[d].start <= at and got[d].start + got[d].length >= at + len(passage)
+        assert any(texts[d][got[d].start : got[d].start + got[d].length] in texts[c] for c in got[d].copy_of)
