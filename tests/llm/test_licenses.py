@@ -86,3 +86,29 @@ def test_sql_twin(spark):
 
     r = compare(spark, "op5", QUERIES["op5_license_paths"], ORACLES["op5_license_paths"], "/root/testdata/sf0.01")
     assert r["status"] == "match", r
+
+
+def test_headers_over_lines_licence_files_and_tags(spark):
+    import textwrap
+
+    code = "\n".join("x = compute(alpha, beta, row_%d) + other_value" % i for i in range(80))
+    wrap = lambda text, mark: textwrap.fill(text, 70, initial_indent=mark, subsequent_indent=mark)
+    t = licenses.TEXTS
+    rows, want = [], {}
+
+    def add(path, text, name):
+        rows.append((len(rows), path, text))
+        want[len(rows) - 1] = name
+
+    for k, (name, mark) in enumerate((("GPL-3.0", "# "), ("GPL-2.0", " * "), ("LGPL-3.0", "// "), ("AGPL-3.0", "# "), ("Apache-2.0", "# "), ("MPL-2.0", "-- "))):
+        for before in (0, 7, 31):  # words in front move the windows
+            add(f"h{k}/{before}.py", "word " * before + "\n# Copyright (C) 2020 Some One\n" + wrap(t[name][0], mark) + "\n" + code, name)
+    for k, name in enumerate(("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Unlicense", "Apache-2.0", "GPL-3.0", "GPL-2.0", "MPL-2.0")):
+        add(f"f{k}/LICENSE", "Copyright (c) 2020, Some One. All rights reserved.\n\n" + wrap(t[name][-1], "    "), name)
+        add(f"f{k}/src/a.py", code, name)
+    for k, (tag, name) in enumerate((("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("gpl-2.0+", "GPL-2.0"), ("Zlib", "Zlib"))):
+        add(f"s{k}/a.c", f"/* SPDX-License-Identifier: {tag} */\n{code}", name)
+    add("n/a.py", f"# Released under the MIT License.\n{code}", "MIT")
+    add("n2/a.py", f"# We read the terms of the licence once and had permission.\n{code}", None)
+    got = {r.doc_id: r.license for r in licenses.scan(files(spark, rows)).collect()}
+    assert got == want, {rows[k][1]: (got[k], want[k]) for k in want if got[k] != want[k]}
