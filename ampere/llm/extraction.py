@@ -216,6 +216,7 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     outside = outside > (0 if (outside == 0).any() else 1)  # where all is marked by class, classes say nothing
     ratios = np.where(outside, 0.0, sizes / np.maximum(1, np.array(tags)))
     content = content_cluster(np.log1p(smooth(ratios, sigma))) & ~outside
+    core = content & content_cluster(np.log1p(ratios))  # by their own ratio too, not only their neighbours'
     if not content.any():
         content = ~outside
     if not content.any():
@@ -235,9 +236,13 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
         best = max(articles, key=lambda r: (total[r], any_text[r], -r))
     else:
         best = 0
-    # without such an element, the innermost one that holds most of the content
+    # without such an element, the innermost one that holds all lines that are content by their own ratio
+    needed = np.zeros(len(page.parents), int)
+    np.add.at(needed, np.array(regions), core if core.any() else content)
+    for r in range(len(needed) - 1, 0, -1):
+        needed[page.parents[r]] += needed[r]
     while not articles:
-        inside = [r for r in range(1, len(total)) if page.parents[r] == best and total[r] >= 0.7 * total[best]]
+        inside = [r for r in range(1, len(needed)) if page.parents[r] == best and needed[r] == needed[best]]
         if not inside:
             break
         best = inside[0]

@@ -45,6 +45,17 @@ def test_templates(page, text):
     assert main_text(page) == " ".join(text.split())
 
 
+def test_content_in_sibling_elements():
+    part = lambda n: f"<div><p>{LONG * n}</p></div>"
+    for sizes in ((1, 3), (3, 1), (1, 1, 6), (2, 8, 2)):
+        page = f"<nav><a href=x>menu</a></nav><div id=page>{''.join(map(part, sizes))}</div><footer>&copy; x</footer>"
+        assert main_text(page) == " ".join((LONG * sum(sizes)).split())
+    # every level of nesting has a part of the article
+    menu = "<ul>" + "<li><a href=x>menu</a></li>" * 9 + "</ul>"
+    page = f"{menu}<div id=page>{part(2)}<div>{part(2)}<div>{part(3)}{part(5)}</div></div></div>{menu}"
+    assert main_text(page) == " ".join((LONG * 12).split())
+
+
 def test_long_page():
     text = main_text("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>")
     assert text == " ".join((LONG * 5000).split())
