@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampere.llm import (decontamination, extraction, fingerprints, licenses, ngram_join, packing, pii, sharding,
-                        substring_dedup, toxicity)
+from ampere.llm import (alignment, decontamination, extraction, fingerprints, licenses, ngram_join, packing,
+                        pii, sharding, substring_dedup, toxicity)
 from ampere.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,14 @@ def op5_license_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", path))
 
 
+@query
+def op11_asof_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
+
+
 ORACLES["op8_jump_shards"] = sharding.ORACLE_SQL
 ORACLES["op5_license_paths"] = licenses.oracle_sql("""SELECT doc_id, source || '/' || lang || '/' ||
   CAST(CAST(FLOOR(doc_id / 1000) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents""")
