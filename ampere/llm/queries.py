@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampere.llm import (alignment, decontamination, extraction, fingerprints, licenses, ngram_join, packing,
-                        pii, repair, sharding, substring_dedup, toxicity)
+                        pii, repair, sharding, substring_dedup, topk, toxicity)
 from ampere.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_asof_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
 
 
+@query
+def op12_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_weight_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(table(spark, sf_dir, "conversations"))
@@ -100,3 +105,4 @@ ORACLES["op5_license_paths"] = licenses.oracle_sql("""SELECT doc_id, source || '
   CAST(CAST(FLOOR(doc_id / 1000) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents""")
 ORACLES["op4_chosen_path_join"] = ngram_join.ORACLE_SQL
 ORACLES["op13_weight_repair"] = repair.ORACLE_SQL
+ORACLES["op12_block_pruning"] = topk.ORACLE_SQL
