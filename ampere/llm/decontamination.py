@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampere.llm import words as word_arrays
-from ampere.llm.tables import mix64, spans_of, staged
+from ampere.llm.tables import mix64, numbered, spans_of, staged
 
 
 @dataclass(frozen=True)
@@ -375,7 +375,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: RetrievalParams =
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
-    """Documents without a benchmark passage, all columns. The list of leaks
-    is small beside the corpus; ids without text or null ids stay."""
-    leaked = staged(find_leaks(docs, benchmark, params), "leaks").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a benchmark passage, all columns. Rows are told apart by a
+    number of their own: each goes or stays by its own text, whether its id is
+    null or another row's too. The list of leaks is small beside the corpus."""
+    rows = numbered(docs, "leak-docs")
+    leaked = find_leaks(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, params)
+    leaked = staged(leaked.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    return rows.join(leaked, "row", "left_anti").select("doc.*")

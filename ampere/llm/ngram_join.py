@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampere.llm import words as word_arrays
-from ampere.llm.tables import connected_components, least_labels, mix64, seeds64, spans_of, staged, whole_groups
+from ampere.llm.tables import connected_components, least_labels, mix64, numbered, seeds64, spans_of, staged, whole_groups
 
 _SKETCH = 64
 _TOKENS_AT_ONCE = 1 << 15
@@ -341,11 +341,15 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """The document with the least id of each class, all columns; repeated
-    rows of that id count as one, rows without an id stay."""
-    kept = near_duplicates(docs, params).where("doc_id = class_id").select("doc_id")
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each class, all columns: the one with the least id, a null
+    id after all others. Rows are told apart by a number of their own, so two
+    texts that share an id, or have none, are judged each by its text; of
+    repeated rows one stays."""
+    rows = numbered(docs, "join-docs")
+    classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), params)
+    known = rows.select("row", F.col("doc.doc_id").alias("id")).join(classes.select(F.col("doc_id").alias("row"), "class_id"), "row")
+    kept = known.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 #: DuckDB twin of ``near_duplicates(documents)``: all pairs that share a shingle

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampere.llm.tables import codepoints, seeds64, staged
+from ampere.llm.tables import codepoints, numbered, seeds64, staged
 
 #: the gear table: 2^16 fixed random numbers, one for each low half of a code point
 _GEAR = (seeds64(1 << 16, 3) >> np.uint64(48)).astype(np.uint16)
@@ -280,9 +280,21 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
-    """``docs`` with repeated spans cut out of ``text``; all rows and columns stay."""
-    spans = repeated_spans(docs, params).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_spans")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    """``docs`` with repeated spans cut out of ``text``; all rows and columns
+    stay. A document is an id with a text: rows that repeat both are cut
+    alike, two texts of one id are two documents, and each row with a null id
+    is one, after all others (equal ids by their texts)."""
+    text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = numbered(docs, "dedup-docs", [F.col("doc_id").asc_nulls_last(), text_hash])
+    known = rows.select("row", F.col("doc.doc_id").alias("id"), F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("hash"))
+    # rows without an id stand for themselves
+    known = known.withColumn("alone", F.when(F.col("id").isNull(), F.col("row")))
+    firsts = known.groupBy("id", "hash", "alone").agg(F.min("row").alias("first"))
+    same = firsts["id"].eqNullSafe(known["id"]) & (firsts["hash"] == known["hash"]) & firsts["alone"].eqNullSafe(known["alone"])
+    place = staged(known.join(firsts, same).select(known["row"], "first"), "dedup-places")
+    texts = rows.join(place.where("row = first").select("row"), "row", "left_semi")
+    spans = repeated_spans(texts.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), params)
+    spans = spans.groupBy(F.col("doc_id").alias("first")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    joined = rows.join(place.join(spans, "first"), "row", "left")
+    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(without_spans(F.col("doc.text"), F.col("spans")))
+    return joined.withColumn("doc", F.col("doc").withField("text", text)).select("doc.*")

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampere.session import ensure_checkpoint_dir
@@ -30,6 +30,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
+    """``row, doc``: the rows of ``docs`` as structs, written once, each with a
+    number of its own, so that rows whose ids repeat or are null can be told
+    apart. With ``order`` (columns of ``docs``) the numbers rise in that order."""
+    if order:
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), name)
+
+
 def codepoints(text: str) -> np.ndarray:
     """Code points of a text as uint32 (lone surrogates pass)."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -112,3 +112,12 @@ def test_odd_rows(spark, odd, empty):
     assert dec.find_leaks(empty, bench).count() == 0 and dec.find_leaks(odd, bench.limit(0)).count() == 0
     kept = dec.drop_leaks(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_each_row_goes_or_stays_by_its_own_text(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    bench = spark.createDataFrame([(3, passage)], "item_id long, text string")
+    leak, clean = f"we saw {passage} there", "a clean text of quite ordinary words that shares nothing with the other one"
+    rows = [(1, leak), (1, clean), (None, leak), (None, clean), (None, None), (2, clean), (2, clean), (7, "")]
+    kept = dec.drop_leaks(documents(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((r for r in rows if r[1] != leak), key=str)

@@ -84,8 +84,28 @@ def test_odd_rows(odd, empty, texts):
     assert ngram_join.near_duplicates(empty).count() == 0
     kept = ngram_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and {None, 0} <= set(ids) and not {1, 2} & set(ids)
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(rows) == len(set(rows)) and {None, 0} <= {i for i, _ in rows} and not {1, 2} & {i for i, _ in rows}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    t, u = ("the same words in this text as in the other one " * 3, "quite another text that nobody else has ever written down here")
+    rows = [(1, t), (9, t), (9, u), (10, u + " " + u), (None, t), (None, u + " x"), (None, "only here: a text without an id and without copies"),
+            (None, "only here: a text without an id and without copies"), (4, None), (4, "")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one_of_each(documents(spark, rows)).collect()), key=str)
+    assert kept.count((1, t)) == 1 and (9, t) not in kept and (None, t) not in kept
+    assert (9, u) in kept and kept.count((None, rows[6][1])) == 1
+    assert sum(i == 4 for i, _ in kept) == 1
+    texts = [x or "" for _, x in kept]
+    of_row = brute({k: x or "" for k, (_, x) in enumerate(rows)})
+    assert len({of_row[[x or "" for _, x in rows].index(x)][0] for x in texts}) == len(texts) == len({c for c, _, _ in of_row.values()})
+
+
+def test_buckets_that_split_lose_no_link(spark):
+    """Production parameters but for the size from which buckets split."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in rows.select("doc_id", "text").collect()}
+    assert result(ngram_join.near_duplicates(rows, JoinParams(small=2))) == brute(texts)
 
 
 def test_runs_follow_the_recall():

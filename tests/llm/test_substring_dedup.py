@@ -113,3 +113,14 @@ def test_short_copies_and_passages_without_a_long_run(spark):
         at = texts[d].index(passage)
         assert got[d].start <= at and got[d].start + got[d].length >= at + len(passage)
         assert any(texts[d][got[d].start : got[d].start + got[d].length] in texts[c] for c in got[d].copy_of)
+
+
+def test_no_text_is_lost_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(11)
+    t, u, v = (text_of(rng, 100) for _ in range(3))
+    rows = [(1, t), (5, t), (5, u), (5, u), (None, v), (None, v), (None, f"{text_of(rng, 30)} {t}"), (6, None)]
+    cut = sub.deduplicate(documents(spark, rows)).collect()
+    texts = sorted((str(r.doc_id), r.text) for r in cut if r.text)
+    assert len(cut) == len(rows) and [x for x in texts if x[0] != "None"] == sorted([("1", t), ("5", u), ("5", u)])
+    alone = [x for i, x in texts if i == "None"]
+    assert v in alone and len(alone) == 2 and all(t not in x for x in alone)
