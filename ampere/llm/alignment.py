@@ -131,43 +131,95 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     space that goes in front, the others begin with one. They begin at spaces
     after an ASCII character other than white space, or between a non-ASCII
     and such a character; never at a text's last character."""
-    space = np.flatnonzero(data[1:-1] == 32) + 1
-    space = space[~np.isin(space + 1, offsets)]
+    last = np.zeros(len(data) + 1, bool)
+    last[offsets[1:] - 1] = True
+    space = np.flatnonzero((data[1:-1] == 32) & ~last[1 : len(data) - 1]) + 1
     solid = lambda b: (b > 32) & (b < 128)
     before, after = data[space - 1], data[space + 1]
     first = space[solid(before) | (before >= 128) & solid(after)]
-    begins = np.unique(np.concatenate((first, offsets[:-1][np.diff(offsets) > 0])))
+    begins = np.zeros(len(data), bool)
+    begins[first] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    begins = np.flatnonzero(begins)
     return begins, np.append(begins[1:], len(data))[: len(begins)]
 
 
-def align_batch(side_a: Side, side_b: Side, data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
+class Units:
+    """Token ids of the units met so far for both sides, told apart by 64-bit
+    hashes of what follows their space; each is encoded once while it is held.
+    Beyond ``most`` units, those that one slice of text alone has held go."""
+
+    def __init__(self, side_a: Side, side_b: Side, most: int = 400_000):
+        self.side_a, self.side_b, self._most = side_a, side_b, most
+        self._place: dict[int, int] = {}
+        self._slices = np.zeros(0, np.int64)  # slices that held the unit
+        self.exact = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int32)] * 2
+        self.count = [np.zeros(0, np.int64)] * 2
+        self.begin = [np.zeros(0, np.int64)] * 2
+
+    def _forget(self) -> None:
+        kept = self._slices > 1
+        if 2 * kept.sum() > self._most:
+            kept[:] = False
+        number = np.cumsum(kept) - 1
+        self._place = {h: int(number[p]) for h, p in self._place.items() if kept[p]}
+        self._slices, self.exact = np.zeros(int(kept.sum()), np.int64), self.exact[kept]
+        for k in range(2):
+            self.ids[k] = self.ids[k][np.repeat(kept, self.count[k])]  # ids lie in the order of the units
+            self.count[k] = self.count[k][kept]
+            self.begin[k] = np.cumsum(self.count[k]) - self.count[k]
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Number of the unit of each span of bytes."""
+        if len(self._place) > self._most:
+            self._forget()
+        unit, distinct = pd.factorize(span_hashes(data, start, stop))
+        hashes = distinct.tolist()
+        place = [self._place.get(h, -1) for h in hashes]
+        new = [k for k, n in enumerate(place) if n < 0]
+        if new:
+            first = np.zeros(len(distinct), np.int64)
+            first[unit[::-1]] = np.arange(len(unit) - 1, -1, -1)
+            raw = data.tobytes()
+            texts = [" " + raw[lo:hi].decode() for lo, hi in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
+            exact = np.ones(len(new), bool)
+            for k, side in enumerate((self.side_a, self.side_b)):
+                ids, count, own = side.encode(texts)
+                exact &= own
+                self.ids[k] = np.concatenate((self.ids[k], ids.astype(np.int32)))
+                self.count[k] = np.concatenate((self.count[k], count))
+                self.begin[k] = np.cumsum(self.count[k]) - self.count[k]
+            self.exact = np.concatenate((self.exact, exact))
+            self._place.update(zip((hashes[k] for k in new), range(len(self._slices), len(self._slices) + len(new))))
+            self._slices = np.concatenate((self._slices, np.zeros(len(new), np.int64)))
+            place = [self._place[h] for h in hashes]
+        place = np.array(place, np.int64)
+        self._slices[place] += 1
+        return place[unit]
+
+
+def align_batch(units: Units, data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
     """One entry per text (UTF-8 bytes and offsets) under ``n_a, n_b,
     n_groups, n_links, groups`` and, as (codes, counts), ``pairs``."""
-    rows = len(offsets) - 1
+    side_a, side_b, rows = units.side_a, units.side_b, len(offsets) - 1
     start, stop = _units(data, offsets)
     row = np.searchsorted(offsets, start, side="right") - 1
-    opens = np.isin(start, offsets[:-1])  # the space in front is not in the data
-    from_byte = np.where(opens, start, start + 1)
-    unit, _ = pd.factorize(span_hashes(data, from_byte, stop))  # told apart by 64-bit hashes of what follows the space
-    first = np.zeros(unit.max(initial=-1) + 1, np.int64)
-    first[unit[::-1]] = np.arange(len(unit) - 1, -1, -1)
-    raw = data.tobytes()
-    units = [" " + raw[lo:hi].decode() for lo, hi in zip(from_byte[first].tolist(), stop[first].tolist())]
-    tokens = [side.encode(units) for side in (side_a, side_b)]
-    exact = tokens[0][2] & tokens[1][2]
+    opens = offsets[row] == start  # the space in front is not in the data
+    unit = units.numbers(data, np.where(opens, start, start + 1), stop)
     good = np.ones(rows, bool)
-    good[row[~exact[unit]]] = False
+    good[row[~units.exact[unit]]] = False
     unit, row = unit[good[row]], row[good[row]]
 
-    def laid_out(ids: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = count[unit]
+    def laid_out(k: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = units.count[k][unit]
         ends = np.cumsum(n)
-        begin = (np.cumsum(count) - count)[unit]
-        own = ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - begin, n)]
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - units.begin[k][unit], n)
+        own = units.ids[k][at].astype(np.int64)
         return own, np.cumsum(sizes[own]), np.repeat(row, n)
 
-    a, end_a, row_a = laid_out(*tokens[0][:2], side_a.sizes)
-    b, end_b, row_b = laid_out(*tokens[1][:2], side_b.sizes)
+    a, end_a, row_a = laid_out(0, side_a.sizes)
+    b, end_b, row_b = laid_out(1, side_b.sizes)
     left = pd.DataFrame({"at": end_a - side_a.sizes[a], "row": row_a, "a": np.arange(len(a))})
     right = pd.DataFrame({"at": end_b - side_b.sizes[b], "row": row_b, "b": np.arange(len(b))})
     from_a = pd.merge_asof(left, right, on="at", by="row")
@@ -178,8 +230,10 @@ def align_batch(side_a: Side, side_b: Side, data: np.ndarray, offsets: np.ndarra
     link_b = np.concatenate((from_a["b"].to_numpy(), from_b["b"].to_numpy()[new]))
     link_row = row_a[link_a]
 
-    shared = np.intersect1d(end_a, end_b, assume_unique=True)
-    cut_a, cut_b = np.searchsorted(end_a, shared), np.searchsorted(end_b, shared)
+    ended = np.zeros((end_a[-1] if len(a) else 0) + 1, np.uint8)  # 1: a token of A ends here, 2: of B
+    ended[end_a] = 1
+    ended[end_b] += 2
+    cut_a, cut_b = np.flatnonzero(ended[end_a] == 3), np.flatnonzero(ended[end_b] == 3)
     codes = len(side_b.bytes)
     found, times = np.unique(link_row * (len(side_a.bytes) * codes) + a[link_a] * codes + b[link_b], return_counts=True)
     in_row = found // (len(side_a.bytes) * codes)
@@ -216,14 +270,14 @@ def _groups(side_a: Side, side_b: Side, a: np.ndarray, b: np.ndarray, cut_a: np.
     return out
 
 
-_SIDES: dict[tuple[str, str], tuple[Side, Side]] = {}
+_UNITS: dict[tuple[str, str], Units] = {}
 
 
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
+def both_sides(path_a: str, path_b: str) -> Units:
     """Both vocabularies, read once per worker process."""
-    if (path_a, path_b) not in _SIDES:
-        _SIDES[path_a, path_b] = Side(BytePairs(path_a)), Side(Pieces(path_b))
-    return _SIDES[path_a, path_b]
+    if (path_a, path_b) not in _UNITS:
+        _UNITS[path_a, path_b] = Units(Side(BytePairs(path_a)), Side(Pieces(path_b)))
+    return _UNITS[path_a, path_b]
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, turn_pairs: int = 2_000_000) -> DataFrame:
@@ -242,21 +296,21 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, turn_pairs: int =
     of ``turn_pairs``, each a broadcast of that size at most, so neither a
     very common pair nor the counts are shuffled with the documents.
     """
-    a, b = sides(path_a, path_b)
-    ids_b, most = len(b.bytes), len(a.bytes) * len(b.bytes)
+    both = both_sides(path_a, path_b)
+    ids_b, most = len(both.side_b.bytes), len(both.side_a.bytes) * len(both.side_b.bytes)
     code = "int" if most < 2**31 else "bigint"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
     def aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        side_a, side_b = sides(path_a, path_b)
+        units = both_sides(path_a, path_b)
         row = TaskContext.get().partitionId() << 36
         kind = pa.int32() if code == "int" else pa.int64()
         for batch in batches:
             ids = batch.column("doc_id")
             for begin, end, data, offsets in byte_slices(batch.column("text"), 4096, _SLICE):
-                got = align_batch(side_a, side_b, data, offsets)
+                got = align_batch(units, data, offsets)
                 pairs = got.pop("pairs")
                 sizes = np.cumsum([0, *(len(p) for p, _ in pairs)])
                 lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([p[k] for p in pairs]), t))
