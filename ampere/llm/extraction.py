@@ -1,10 +1,11 @@
 """Main text of web pages.
 
 Events of the standard-library HTML parser become lines (blocks of text) with
-their tags. The text-to-tag ratio of each line is smoothed with a Gaussian
-and clustered in two by a threshold (Weninger, Hsu and Han, 2010); the
-element that holds the content cluster is the article, and its lines outside
-menus, notices and the like are the text.
+their tags. The text-to-tag ratio of each line, weighted by what its elements
+and their class words say, is smoothed with a Gaussian and clustered in two by
+a threshold (Weninger, Hsu and Han, 2010). Lines in the upper cluster by their
+own and by the smoothed ratio are content; the regions that they select bring
+along their headings and short lines.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 # fixed values: HTML elements by role
 SILENT = {"head", "title", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select",
           "textarea", "button", "datalist", "canvas", "audio", "video", "map"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog"}
+FORMS = {"form", "fieldset"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "meter", "output", "progress", "q", "rp", "rt", "ruby", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -30,7 +32,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: blocks that authors leave open; they bound lines but hold no region
 LEAVES = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "thead",
           "tbody", "tfoot", "caption", "figcaption", "summary", "legend", "address", "body", "html"}
-#: words of a class, id or role that mark what is not the article
+#: words of a class, id or role that speak against a line
 MARKS = frozenset("""
 ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion
 nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary widget toolbar
@@ -40,11 +42,15 @@ paywall signup login
 comment comments commentlist discussion disqus respond replies reviews
 share sharing social related recommended recommendations teaser teasers pagination pager tags search hidden
 """.split())
-#: marks that hold even around an element that announces an article
+#: words that speak against it more, also around an element that announces an article
 FIRM = frozenset({"ad", "ads", "advert", "advertisement", "comment", "comments", "discussion", "disqus", "replies",
                   "related", "recommended", "recommendations", "teaser", "teasers"})
 #: words of the article itself; its own header is no page header
 BODY_MARKS = frozenset({"article", "main", "content", "post", "entry", "story", "articlebody"})
+#: how a line stands by its elements; APART: in a form or what is not shown, never content
+_FREE, _MARKED, _FIRM, _APART = range(4)
+#: weights of the ratio for the first three, and for a free line of an announced article
+_WEIGHTS, _ANNOUNCED = np.array([1.0, 1 / 8, 1 / 32, 0.0]), 8.0
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _OPEN_END = re.compile(r"<[A-Za-z/!?][^<>]*\Z|<\Z")
 
@@ -62,13 +68,17 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # element, outside the article (0 no, 1 by its class, 2 surely), region
-        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        # element, how its lines stand, region
+        self.stack: list[tuple[str, int, int]] = [("", _FREE, 0)]
         self.parents = [-1]  # enclosing region of each region
         self.kinds = [""]  # "article" for the elements that announce one
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, region, outside the article
+        # text, tags, region, how it stands, characters of links, in a first-level heading
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.links = 0  # open links
+        self.linked = 0  # characters in them since the line began
+        self.heading = False
         self.silent = 0
 
     def end_line(self) -> None:
@@ -76,12 +86,13 @@ class Page(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                _, outside, region = self.stack[-1]
-                self.lines.append((text, self.tags, region, outside))
-                self.tags = 0
+                _, stands, region = self.stack[-1]
+                self.lines.append((text, self.tags, region, stands, self.linked, self.heading))
+                self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.links += tag == "a"
         if tag == "br":
             self.parts.append(" ")
             return
@@ -90,7 +101,7 @@ class Page(HTMLParser):
                 self.end_line()
             return
         if tag in SILENT:
-            self.stack.append((tag, 2, self.stack[-1][2]))
+            self.stack.append((tag, _APART, self.stack[-1][2]))
             self.silent += 1
             return
         if tag in ("body", "article", "main") and self.silent:  # a head or the like was left open
@@ -99,6 +110,9 @@ class Page(HTMLParser):
         if tag in LEAVES and self.stack[-1][0] == tag:  # the one before was left open
             self.end_line()
             self._pop()
+        if tag in LEAVES:
+            self.end_line()
+            self.heading = tag == "h1"
         if tag in ("html", "body") or tag in LEAVES and not attrs:
             self.end_line()
             return
@@ -107,7 +121,7 @@ class Page(HTMLParser):
         marks = names & MARKS
         if within or names & BODY_MARKS:
             marks -= {"header"}
-        mark = 2 if marks & FIRM else 1 if marks else 0
+        mark = _FIRM if marks & FIRM else _MARKED if marks else _FREE
         if tag in INLINE:
             if mark:
                 self.end_line()
@@ -120,22 +134,23 @@ class Page(HTMLParser):
                 if name in ("nav", "form"):
                     del self.stack[k:]
                     break
-        _, outside, region = self.stack[-1]
-        if announces and outside == 1:  # a wrapper named after another part of the page
-            outside = 0
-        if tag in ASIDE and not (tag == "header" and within) or any(
-                k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            mark = 2
-        outside = max(outside, mark)
+        _, stands, region = self.stack[-1]
+        if announces and stands == _MARKED:  # a wrapper named after another part of the page
+            stands = _FREE
+        if tag in FORMS or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            mark = _APART
+        elif tag in ASIDE and not (tag == "header" and within):
+            mark = _FIRM
+        stands = max(stands, mark)
         if tag in LEAVES:
-            if outside > self.stack[-1][1]:  # until its end tag, or the next one of its kind
-                self.stack.append((tag, outside, region))
+            if stands > self.stack[-1][1]:  # until its end tag, or the next one of its kind
+                self.stack.append((tag, stands, region))
             return
-        if outside < 2:
+        if stands < _APART:
             self.parents.append(region)
             self.kinds.append("article" if announces else tag)
             region = len(self.parents) - 1
-        self.stack.append((tag, outside, region))
+        self.stack.append((tag, stands, region))
 
     def _in_article(self) -> bool:
         region = self.stack[-1][2]
@@ -157,8 +172,10 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.links = max(0, self.links - (tag == "a"))
         if tag not in INLINE and tag not in SILENT:
             self.end_line()
+            self.heading = False
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:
@@ -170,6 +187,8 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -185,19 +204,53 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def content_cluster(values: np.ndarray) -> np.ndarray:
-    """Lines of the upper of two clusters: the threshold moves to the middle
-    of the cluster means until it stays."""
-    threshold = values.mean()
-    for _ in range(50):
-        high = values > threshold
-        if not high.any() or high.all():
-            break
-        middle = (values[high].mean() + values[~high].mean()) / 2
-        if abs(middle - threshold) < 1e-9:
-            break
-        threshold = middle
-    high = values > threshold
-    return high if high.any() else np.ones(len(values), bool)
+    """Values (logarithms of 1 and a ratio) of the upper of two clusters: the
+    threshold that leaves the least squared deviation from the cluster means.
+    The page's ends, where there is no text, are two more values of zero; less
+    than a character for each tag is never content."""
+    ends = np.sort(np.concatenate((values, [0.0, 0.0])))
+    n = np.arange(1, len(ends))
+    sums = np.cumsum(ends)
+    within = -(sums[:-1] ** 2 / n + (sums[-1] - sums[:-1]) ** 2 / (len(ends) - n))  # less a constant
+    return (values >= ends[1:][np.argmin(within)]) & (values >= np.log(2.0))
+
+
+def content_lines(page: Page, sigma: float) -> np.ndarray:
+    """Which lines of a page are its main text."""
+    texts, tags, regions, stands, linked, headings = zip(*page.lines)
+    sizes, regions, stands = np.array([len(t) for t in texts], float), np.array(regions), np.array(stands)
+    announced = np.zeros(len(page.parents), int)  # region of the announced article around a region (0: none)
+    for r in range(1, len(page.parents)):
+        announced[r] = announced[page.parents[r]] or (r if page.kinds[r] == "article" else 0)
+    weights = np.where((stands == _FREE) & (announced[regions] > 0), _ANNOUNCED, _WEIGHTS[stands])
+    if weights.max() == _WEIGHTS[_MARKED]:  # where all lines are marked, marks say nothing
+        weights /= weights.max()
+    free = weights >= 1
+    ratios = weights * sizes / np.maximum(1, np.array(tags))
+    by_own, by_smooth = content_cluster(np.log1p(ratios)), content_cluster(np.log1p(smooth(ratios, sigma)))
+    seeds = by_own & by_smooth & (weights > 0)
+    if not seeds.any():
+        seeds = free & (np.array(linked) < 0.5 * sizes)
+    if not seeds.any():
+        return seeds
+    # free lines of the regions that content selects, and of announced articles around it
+    chosen = np.zeros(len(page.parents), bool)
+    chosen[regions[seeds & free]] = True
+    articles = np.zeros(len(page.parents), bool)
+    articles[announced[regions[seeds]]] = True
+    articles[0] = False
+    content = seeds | free & (chosen[regions] | articles[announced[regions]])
+    if not articles.any():
+        # free lines between content that are no links (lists, short parts), and nothing before the page's main heading
+        first, last = np.flatnonzero(content)[[0, -1]]
+        place = np.arange(len(texts))
+        content |= free & (place > first) & (place < last) & (np.array(linked) < 0.5 * sizes)
+        titles = np.flatnonzero(content & np.array(headings))
+        if len(titles):
+            before = content & (place < titles[0])
+            if sizes[before].sum() < sizes[content & ~before].sum():
+                content &= ~before
+    return content
 
 
 def main_text(html: str | None, sigma: float = 1.5) -> str:
@@ -210,47 +263,7 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     page.close()
     if not page.lines:
         return ""
-    texts, tags, regions, outside = zip(*page.lines)
-    sizes = np.array([len(t) for t in texts], float)
-    outside = np.array(outside)
-    outside = outside > (0 if (outside == 0).any() else 1)  # where all is marked by class, classes say nothing
-    ratios = np.where(outside, 0.0, sizes / np.maximum(1, np.array(tags)))
-    content = content_cluster(np.log1p(smooth(ratios, sigma))) & ~outside
-    core = content & content_cluster(np.log1p(ratios))  # by their own ratio too, not only their neighbours'
-    if not content.any():
-        content = ~outside
-    if not content.any():
-        return ""
-    # content characters and all characters in each region
-    own = np.zeros(len(page.parents))
-    np.add.at(own, np.array(regions), np.where(content, sizes, 0.0))
-    total = own.copy()
-    for r in range(len(total) - 1, 0, -1):  # a region comes after the one around it
-        total[page.parents[r]] += total[r]
-    any_text = np.zeros(len(page.parents))
-    np.add.at(any_text, np.array(regions), np.where(outside, 0.0, sizes))
-    for r in range(len(any_text) - 1, 0, -1):
-        any_text[page.parents[r]] += any_text[r]
-    articles = [r for r, kind in enumerate(page.kinds) if kind == "article" and any_text[r] > 0]
-    if articles:
-        best = max(articles, key=lambda r: (total[r], any_text[r], -r))
-    else:
-        best = 0
-    # without such an element, the innermost one that holds all lines that are content by their own ratio
-    needed = np.zeros(len(page.parents), int)
-    np.add.at(needed, np.array(regions), core if core.any() else content)
-    for r in range(len(needed) - 1, 0, -1):
-        needed[page.parents[r]] += needed[r]
-    while not articles:
-        inside = [r for r in range(1, len(needed)) if page.parents[r] == best and needed[r] == needed[best]]
-        if not inside:
-            break
-        best = inside[0]
-    member = np.zeros(len(page.parents), bool)
-    member[best] = True
-    for r in range(best + 1, len(member)):
-        member[r] = member[page.parents[r]]
-    return " ".join(t for t, r, o in zip(texts, regions, outside) if member[r] and not o)
+    return " ".join(line[0] for line, kept in zip(page.lines, content_lines(page, sigma)) if kept)
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -1,11 +1,14 @@
 """Main text of pages against the templates they were made from."""
 
+import collections
 import html
+import math
 import re
 
 import numpy as np
 import pytest
 
+from ampere.llm import extraction
 from ampere.llm.extraction import content_cluster, extract_pages, main_text, smooth
 
 from llm_tables import SMALL
@@ -66,6 +69,76 @@ def test_smoothing_and_clusters():
     values = np.array([1, 1.2, 0.8, 9, 10, 11.0])
     assert content_cluster(values).tolist() == [False] * 3 + [True] * 3
     assert content_cluster(np.ones(4)).all()
+    assert content_cluster(np.array([4.0, 5, 6, 9])).all()  # not split where nothing lies near zero
+
+
+def _truth(page):
+    inner = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S).group(1)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def _bare(page):
+    """The page without anything that names its parts."""
+    page = re.sub(r"</?(?:article|main)>", "", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def _f1(got, want):
+    got, want = collections.Counter(got.split()), collections.Counter(want.split())
+    both = sum((got & want).values())
+    return 2 * both / max(1, sum(got.values()) + sum(want.values()))
+
+
+def test_pages_without_names_of_their_parts(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    scores = [_f1(main_text(_bare(p)), _truth(p)) for p in pages]
+    assert np.mean(scores) >= 0.95 and np.mean(np.array(scores) > 0.999) >= 0.9
+    # as do pages whose menus and footers are plain elements as well
+    plain = [re.sub(r"<(/?)(?:nav|footer|header|aside)\b", r"<\1div", _bare(p)) for p in pages]
+    assert np.mean([_f1(main_text(q), _truth(p)) for p, q in zip(pages, plain)]) >= 0.95
+
+
+@pytest.mark.parametrize("wrong", ["all", "random"])
+def test_clusters_decide(spark, monkeypatch, wrong):
+    """Without the clusters the texts change, with and without an article element."""
+    rng = np.random.default_rng(3)
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    right = [main_text(p) for p in pages], [main_text(_bare(p)) for p in pages]
+    bits = {"all": lambda v: np.ones(len(v), bool), "random": lambda v: rng.random(len(v)) < 0.5}[wrong]
+    monkeypatch.setattr(extraction, "content_cluster", bits)
+    for make, want in ((str, right[0]), (_bare, right[1])):
+        assert sum(main_text(make(p)) != w for p, w in zip(pages, want)) > 0.1 * len(pages)
+
+
+def plain_ratios(page, sigma=1.5):
+    """Ratios of a page of <p> and <div> lines, smoothed and cut by an exhaustive search of the threshold."""
+    lines, tags = [], 0
+    for tag, text in re.findall(r"(<[^>]*>)|([^<]+)", page):
+        tags += bool(tag)
+        if text.strip():
+            lines.append((text.strip(), len(text.strip()) / max(1, tags)))
+            tags = 0
+    own = np.array([r for _, r in lines])
+    smoothed = [sum(math.exp(-0.5 * ((i - j) / sigma) ** 2) * r for j, r in enumerate(own) if abs(i - j) <= 5)
+                / sum(math.exp(-0.5 * ((i - j) / sigma) ** 2) for j in range(len(own)) if abs(i - j) <= 5) for i in range(len(own))]
+
+    def upper(values):
+        values = sorted([*values, 0.0, 0.0])
+        cost = lambda k: np.var(values[:k]) * k + np.var(values[k:]) * (len(values) - k)
+        return values[min(range(1, len(values)), key=cost)]
+
+    high = [min(np.log1p(own)[i] >= upper(np.log1p(own)), np.log1p(smoothed)[i] >= upper(np.log1p(smoothed))) for i in range(len(own))]
+    return " ".join(t for (t, _), h in zip(lines, high) if h)
+
+
+def test_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join("w" * int(k) for k in rng.integers(2, 9, n))
+    for _ in range(40):
+        menu = lambda: "".join(f"<div><div><a href=x>{words(1)}</a></div></div>" for _ in range(rng.integers(3, 9)))
+        body = "".join(f"<div><p>{words(rng.integers(40, 90))}</p></div>" for _ in range(rng.integers(2, 12)))
+        page = menu() + body + menu()
+        assert main_text(page) == plain_ratios(page)
 
 
 def test_odd_rows(spark):
