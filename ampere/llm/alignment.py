@@ -24,7 +24,7 @@ from ampere.llm.tables import spans_of, staged
 from ampere.llm.words import byte_slices, span_hashes
 
 #: bytes of text aligned at a time, and of distinct words encoded as one text
-_SLICE, _JOINED = 3_000_000, 100_000
+_SLICE, _JOINED = 1_500_000, 100_000
 
 
 def _byte_level() -> dict[str, int]:
@@ -149,7 +149,7 @@ class Units:
     hashes of what follows their space; each is encoded once while it is held.
     Beyond ``most`` units, those that one slice of text alone has held go."""
 
-    def __init__(self, side_a: Side, side_b: Side, most: int = 400_000):
+    def __init__(self, side_a: Side, side_b: Side, most: int = 250_000):
         self.side_a, self.side_b, self._most = side_a, side_b, most
         self._place: dict[int, int] = {}
         self._slices = np.zeros(0, np.int64)  # slices that held the unit
