@@ -99,7 +99,21 @@ class ModelConfig:
     lookback: int = 10
     cv_folds: int = 5
     seed: int = 42
-    random_features: int = 256
+    # second-order boosting: squared and absolute regularisation, least hessian of a child, bins
+    boost_penalty: float = 1.0
+    boost_gain: float = 0.0
+    boost_child: float = 1.0
+    boost_bins: int = 255
+    svr_c: float = 100.0
+    svr_epsilon: float = 0.1
+    landmarks: int = 256
+    hidden_layers: tuple[int, ...] = (100, 50)
+    mlp_alpha: float = 1e-4
+    mlp_iters: int = 200
+    # share of the old state that the recurrent units of each time scale keep, and random mixtures of their inputs
+    memories: tuple[float, ...] = (0.0, 0.5, 0.75, 0.9, 0.97, 0.99)
+    mixtures: int = 16
+    recurrent_ridge: float = 1e-2
 
 
 @dataclass(frozen=True)

@@ -11,25 +11,27 @@ from __future__ import annotations
 import json
 import math
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ModelConfig, ModelType
 from ..functions.scalar import py_round
-from .series import IDX, Lookback, Series, apply_series, global_index
+from .blocks import list_matrix, summed
+from .boosting import BoostParams, SecondOrderBoosting
+from .kernel import TubeRegression
+from .neural import MultilayerRegression
+from .recurrent import ReservoirStates
+from .series import IDX, Series, global_index
 
 FEATURES = "features"
 SCALED = "scaled_features"
@@ -79,66 +81,6 @@ def fold_column(pos: Column, n: int, k: int) -> Column:
 # -------------------------------------------------------------- estimators
 
 
-class RandomFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """M9: fixed random projection of a vector column, z = g(W x + b).
-
-    ``cos`` with W ~ N(0, gamma) and b ~ U(0, 2 pi) approximates an RBF kernel
-    (random Fourier features, Rahimi & Recht 2007); ``relu`` gives one
-    hidden layer with fixed weights. A pipeline stage: weights follow from
-    its parameters, so it saves, loads and predicts like any other. Applied
-    per Arrow batch on executors.
-    """
-
-    nOut = Param(Params._dummy(), "nOut", "number of random features", TypeConverters.toInt)
-    kind = Param(Params._dummy(), "kind", "cos or relu", TypeConverters.toString)
-    gamma = Param(Params._dummy(), "gamma", "kernel width (cos)", TypeConverters.toFloat)
-
-    def __init__(self, n_out: int = 256, kind: str = "cos", gamma: float = 1.0, seed: int = 42,
-                 in_col: str = FEATURES, out_col: str = "random_features"):
-        super().__init__()
-        self._set(nOut=n_out, kind=kind, gamma=gamma, seed=seed, inputCol=in_col, outputCol=out_col)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        n_out, kind, gamma = (self.getOrDefault(p) for p in (self.nOut, self.kind, self.gamma))
-        seed, scale = self.getSeed(), math.sqrt(2.0 / n_out)
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            m = np.vstack(x.to_numpy())
-            rng = np.random.default_rng(seed)
-            spread = math.sqrt(2 * gamma) if kind == "cos" else math.sqrt(2.0 / m.shape[1])
-            w = rng.normal(0.0, spread, size=(m.shape[1], n_out))
-            b = rng.uniform(0, 2 * math.pi, size=n_out) if kind == "cos" else np.zeros(n_out)
-            z = m @ w + b
-            return pd.Series(list(scale * np.cos(z) if kind == "cos" else np.maximum(z, 0.0)))
-
-        return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
-
-
-class LookbackVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """The vectors of the previous ``lookback`` rows in series
-    order, flattened; rows without that many predecessors are dropped. It
-    works on whichever rows it is given, so the first rows of a train, test
-    or prediction frame are lost, as in the reference."""
-
-    lookback = Param(Params._dummy(), "lookback", "rows looked back", TypeConverters.toInt)
-    orderBy = Param(Params._dummy(), "orderBy", "columns that order the series", TypeConverters.toListString)
-
-    def __init__(self, lookback: int = 10, order_by: Sequence[str] = (), in_col: str = FEATURES, out_col: str = "lookback"):
-        super().__init__()
-        self._set(lookback=lookback, orderBy=list(order_by), inputCol=in_col, outputCol=out_col)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        x = df.withColumn("__row", vector_to_array(F.col(self.getInputCol())))
-        s = Series(order_by=tuple(self.getOrDefault(self.orderBy)))
-        x = apply_series(x, s, [Lookback(("__row",), self.getOrDefault(self.lookback), "__rows")])
-        flat = F.flatten(F.transform(F.col("__rows"), lambda r: r["__row"]))
-        x = x.where(F.col("__rows").isNotNull())
-        return x.withColumn(self.getOutputCol(), array_to_vector(flat)).drop("__row", "__rows")
-
-
 def model_type_of(model_type: ModelType | str) -> ModelType:
     """M8: an unlisted type falls back to linear regression, with a warning."""
     try:
@@ -160,7 +102,11 @@ def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig()
     if m is ModelType.RANDOM_FOREST:
         return RandomForestRegressor(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth,
                                      featureSubsetStrategy="all", seed=cfg.seed, **common)
-    if m in (ModelType.GRADIENT_BOOSTING, ModelType.XGBOOST, ModelType.LSTM):
+    own = (features, label, PRED)
+    if m is ModelType.XGBOOST:
+        return SecondOrderBoosting(BoostParams(cfg.boost_iters, cfg.boost_depth, cfg.boost_step, cfg.boost_penalty, cfg.boost_gain,
+                                               cfg.boost_child, cfg.boost_bins), *own)
+    if m is ModelType.GRADIENT_BOOSTING:
         return GBTRegressor(maxIter=cfg.boost_iters, maxDepth=cfg.boost_depth, stepSize=cfg.boost_step,
                             seed=cfg.seed, **common)
     if m is ModelType.ELASTIC_NET:
@@ -170,9 +116,11 @@ def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig()
         return LinearRegression(regParam=total, elasticNetParam=absolute / total if total else 0.0,
                                 standardization=False, maxIter=500, tol=1e-10, **common)
     if m is ModelType.SVR:
-        return LinearRegression(loss="huber", regParam=0.0, **common)
+        return TubeRegression(cfg.svr_c, cfg.svr_epsilon, cfg.landmarks, 60, *own)
     if m is ModelType.MLP:
-        return LinearRegression(regParam=1e-3, elasticNetParam=0.0, **common)
+        return MultilayerRegression(cfg.hidden_layers, cfg.mlp_alpha, cfg.mlp_iters, 10 if cfg.hidden_layers else 0, 10, cfg.seed, *own)
+    if m is ModelType.LSTM:
+        return LinearRegression(regParam=cfg.recurrent_ridge, elasticNetParam=0.0, solver="normal", **common)
     return LinearRegression(regParam=0.0, solver="normal", **common)
 
 
@@ -186,12 +134,8 @@ def model_pipeline(model_type: ModelType | str, names: Sequence[str], s: Series,
     if scaled:
         stages.append(StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True, withStd=True))
         feat = SCALED
-    if m in (ModelType.SVR, ModelType.MLP):
-        stages.append(RandomFeatures(cfg.random_features, "cos" if m is ModelType.SVR else "relu",
-                                     1.0 / max(1, len(names)), cfg.seed, feat))
-        feat = stages[-1].getOutputCol()
-    elif m is ModelType.LSTM:
-        stages.append(LookbackVector(cfg.lookback, s.order_by, feat))
+    if m is ModelType.LSTM:
+        stages.append(ReservoirStates(cfg.lookback, s.order_by, cfg.memories, cfg.mixtures, seed=cfg.seed, in_col=feat))
         feat = stages[-1].getOutputCol()
     return Pipeline(stages=[*stages, make_regressor(m, cfg, feat, label_std=label_std)])
 
@@ -298,9 +242,9 @@ def train(df: DataFrame, feature_names: Sequence[str], target: str, s: Series,
 
     ``df`` holds complete rows (see ``prepare_training_data``). Runs jobs:
     the row positions (unless ``df`` has ``__pos``), the fit and the metrics.
-    LSTM slot: the features of the previous ``lookback`` rows feed boosted
-    trees; the first ``lookback`` rows of train and test are lost, as in the
-    reference."""
+    LSTM slot: recurrent states from all rows before a row feed a ridge
+    read-out; the first ``lookback`` rows of train and test are lost, as in
+    the reference."""
     m = model_type_of(model_type)
     names = list(feature_names)
     keep = [c for c in keep if c not in names and c != target]
@@ -328,24 +272,97 @@ def predict(result: TrainingResult, df: DataFrame, scale: bool = True) -> DataFr
     return df
 
 
+def _fold_errors(data: DataFrame, names: list[str], cv: int, m: ModelType, cfg: ModelConfig) -> list[float]:
+    """Mean squared error of each fold's linear fit on the other folds, from
+    one scan: sums of products of the features and the label per fold, taken
+    about the means of all rows, so that little is lost to cancellation."""
+    d = len(names) + 1
+    centre = data.agg(*[F.avg(c).alias(f"c{k}") for k, c in enumerate([*names, "label"])]).first()
+    centre = np.array([float(v or 0.0) for v in centre])
+    columns = data.select(F.array(*[F.col(f"`{c}`") for c in names], F.col("label")).alias("x"), F.col("__fold").cast("double").alias("y"))
+    size = d * d + d + 1
+
+    def products(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            yield list_matrix(batch.column("x")) - centre, np.asarray(batch.column("y"), np.int64)
+
+    def per_task(rows) -> np.ndarray:
+        out = np.zeros((cv, size))
+        for z, fold in rows:
+            for k in np.unique(fold):
+                own = z[fold == k]
+                out[k - 1] += np.concatenate(((own.T @ own).ravel(), own.sum(axis=0), [len(own)]))
+        return out
+
+    sums = summed(columns, cv * size, per_task, products).reshape(cv, size)
+    total, errors = sums.sum(axis=0), []
+    for own in sums:
+        gram, first, n = _parts(total - own, d)
+        mean = first / n
+        cov = gram / n - np.outer(mean, mean)
+        w = _linear_weights(cov, m, cfg)
+        gram, first, held = _parts(own, d)
+        # residual = label - offset - w x, its squares summed from the held fold's own products
+        v = np.append(-w, 1.0)
+        offset = v @ mean
+        errors.append(float(v @ gram @ v - 2 * offset * (v @ first) + held * offset**2) / held)
+    return [max(e, 0.0) for e in errors]
+
+
+def _parts(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, float]:
+    return sums[: d * d].reshape(d, d), sums[d * d : -1], sums[-1]
+
+
+def _linear_weights(cov: np.ndarray, m: ModelType, cfg: ModelConfig) -> np.ndarray:
+    """Weights from the covariances of features and label (the last column):
+    least squares (the shortest solution where features depend on each other),
+    or the elastic net by coordinate descent."""
+    xx, xy = cov[:-1, :-1], cov[:-1, -1]
+    if m is ModelType.LINEAR_REGRESSION:
+        return np.linalg.lstsq(xx, xy, rcond=1e-12)[0]
+    absolute, squared = cfg.elastic_alpha * cfg.elastic_l1_ratio, cfg.elastic_alpha * (1 - cfg.elastic_l1_ratio)
+    w = np.zeros(len(xy))
+    for _ in range(10_000):
+        before = w.copy()
+        for j in range(len(w)):
+            if xx[j, j] > 0:
+                c = xy[j] - xx[j] @ w + xx[j, j] * w[j]
+                w[j] = np.sign(c) * max(abs(c) - absolute, 0.0) / (xx[j, j] + squared)
+        if np.abs(w - before).max(initial=0.0) <= 1e-12 * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return w
+
+
 def cross_validate(df: DataFrame, feature_names: Sequence[str], target: str, s: Series,
                    model_type: ModelType | str = ModelType.LINEAR_REGRESSION, cv: int | None = None,
                    cfg: ModelConfig = ModelConfig()) -> dict:
     """Contiguous unshuffled folds, unscaled, every slot with its own
-    pipeline; mean = sqrt(mean MSE), std of per-fold RMSE (population)."""
+    pipeline; mean = sqrt(mean MSE), std of per-fold RMSE (population).
+
+    The linear slots take one scan: each fold's sums of products give both its
+    fit (all folds less its own) and its score. The others fit their folds as
+    concurrent jobs over the cached rows."""
     m = model_type_of(model_type)
     names, cv = list(feature_names), cfg.cv_folds if cv is None else cv
     data = _model_frame(df, names, target, s)
     n = data.count()
-    data = data.withColumn("__fold", fold_column(F.col("__pos"), n, cv)).cache()
-    mses = []
-    try:
-        for k in range(1, cv + 1):
+    data = data.withColumn("__fold", fold_column(F.col("__pos"), n, cv))
+    if m in (ModelType.LINEAR_REGRESSION, ModelType.ELASTIC_NET):
+        mses = _fold_errors(data, names, cv, m, cfg)
+    else:
+        data = data.persist()
+
+        def error(k: int) -> float:
             model = _fit(m, data.where(F.col("__fold") != k), names, s, False, cfg)
             p = model.transform(data.where(F.col("__fold") == k))
-            mses.append(p.agg(F.avg((F.col("label") - F.col(PRED)) ** 2)).first()[0])
-    finally:
-        data.unpersist()
+            return p.agg(F.avg((F.col("label") - F.col(PRED)) ** 2)).first()[0]
+
+        try:
+            data.count()
+            with ThreadPoolExecutor(cv) as pool:
+                mses = list(pool.map(inheritable_thread_target(data.sparkSession)(error), range(1, cv + 1)))
+        finally:
+            data.unpersist()
     rm = [math.sqrt(x) for x in mses]
     mean_rm = sum(rm) / len(rm)
     return {"cv_rmse_mean": math.sqrt(sum(mses) / len(mses)),

@@ -208,18 +208,20 @@ class RunningSum:
 @dataclass(frozen=True)
 class Lookback:
     """The previous ``n`` rows' values (current row excluded) as an
-    array of structs, oldest first; null until ``n`` rows exist."""
+    array of structs, oldest first; null until ``n`` rows exist, unless fewer
+    are wanted too (``whole`` false)."""
 
     columns: tuple[str, ...]
     n: int
     name: str
+    whole: bool = True
 
     reach = property(lambda self: self.n)
     unbounded = False
 
     def expr(self, ctx: "_Ctx") -> Column:
         seq = F.collect_list(F.struct(*[F.col(c) for c in self.columns])).over(ctx.w.rowsBetween(-self.n, -1))
-        return F.when(F.size(seq) == self.n, seq)
+        return F.when(F.size(seq) == self.n, seq) if self.whole else seq
 
 
 @dataclass(frozen=True)
