@@ -3,7 +3,7 @@ statistics, imputation (C1-C11, A1-A4, A10)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -226,15 +226,18 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series, cfg: Cle
     the default sizes only forward fill reaches all of them; ``interior``
     masks every second of the newest ``2 * test_size`` values but the last,
     so that every candidate has neighbours to work with.
-    Rows: (column_name, method, position, rmse).
+    A keyed series is scored key by key, all keys in one job: a ranked limit
+    keeps each key's and column's newest values before the shuffle already,
+    so no key is gathered (``counts`` is not used then).
+    Rows: (keys ..., column_name, method, position, rmse).
     """
     if policy not in ("reference", "interior"):
         raise ValueError(f"unknown imputation policy {policy!r}")
     test, win = cfg.imputation_test_size, cfg.rolling_window
     keep = test + win if policy == "reference" else 2 * test + win
-    order = [*s.keys, *s.order_by]
     if s.keys:
-        raise ValueError("imputation scoring works on one series; filter to a key first")
+        return _keyed_scores(df, columns, s, max(keep, 2 * test), cfg, policy)
+    order = list(s.order_by)
     if counts is None:
         row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
@@ -248,9 +251,28 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series, cfg: Cle
         one = df.select(F.lit(c).alias("column_name"), o.alias("o"), q(c).cast("double").alias("v"))
         one = one.where(F.col("v").isNotNull()).orderBy(F.col("o").desc()).limit(keep)
         longf = one if longf is None else longf.unionAll(one)
-    w = Window.partitionBy("column_name").orderBy("o")
-    # rows in each column's frame (at most `keep`)
-    x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column_name")))
+    return _scored(longf, ["column_name"], cfg, policy)
+
+
+def _keyed_scores(df: DataFrame, columns: Sequence[str], s: Series, keep: int, cfg: CleaningConfig, policy: str) -> DataFrame:
+    """Scores per key and column: the newest ``keep`` values of each."""
+    by = [*s.keys, "column_name"]
+    if "column_name" in s.keys:
+        raise ValueError("a key column may not be named column_name")
+    long = df.select(*[q(k) for k in s.keys], F.struct(*[q(c) for c in s.order_by]).alias("o"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), q(c).cast("double").alias("v")) for c in columns]))).where(F.col("v").isNotNull())
+    newest = F.row_number().over(Window.partitionBy(*[q(c) for c in by]).orderBy(F.col("o").desc()))
+    long = long.withColumn("__r", newest).where(F.col("__r") <= keep).drop("__r")
+    return _scored(long, by, cfg, policy, least=2 * cfg.imputation_test_size)
+
+
+def _scored(longf: DataFrame, by: list[str], cfg: CleaningConfig, policy: str, least: int = 0) -> DataFrame:
+    """RMSE of each candidate per group of ``(by ..., o, v)`` rows, which hold
+    the newest values of each column; groups of fewer than ``least`` have none."""
+    test, win = cfg.imputation_test_size, cfg.rolling_window
+    w = Window.partitionBy(*[q(c) for c in by]).orderBy("o")
+    # rows in each column's frame
+    x = longf.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy(*[q(c) for c in by]))).where(F.col("__k") >= least)
     x = x.withColumn("__i", F.row_number().over(w) - 1)
     masked = F.col("__i") >= F.col("__k") - test
     if policy == "interior":
@@ -264,23 +286,29 @@ def imputation_scores(df: DataFrame, columns: Sequence[str], s: Series, cfg: Cle
     }
     pt = F.when(F.col("mv").isNotNull(), F.struct(F.col("__i").cast("double").alias("i"), F.col("mv").alias("v")))
     prev = F.last(pt, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    w_rev = Window.partitionBy("column_name").orderBy(F.col("o").desc())
+    w_rev = Window.partitionBy(*[q(c) for c in by]).orderBy(F.col("o").desc())
     nxt = F.last(pt, ignorenulls=True).over(w_rev.rowsBetween(Window.unboundedPreceding, 0))
     ops[ImputationMethod.INTERPOLATE_LINEAR] = prev["v"] + F.try_divide(
         (nxt["v"] - prev["v"]) * (F.col("__i") - prev["i"]), nxt["i"] - prev["i"])
     x = x.withColumns({f"p{j}": e for j, e in enumerate(ops[m] for m in CANDIDATES)})
     x = x.where(masked)
-    scored = x.groupBy("column_name").agg(*[
+    scored = x.groupBy(*[q(c) for c in by]).agg(*[
         F.when(F.count(f"p{j}") == test, F.sqrt(F.avg(F.pow(F.col("v") - F.col(f"p{j}"), 2)))).alias(f"r{j}")
         for j in range(len(CANDIDATES))])
-    return scored.select("column_name", F.inline(F.array(*[
+    return scored.select(*[q(c) for c in by], F.inline(F.array(*[
         F.struct(F.lit(m.value).alias("method"), F.lit(j).alias("position"), F.col(f"r{j}").alias("rmse"))
         for j, m in enumerate(CANDIDATES)])))
 
 
-def choose_imputation(scores: DataFrame, columns: Sequence[str], cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
+def choose_imputation(scores: DataFrame, columns: Sequence[str], cfg: CleaningConfig = CleaningConfig(),
+                      keys: Sequence[str] = ()) -> DataFrame:
     """C4 decision: smallest non-null RMSE, earlier candidate on ties; the
-    configured default (and an infinite score) when nothing scored."""
+    configured default (and an infinite score) when nothing scored. With
+    ``keys`` one decision per key and column that has a score."""
+    if keys:
+        return (scores.where(F.col("rmse").isNotNull()).groupBy(*[q(k) for k in keys], "column_name")
+                .agg(F.min(F.struct("rmse", "position", "method")).alias("b")).where(F.col("column_name").isin(list(columns)))
+                .select(*[q(k) for k in keys], "column_name", F.col("b.method").alias("method"), F.col("b.rmse").alias("rmse")))
     best = (scores.where(F.col("rmse").isNotNull())
             .groupBy("column_name").agg(F.min_by(F.struct("method", "rmse"), F.struct("rmse", "position")).alias("b")))
     all_cols = scores.sparkSession.createDataFrame([(c,) for c in columns], "column_name string") if columns else None
@@ -332,6 +360,10 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
     if methods:
         chosen.update({c: ImputationMethod(m).value for c, m in methods.items() if c in todo})
     rest = [c for c in todo if c not in chosen]
+    if rest and auto_select_method and s.keys:
+        given = [imputation_op(c, chosen[c], cfg.rolling_window) for c in todo if c in chosen]
+        out = _filled_by_key(apply_series(df, s, given), rest, s, cfg, policy)
+        return out, chosen | {c: "by key" for c in rest}
     if rest and auto_select_method:
         for r in choose_imputation(imputation_scores(df, rest, s, cfg, counts, policy), rest, cfg).collect():
             chosen[r["column_name"]] = r["method"]
@@ -341,6 +373,24 @@ def fill_missing_values(df: DataFrame, s: Series, columns: Sequence[str] | None
     return apply_series(df, s, ops), chosen
 
 
+def _filled_by_key(df: DataFrame, columns: Sequence[str], s: Series, cfg: CleaningConfig, policy: str) -> DataFrame:
+    """Each key's nulls filled by the key's own choice: all candidate fills in
+    one framing, then the choices (one row per key) joined on the keys."""
+    best = choose_imputation(imputation_scores(df, columns, s, cfg, policy=policy), columns, cfg, s.keys)
+    best = best.groupBy(F.struct(*[q(k) for k in s.keys]).alias("__key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", "method"))).alias("__methods"))
+    ops = [replace(imputation_op(c, m, cfg.rolling_window), name=f"__fill_{i}_{j}") for i, c in enumerate(columns) for j, m in enumerate(CANDIDATES)]
+    x = apply_series(df, s, ops).withColumn("__key", F.struct(*[q(k) for k in s.keys])).join(best, "__key", "left")
+    filled = {}
+    for i, c in enumerate(columns):
+        method = F.coalesce(F.try_element_at("__methods", F.lit(c)), F.lit(cfg.default_imputation.value))
+        value = F.lit(None)
+        for j, m in enumerate(CANDIDATES):
+            value = F.when(method == m.value, F.col(f"__fill_{i}_{j}")).otherwise(value)
+        filled[c] = value
+    return x.withColumns(filled).select(*[q(c) for c in df.columns])
+
+
 # ------------------------------------------------------------ C8-C11
 
 

@@ -22,6 +22,11 @@ Two physical shapes, both plain Spark windows:
   carry from earlier/later blocks, computed over one summary row per
   ``(block, key)``. Blocks have equal size by construction, so a hot key or
   a single global series never lands in one task.
+
+Rolling frames of 64 rows and more take linear time: rows fall into runs of the
+frame's length, so a frame is the end of one run and the beginning of the next,
+and both come from running aggregates (no frame is read again for every row, and
+nothing is ever subtracted).
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ KEY = "__ampere_key"
 PID = "__ampere_pid"
 POS = "__ampere_pos"
 OFF = "__ampere_off"
+POSN, RUN = "__ampere_posn", "__ampere_run"
 _MAX_BROADCAST_PARTITIONS = 1_000_000
 
 
@@ -112,6 +118,19 @@ _STATS = {
 }
 
 
+#: frames from this length on are put together from runs of rows
+_LONG_FRAME = 64
+#: running aggregates that each statistic of a frame is put together from
+_PARTS = {"mean": ("count", "mean"), "std": ("count", "mean", "squares"), "min": ("min",), "max": ("max",), "sum": ("sum",)}
+_PART = {"count": F.count, "mean": F.avg, "squares": F.var_pop, "min": F.min, "max": F.max, "sum": F.sum}
+
+
+def _running(part: str, c: Column, over: WindowSpec) -> Column:
+    """A running aggregate; ``squares``: the sum of squared deviations."""
+    value = _PART[part](c).over(over)
+    return value * F.count(c).over(over) if part == "squares" else value
+
+
 @dataclass(frozen=True)
 class Rolling:
     """Statistic over the trailing ``n`` rows (current row included
@@ -132,12 +151,40 @@ class Rolling:
 
     unbounded = False
 
+    @property
+    def by_runs(self) -> bool:
+        """Frames long enough for running aggregates over runs of rows."""
+        return self.n >= _LONG_FRAME and self.stat in _PARTS
+
     def expr(self, ctx: "_Ctx") -> Column:
         c = F.col(self.column)
         need = self.n if self.min_periods is None else self.min_periods
-        value = F.when(F.col(self.count_name) >= need, _STATS[self.stat](c).over(self.frame(ctx)))
+        inside = self.from_runs(ctx) if self.by_runs else _STATS[self.stat](c).over(self.frame(ctx))
+        value = F.when(F.col(self.count_name) >= need, inside)
         return F.coalesce(c, value) if self.fill_only else value
 
+    def part_name(self, part: str, side: str) -> str:
+        return f"__{side}_{part}_{self.column}_{self.n}"
+
+    def from_runs(self, ctx: "_Ctx") -> Column:
+        """The end of one run and the beginning of the next, put together. A
+        frame that ends with its run is that run alone."""
+        back = int(self.exclude_current)
+        begin = lambda p: F.lag(F.col(self.part_name(p, "begin")), back).over(ctx.w) if back else F.col(self.part_name(p, "begin"))
+        whole = F.pmod(F.col(POSN) - back + 1, F.lit(self.n)) == 0
+        end = lambda p: F.when(~whole, F.lag(F.col(self.part_name(p, "end")), self.n - 1 + back).over(ctx.w))
+        if self.stat in ("min", "max"):
+            return (F.least if self.stat == "min" else F.greatest)(begin(self.stat), end(self.stat))  # both skip nulls
+        if self.stat == "sum":
+            return F.when(begin("sum").isNotNull() | end("sum").isNotNull(), F.coalesce(begin("sum"), F.lit(0)) + F.coalesce(end("sum"), F.lit(0)))
+        n1, n2 = (F.coalesce(x("count"), F.lit(0)).cast("double") for x in (end, begin))
+        m1, m2 = (F.coalesce(x("mean"), F.lit(0.0)) for x in (end, begin))
+        n, apart = n1 + n2, m2 - m1
+        if self.stat == "mean":
+            return F.when(n > 0, m1 + F.try_divide(apart * n2, n))
+        squares = F.coalesce(end("squares"), F.lit(0.0)) + F.coalesce(begin("squares"), F.lit(0.0)) + F.try_divide(apart * apart * n1 * n2, n)
+        return F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1)))
+
     def frame(self, ctx: "_Ctx") -> WindowSpec:
         return ctx.w.rowsBetween(-self.n, -1) if self.exclude_current else ctx.w.rowsBetween(-(self.n - 1), 0)
 
@@ -248,6 +295,7 @@ class _Ctx:
     key_start: Column
     halo: Column | None
     carries: dict = field(default_factory=dict)
+    parts: list[Column] = field(default_factory=list)  # what the windows partition by
 
     def carry(self, column: str, kind: str) -> Column:
         name = self.carries.get((column, kind))
@@ -312,21 +360,50 @@ def apply_series(df: DataFrame, s: Series, ops: Sequence, blocked: bool | None =
 def _apply_keyed(df: DataFrame, s: Series, ops) -> DataFrame:
     order = [F.col(c).asc_nulls_first() for c in s.order_by]
     w = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(*order)
-    need_idx = any(isinstance(o, (Fill, RowIndex)) for o in ops)
+    need_idx = any(isinstance(o, (Fill, RowIndex)) or isinstance(o, Rolling) and o.by_runs for o in ops)
     if need_idx:
         df = df.withColumn(IDX, F.row_number().over(w) - 1)
     w_rev = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(F.col(IDX).desc())
-    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=F.lit(0), halo=None)
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=F.lit(0), halo=None, parts=[F.col(k) for k in s.keys])
     columns = [*df.columns, *dict.fromkeys(o.name for o in ops if o.name not in df.columns)]
     return _with_ops(df, ops, ctx).select(*[F.col(f"`{c}`") for c in columns if c != IDX])
 
 
 def _with_ops(df: DataFrame, ops, ctx: "_Ctx") -> DataFrame:
     """Add the op columns; frame counts that several statistics need come first."""
-    counts = {o.count_name: F.count(F.col(o.column)).over(o.frame(ctx)) for o in ops if isinstance(o, Rolling)}
+    rolling = [o for o in ops if isinstance(o, Rolling)]
+    running = {}
+    for o in rolling:
+        if o.by_runs:  # counts are whole numbers: those up to the frame's end less those before it
+            running[f"__upto_{o.column}"] = F.count(F.col(o.column)).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0))
+    if running:
+        df = _with_runs(df.withColumns(running), [o for o in rolling if o.by_runs], ctx)
+
+    def count(o: Rolling) -> Column:
+        if not o.by_runs:
+            return F.count(F.col(o.column)).over(o.frame(ctx))
+        upto, back = F.col(f"__upto_{o.column}"), int(o.exclude_current)
+        last = F.coalesce(F.lag(upto, back).over(ctx.w), F.lit(0)) if back else upto
+        return last - F.coalesce(F.lag(upto, o.n + back).over(ctx.w), F.lit(0))
+
+    counts = {o.count_name: count(o) for o in rolling}
     return (df.withColumns(counts) if counts else df).withColumns({o.name: o.expr(ctx) for o in ops})
 
 
+def _with_runs(df: DataFrame, ops: list[Rolling], ctx: "_Ctx") -> DataFrame:
+    """Running aggregates over runs of ``n`` rows, from the run's beginning to
+    a row and from a row to the run's end. Runs lie within the windows'
+    partitions, so the rows are sorted again but not shuffled."""
+    df = df.withColumn(POSN, F.row_number().over(ctx.w) - 1)
+    for n in dict.fromkeys(o.n for o in ops):
+        run = f"{RUN}_{n}"
+        df = df.withColumn(run, F.floor(F.col(POSN) / n))
+        for side, order in (("begin", ctx.idx.asc()), ("end", ctx.idx.desc())):
+            over = Window.partitionBy(*ctx.parts, F.col(run)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            df = df.withColumns({o.part_name(p, side): _running(p, F.col(o.column), over) for o in ops if o.n == n for p in _PARTS[o.stat]})
+    return df
+
+
 def _apply_blocked(indexed: DataFrame, s: Series, ops, columns) -> DataFrame:
     B = int(s.block_rows)
     reach = max(int(o.reach) for o in ops)
@@ -356,7 +433,7 @@ def _apply_blocked(indexed: DataFrame, s: Series, ops, columns) -> DataFrame:
     if unbounded:
         framed, carries = _with_carries(framed, s, unbounded)
     w_rev = Window.partitionBy(F.col(BLK), *keys).orderBy(F.col(IDX).desc())
-    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), carries=carries)
+    ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), carries=carries, parts=[F.col(BLK), *keys])
     out = _with_ops(framed, ops, ctx).where(~F.col(HALO))
     added = list(dict.fromkeys(o.name for o in ops if o.name not in columns))
     return out.select(*columns, *added)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..config import CleaningConfig
 from ..operators import clean
 from ..operators.series import Fill, Rolling, apply_series
-from ..sources.driver_tables import table
-from .common import EVENT_SERIES, MARKET_COLUMNS, MARKET_SERIES, QD, D, F1, P1, P2, SH, SL, SP, mv, sql_with_mv
+from ..sources.driver_tables import LINEITEM_ORDER, table
+from .common import EVENT_SERIES, LINEITEM_SERIES, MARKET_COLUMNS, MARKET_SERIES, QD, D, F1, P1, P2, SH, SL, SP, mv, sql_with_mv
 from .features import order_sql
 from .registry import register
 
@@ -163,6 +163,59 @@ def fill_missing(spark, sf):
     return out
 
 
+# ------------------------------------------- C4 / C5 per key: returned items of each supplier
+
+LI_ORDER = order_sql(LINEITEM_ORDER)
+RETURNED = f"(SELECT l_suppkey, {', '.join(LINEITEM_ORDER)}, CASE WHEN l_returnflag = 'R' THEN l_extendedprice END AS returned FROM lineitem)"
+
+
+def keyed_scores_sql() -> str:
+    by = "PARTITION BY l_suppkey ORDER BY i"
+    w, upto, after = (f"OVER ({by} ROWS BETWEEN {f})" for f in (f"{W - 1} PRECEDING AND CURRENT ROW", "UNBOUNDED PRECEDING AND CURRENT ROW",
+                                                               "CURRENT ROW AND UNBOUNDED FOLLOWING"))
+    pv, nv = f"LAST_VALUE(mv IGNORE NULLS) {upto}", f"FIRST_VALUE(mv IGNORE NULLS) {after}"
+    pi = f"LAST_VALUE(CASE WHEN mv IS NOT NULL THEN CAST(i AS DOUBLE) END IGNORE NULLS) {upto}"
+    ni = f"FIRST_VALUE(CASE WHEN mv IS NOT NULL THEN CAST(i AS DOUBLE) END IGNORE NULLS) {after}"
+    preds = [f"AVG(mv) {w}", f"MEDIAN(mv) {w}", pv, f"{pv} + ({nv} - {pv}) * (i - {pi}) / ({ni} - {pi})"]
+    newest = ", ".join(f"{c} DESC" for c in LINEITEM_ORDER)
+    rows = " UNION ALL ".join(f"SELECT l_suppkey, 'returned' AS column_name, '{m}' AS method, {j} AS position, r{j} AS rmse FROM scored" for j, m in enumerate(CAND))
+    rm = ", ".join(f"CASE WHEN COUNT(p{j}) = {TEST} THEN SQRT(AVG(POW(v - p{j}, 2))) END AS r{j}" for j in range(4))
+    return f"""WITH newest AS (SELECT l_suppkey, returned AS v, {', '.join(LINEITEM_ORDER)} FROM {RETURNED} r WHERE returned IS NOT NULL
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY {newest}) <= {max(TEST + W, 2 * TEST)}),
+  placed AS (SELECT l_suppkey, v, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY {LI_ORDER}) - 1 AS i, COUNT(*) OVER (PARTITION BY l_suppkey) AS k FROM newest),
+  masked AS (SELECT *, CASE WHEN i < k - {TEST} THEN v END AS mv FROM placed WHERE k >= {2 * TEST}),
+  tried AS (SELECT l_suppkey, i, k, v, {', '.join(f'{e} AS p{j}' for j, e in enumerate(preds))} FROM masked),
+  scored AS (SELECT l_suppkey, {rm} FROM tried WHERE i >= k - {TEST} GROUP BY l_suppkey)
+  SELECT * FROM ({rows}) u"""
+
+
+def keyed_fill_sql() -> str:
+    part = lambda sql: sql.replace("OVER (ORDER BY", "OVER (PARTITION BY l_suppkey ORDER BY")
+    cases = " ".join(f"WHEN '{m}' THEN {part(fill_sql('returned', m, LI_ORDER, '__i'))}" for m in CAND)
+    return f"""SELECT l_suppkey, {', '.join(LINEITEM_ORDER)}, CASE COALESCE(method, '{CFG.default_imputation.value}') {cases} END AS returned
+  FROM (SELECT r.*, c.method, ROW_NUMBER() OVER (PARTITION BY r.l_suppkey ORDER BY {LI_ORDER}) - 1 AS __i FROM {RETURNED} r
+    LEFT JOIN (SELECT l_suppkey AS s, arg_min(method, (rmse, position)) AS method FROM ({keyed_scores_sql()}) z WHERE rmse IS NOT NULL GROUP BY l_suppkey) c
+    ON c.s = r.l_suppkey) x"""
+
+
+def _returned(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select("l_suppkey", *LINEITEM_ORDER, F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).alias("returned"))
+
+
+@register("imputation_scores_keyed", keyed_scores_sql(), rounded=["rmse"], digits=4)
+def imputation_scores_keyed(spark, sf):
+    """C4 scoring of a keyed series: every supplier's newest values in one job."""
+    return clean.imputation_scores(_returned(spark, sf), ["returned"], LINEITEM_SERIES, CFG)
+
+
+@register("fill_missing_keyed", keyed_fill_sql(), rounded=["returned"], digits=4)
+def fill_missing_keyed(spark, sf):
+    """C5 of a keyed series: each supplier's gaps by the supplier's own choice."""
+    out, _ = clean.fill_missing_values(_returned(spark, sf), LINEITEM_SERIES, ["returned"], True, CFG, materialize=False)
+    return out
+
+
 # ---------------------------------------------------------- C6 / C7
 
 ZSCORE_SQL = """SELECT o_orderkey, o_totalprice,

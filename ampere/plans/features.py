@@ -134,6 +134,29 @@ def rolling_features_keyed_blocked(spark, sf):
     return _keyed_rolling(spark, sf, LINEITEM_SERIES.with_(strategy="blocked"))
 
 
+LONG_KEYED_SQL = (f"SELECT l_suppkey, {', '.join(LINEITEM_ORDER)}, "
+                  + ", ".join(f"{roll_sql('l_extendedprice', n, st, order_sql(LINEITEM_ORDER), 'l_suppkey', need)} AS {st}_{n}"
+                              for n, need in ((100, 100), (250, 1)) for st in STATS) + " FROM lineitem")
+
+
+@register("rolling_long_keyed", LONG_KEYED_SQL, rounded=[f"{st}_{n}" for n in (100, 250) for st in STATS], digits=3)
+def rolling_long_keyed(spark, sf):
+    """W2-W5 over long frames per supplier, in linear time."""
+    li = table(spark, sf, "lineitem").select("l_suppkey", *LINEITEM_ORDER)
+    ops = [Rolling("l_extendedprice", n, st, f"{st}_{n}", need) for n, need in ((100, 100), (250, 1)) for st in STATS]
+    return apply_series(li, LINEITEM_SERIES, ops)
+
+
+@register("rolling_long_events", f"""SELECT event_id, {', '.join(
+    f"{roll_sql('v', 1000, st, 'ts NULLS FIRST, event_id NULLS FIRST', None, 100)} AS {st}_1000" for st in STATS)}
+  FROM (SELECT *, CASE WHEN event_type = 'click' THEN value END AS v FROM events) e""", rounded=[f"{st}_1000" for st in STATS], digits=4)
+def rolling_long_events(spark, sf):
+    """W2-W5 over frames of 1,000 rows, most of them null, of one series in blocks."""
+    ev = table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_type") == "click", F.col("value")).alias("v"))
+    x = apply_series(ev, EVENT_SERIES.with_(block_rows=3000), [Rolling("v", 1000, st, f"{st}_1000", 100) for st in STATS])
+    return x.select("event_id", *[f"{st}_1000" for st in STATS])
+
+
 # ------------------------------------------------------------ market view
 
 MV_ORDER = order_sql([QD])

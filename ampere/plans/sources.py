@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -61,6 +62,25 @@ def csv_units_row(spark, sf):
     return raw.select(F.col(f"`{D}`").alias("stamp"), number(V1).cast("long").alias("volume"), number(P1).alias("price"))
 
 
+@register("csv_skip_rows", "SELECT event_id, event_type, value FROM events")
+def csv_skip_rows(spark, sf):
+    """Several files, each with two lines before its header."""
+    ev = table(spark, sf, "events").select(F.concat_ws(";", "event_id", "event_type", F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("value"))
+
+    def with_head(batches):
+        head = ["exported;2024", "two lines before the header", "event_id;event_type;value"]
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
+                head = []
+            yield batch
+
+    path = scratch(spark, "skip_csv")
+    ev.repartition(5).mapInArrow(with_head, "value string").write.text(path)
+    raw = src.load_csv(spark, path, skip_rows=2)
+    return raw.select(F.col("event_id").cast("long").alias("event_id"), "event_type", lenient_double("value").alias("value"))
+
+
 FORECAST_UNITS = {"demand": "MW", "wind": "%"}
 SYSTEM_UNITS = {SP: "GBP/MWh", SL: "GBP/MWh", SH: "GBP/MWh"}
 

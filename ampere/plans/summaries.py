@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import stats, trade
 from ..operators.series import Series
+from ..sources.driver_tables import table
 from .common import MARKET_COLUMNS, QD, D, F1, P1, P2, mv, sql_with_mv
 from .modelling import PAIRS_SQL, _forecasts
 from .registry import register
@@ -38,6 +39,50 @@ def correlation(spark, sf):
     return stats.correlation_matrix(mv(spark, sf), NUMERIC)
 
 
+#: lineitem's numbers and ratios of them, with gaps
+WIDE = {f"c{k}": f"CASE WHEN (l_orderkey + {k}) % {k + 3} > 0 THEN l_extendedprice * {k} + l_quantity * {k * k} - l_discount * {1000 * (k % 7)} + l_tax * {500 * (k % 5)} END"
+        for k in range(1, 41)}
+
+
+@register("correlation_wide", f"WITH w AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WIDE.items())} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, CORR({a}, {b}) AS correlation FROM w" for a in list(WIDE)[:6] for b in WIDE), rounded=["correlation"])
+def correlation_wide(spark, sf):
+    """The matrix of 40 columns with gaps, by blocks; the rows of six."""
+    x = table(spark, sf, "lineitem").select(*[F.expr(e).alias(c) for c, e in WIDE.items()])
+    return stats.correlation_matrix(x, list(WIDE)).where(F.col("column_a").isin(list(WIDE)[:6]))
+
+
+PIXELS = 120
+PIXELS_SQL = f"""
+WITH r AS (SELECT epoch(ts) AS place, ts AS x, value AS y FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT CAST(LEAST(FLOOR((place - lo) / (hi - lo) * {PIXELS}), {PIXELS - 1}) AS INTEGER) AS pixel, x, y FROM r CROSS JOIN (SELECT MIN(place) AS lo, MAX(place) AS hi FROM r) b)
+SELECT DISTINCT 'value' AS series, pixel, x, y FROM p
+QUALIFY ROW_NUMBER() OVER (PARTITION BY pixel ORDER BY x, y) = 1 OR ROW_NUMBER() OVER (PARTITION BY pixel ORDER BY x DESC, y DESC) = 1
+  OR ROW_NUMBER() OVER (PARTITION BY pixel ORDER BY y, x) = 1 OR ROW_NUMBER() OVER (PARTITION BY pixel ORDER BY y DESC, x) = 1"""
+
+
+@register("timeseries_pixels", PIXELS_SQL)
+def timeseries_pixels(spark, sf):
+    """V1 / V3 down-sampled: the points of each pixel column that draw its line."""
+    return stats.downsample(table(spark, sf, "events"), "ts", ["value"], PIXELS)
+
+
+SKETCHED = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@register("sketched_quantiles", f"""SELECT o_orderstatus, quantile, COUNT(*) AS n, TRUE AS within
+  FROM orders CROSS JOIN (VALUES {', '.join(f'(CAST({p} AS DOUBLE))' for p in SKETCHED)}) v(quantile) GROUP BY 1, 2""")
+def sketched_quantiles(spark, sf):
+    """Quantiles of two loads' merged sketches per status; whether
+    the value's exact rank is within 1 % of the wanted one."""
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
+    loads = [stats.quantile_sketches(o.where(F.col("o_orderkey") % 2 == k), "o_totalprice", ["o_orderstatus"]) for k in (0, 1)]
+    found = stats.sketched_quantiles(stats.merged_sketches(loads[0].unionByName(loads[1]), ["o_orderstatus"]), SKETCHED)
+    ranks = o.join(F.broadcast(found), "o_orderstatus").groupBy("o_orderstatus", "quantile", "n").agg(  # a few rows per status
+        F.avg((F.col("o_totalprice") <= F.col("value")).cast("double")).alias("upto"), F.avg((F.col("o_totalprice") < F.col("value")).cast("double")).alias("below"))
+    return ranks.select("o_orderstatus", "quantile", "n", ((F.col("upto") >= F.col("quantile") - 0.01) & (F.col("below") <= F.col("quantile") + 0.01)).alias("within"))
+
+
 @register("price_bins", sql_with_mv(f"""
   SELECT bin, lo + (bin - 1) * w AS lower, lo + bin * w AS upper, count FROM (
     SELECT CAST(LEAST(FLOOR(({P1} - lo) / (hi - lo) * 50) + 1, 50) AS BIGINT) AS bin, lo, (hi - lo) / 50 AS w,

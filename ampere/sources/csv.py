@@ -9,15 +9,18 @@ duplicate" means the first in the file, as in the reference.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.scalar import lenient_double, parse_timestamp
 from ..operators.clean import INGEST_ORDER
-from ..operators.series import RowIndex, Series, apply_series
+
 
 def _ingest(df: DataFrame) -> DataFrame:
     return df.withColumn(INGEST_ORDER, F.struct(
@@ -30,9 +33,11 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
              **options) -> DataFrame:
     """Header row, all columns as strings, plus ``_ingest_order``.
 
-    ``skip_rows`` lines before the header are dropped per file (line
-    numbers come from a distributed ranking, not from a single task); the
-    reader options apply to the lines, and all files must share one header."""
+    ``skip_rows`` lines before the header are dropped per file: only the
+    split at a file's beginning counts its lines, the others stream past, so
+    nothing is shuffled. The reader options apply to the lines; empty lines
+    after the header are left out; all files must share one header (read when
+    called), and the skipped lines must lie in a file's first split."""
     paths = [path] if isinstance(path, str) else list(path)
     if skip_rows <= 0:
         reader = spark.read.option("sep", delimiter).option("header", True).option("inferSchema", False)
@@ -40,20 +45,43 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
             reader = reader.option(k, v)
         return _ingest(reader.csv(paths))
     lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
-        F.monotonically_increasing_id().alias("__m"))
-    ranked = apply_series(lines, Series(order_by=("__b", "__m"), keys=("__f",), strategy="blocked"), [RowIndex("__line")])
-    headers = [r["value"] for r in ranked.where(F.col("__line") == skip_rows).select("value").distinct().limit(2).collect()]
-    if not headers:
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("pos"))
+    first = lines.select("file").limit(1).collect()
+    head = lines.where((F.col("file") == first[0]["file"]) & (F.col("start") == 0)).select("value").take(skip_rows + 1) if first else []
+    if len(head) <= skip_rows:
         raise ValueError("no header line after the skipped rows")
-    if len(headers) > 1:
-        raise ValueError(f"files with different headers; load them one by one: {headers[0]!r}, {headers[1]!r}")
-    names = [n.strip('"') for n in headers[0].split(delimiter)]
+    header = head[skip_rows]["value"]
+    names = [n.strip('"') for n in header.split(delimiter)]
     ddl = ", ".join(f"`{n}` string" for n in names)
-    body = ranked.where((F.col("__line") > skip_rows) & (F.length("value") > 0))
-    parsed = body.select(F.from_csv("value", ddl, {"sep": delimiter, **{k: str(v) for k, v in options.items()}}).alias("r"),
-                         F.struct(F.col("__f").alias("file"), F.col("__b").alias("start"),
-                                  F.col("__m").alias("pos")).alias(INGEST_ORDER))
+
+    def body(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, 0  # the file whose first split is being read, its lines so far
+        for batch in batches:
+            keep = np.asarray(pc.greater(pc.binary_length(batch.column("value")), 0)).copy()
+            files, starts = batch.column("file"), np.asarray(batch.column("start"))
+            for row in np.flatnonzero(starts == 0).tolist():
+                file = files[row].as_py()
+                if file != at:
+                    _whole_head(at, seen)
+                    at, seen = file, 0
+                if seen <= skip_rows:
+                    keep[row] = False
+                    if seen == skip_rows and batch.column("value")[row].as_py() != header:
+                        raise ValueError(f"files with different headers; load them one by one: {header!r}, {batch.column('value')[row].as_py()!r}")
+                elif batch.num_rows and starts.max() == 0 and files[batch.num_rows - 1].as_py() == at:
+                    break  # the rest of the batch is of the same split
+                seen += 1
+            yield batch.filter(pa.array(keep))
+        _whole_head(at, seen)
+
+    def _whole_head(file: str | None, seen: int) -> None:
+        if file is not None and seen <= skip_rows:
+            raise ValueError(f"{file}: the header does not lie in the file's first split")
+
+    kept = lines.mapInArrow(body, lines.schema)
+    parsed = kept.select(F.from_csv("value", ddl, {"sep": delimiter, **{k: str(v) for k, v in options.items()}}).alias("r"),
+                         F.struct("file", "start", "pos").alias(INGEST_ORDER))
     return parsed.select(*[F.col("r")[n].alias(n) for n in names], INGEST_ORDER)
 
 

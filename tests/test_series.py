@@ -98,3 +98,26 @@ def test_hot_key_routes_to_blocked(spark, expected):
     cool = Series(order_by=("t",), keys=("k",))
     assert use_blocked(df, hot) and not use_blocked(df, cool)
     _same(_rows(apply_series(df, hot, OPS)), expected)
+
+
+@pytest.mark.parametrize("blocks", [None, 70, 133, 10_000])
+def test_long_frames_equal_frames_read_again(spark, monkeypatch, blocks):
+    """Frames put together from runs of rows, for every statistic, with and
+    without the current row, against the plain windows."""
+    from ampere.operators import series
+
+    df = _data(spark, n=400).withColumn("v", F.col("v") * 1e3 + 1e7)
+    ops = [Rolling("v", n, st, f"{st}_{n}_{int(ex)}", need, ex) for n in (2, 7, 64) for st in ("mean", "std", "min", "max", "sum")
+           for need, ex in ((1, False), (None, True))]
+    s = Series(order_by=("t",), keys=("k",), strategy="keyed" if blocks is None else "blocked", block_rows=blocks or 1)
+
+    def rows(long):
+        monkeypatch.setattr(series, "_LONG_FRAME", long)
+        return {(r.k, r.t): r for r in apply_series(df, s, ops).collect()}
+
+    want, got = rows(10**9), rows(2)
+    assert want.keys() == got.keys() and set(want[0, min(t for k, t in want if k == 0)].asDict()) == set(got[0, min(t for k, t in got if k == 0)].asDict())
+    for key, r in want.items():
+        for o in ops:
+            a, b = r[o.name], got[key][o.name]
+            assert (a is None) == (b is None) and (a is None or b == pytest.approx(a, rel=1e-9, abs=1e-6)), (key, o, a, b)
