@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampere.llm import words as word_arrays
-from ampere.llm.tables import mix64, numbered, spans_of, staged
+from ampere.llm.tables import mix64, numbered, passing, spans_of, staged
 
 
 @dataclass(frozen=True)
@@ -379,6 +379,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: RetrievalParams =
     number of their own: each goes or stays by its own text, whether its id is
     null or another row's too. The list of leaks is small beside the corpus."""
     rows = numbered(docs, "leak-docs")
-    leaked = find_leaks(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, params)
-    leaked = staged(leaked.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    with passing():
+        leaked = find_leaks(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, params)
+        leaked = staged(leaked.select(F.col("doc_id").alias("row")).distinct(), "leaks", lasting=True)
     return rows.join(leaked, "row", "left_anti").select("doc.*")

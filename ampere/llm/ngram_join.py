@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampere.llm import words as word_arrays
-from ampere.llm.tables import connected_components, least_labels, mix64, numbered, seeds64, spans_of, staged, whole_groups
+from ampere.llm.tables import connected_components, least_labels, mix64, numbered, passing, seeds64, spans_of, staged, whole_groups
 
 _SKETCH = 64
 _TOKENS_AT_ONCE = 1 << 15
@@ -209,23 +209,28 @@ def loose_edges(members: DataFrame, p: JoinParams) -> DataFrame:
             sets, n = t.column("set").to_numpy(), t.column("n").to_numpy()
             own, lo, hi = (t.column(c).to_numpy() for c in ("own", "lo", "hi"))
             bytes_ = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH)
-            ea, eb = [], []
+            label = np.arange(t.num_rows)
+            ea, eb, held = [], [], 0
             left = np.flatnonzero(rest > 1)
             d = 1
             while len(left):
                 a, b = left, left + d
                 fits = np.minimum(n[a], n[b]) >= p.threshold * np.maximum(n[a], n[b]) - 1e-9
+                fits &= label[a] != label[b]  # a spanning forest needs no more edges between these
                 # a pair of one block is seen in that block's own group alone
                 fits &= (lo[a] == hi[a]) | (own[a] != own[b])
                 a, b = a[fits], b[fits]
                 good = (bytes_[a] == bytes_[b]).sum(axis=1) >= p.alike
                 ea.append(a[good])
                 eb.append(b[good])
+                held += int(good.sum())
                 d += 1
                 left = left[rest[left] > d]
-            if ea:
-                label = least_labels(t.num_rows, np.concatenate(ea), np.concatenate(eb))
-                moved = np.flatnonzero(label != np.arange(len(label)))
+                if held > t.num_rows or not len(left):
+                    label = least_labels(t.num_rows, np.concatenate([label, *ea]), np.concatenate([np.arange(t.num_rows), *eb]))
+                    ea, eb, held = [], [], 0
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(sets[moved]), pa.array(sets[label[moved]])], ["a", "b"])
 
     return (members.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "set")
@@ -346,10 +351,12 @@ def keep_one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
     texts that share an id, or have none, are judged each by its text; of
     repeated rows one stays."""
     rows = numbered(docs, "join-docs")
-    classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), params)
-    known = rows.select("row", F.col("doc.doc_id").alias("id")).join(classes.select(F.col("doc_id").alias("row"), "class_id"), "row")
-    kept = known.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
+    with passing():
+        classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), params)
+        known = rows.select("row", F.col("doc.doc_id").alias("id")).join(classes.select(F.col("doc_id").alias("row"), "class_id"), "row")
+        kept = known.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+        kept = staged(kept.select(F.col("first.row").alias("row")), "join-kept", lasting=True)
+    return rows.join(kept.hint("merge"), "row", "left_semi").select("doc.*")  # one plan at every size
 
 
 #: DuckDB twin of ``near_duplicates(documents)``: all pairs that share a shingle

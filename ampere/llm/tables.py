@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: tables staged for a while only, innermost ``passing`` block last
+_PASSING: ContextVar[tuple[list, ...]] = ContextVar("passing", default=())
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the folder of ``spark.checkpoint.dir`` and read it
     back: later jobs do not recompute it and a lost executor costs nothing.
-    The folder goes when the application ends (Hadoop ``deleteOnExit``)."""
+    The folder goes when the application ends (Hadoop ``deleteOnExit``), or
+    with the ``passing`` block that it is staged in, unless it is ``lasting``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(jpath)
+    df.write.parquet(path)
+    if _PASSING.get() and not lasting:
+        _PASSING.get()[-1].append((files, jpath))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables staged in this block are deleted at its end: what outlives it
+    must be staged as ``lasting``."""
+    own: list = []
+    token = _PASSING.set((*_PASSING.get(), own))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for files, path in own:
+            files.delete(path, True)
+
+
 def numbered(docs: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
     """``row, doc``: the rows of ``docs`` as structs, written once, each with a
     number of its own, so that rows whose ids repeat or are null can be told

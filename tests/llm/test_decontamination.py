@@ -121,3 +121,22 @@ def test_each_row_goes_or_stays_by_its_own_text(spark):
     rows = [(1, leak), (1, clean), (None, leak), (None, clean), (None, None), (2, clean), (2, clean), (7, "")]
     kept = dec.drop_leaks(documents(spark, rows), bench).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((r for r in rows if r[1] != leak), key=str)
+
+
+def test_more_passages_than_the_space_has_dimensions(spark):
+    """Recall of verbatim passages where the rank truncates the space."""
+    rng = random.Random(12)
+    lexicon = [f"w{k}" for k in range(4000)]
+    items = [[rng.choice(lexicon) for _ in range(rng.randrange(12, 45))] for _ in range(300)]
+    docs, planted = [], set()
+    for d in range(150):
+        body = [rng.choice(lexicon) for _ in range(120)]
+        for i in (2 * d, 2 * d + 1):
+            at = rng.randrange(len(body))
+            body[at:at] = items[i]
+            planted.add((d, i))
+        docs.append((d, " ".join(body)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.find_leaks(documents(spark, docs), bench, dec.RetrievalParams(rank=64)).collect()}
+    lost = {p for p in planted - got}
+    assert got <= planted and len(lost) <= 0.1 * len(planted), len(lost)
