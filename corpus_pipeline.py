@@ -17,28 +17,43 @@ from ampere.llm.queries import word_vocabulary
 from ampere.llm.tables import staged, table
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Whole documents are long rows: where the session has Spark's 10,000 rows
+    an Arrow batch, it gets 1,000, a few MB in the JVM and in its workers."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on ``labels``, does not reject."""
+    _short_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate class."""
+    _short_batches(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
+    _short_batches(spark)
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    _short_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in full sequences of 4096 token ids."""
+    _short_batches(spark)
     return packing.pack_documents(docs, word_vocabulary())
 
 
