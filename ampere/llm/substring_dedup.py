@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampere.llm.tables import codepoints, numbered, seeds64, staged
+from ampere.llm.tables import codepoints, numbered, passing, seeds64, staged
 
 #: the gear table: 2^16 fixed random numbers, one for each low half of a code point
 _GEAR = (seeds64(1 << 16, 3) >> np.uint64(48)).astype(np.uint16)
@@ -185,6 +185,21 @@ def shared_lengths(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(measure, ", ".join([*kept, "shared long", "whole boolean"]))
 
 
+#: a key with more than this share of all rows is joined by broadcast, so that no task gets them all
+_HOT_SHARE = 1 / 20_000
+
+
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``right``, a staged table of one row per key with
+    ``n``, the key's rows. Keys with more than one in 20,000 of all rows (so at
+    most 20,000 keys) are broadcast and their rows stay where they are; the
+    others are dealt by a merge join."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot, others = right.where(F.col("n") > total * _HOT_SHARE).drop("n"), right.where(F.col("n") <= total * _HOT_SHARE).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others.hint("merge"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def extensions(docs: DataFrame, repeated: DataFrame, runs: DataFrame, params: ChunkParams) -> DataFrame:
     """``(doc_id, start, end, last, copy_of)``: what the ends of ``runs`` share
     with a document of smaller id that holds the same chunk, beyond the chunk.
@@ -200,8 +215,13 @@ def extensions(docs: DataFrame, repeated: DataFrame, runs: DataFrame, params: Ch
     edges = runs.select("doc_id", F.explode(F.array(
         edge(0, F.col("head"), F.when(F.col("head.start") > 0, F.col("head.prev") + _BACK).otherwise(F.lit(0))),
         edge(1, F.col("tail"), F.col("tail.next")))).alias("e")).select("doc_id", "e.*", F.lit(True).alias("mine")).where("reach > 0")
-    sought = edges.groupBy("d1", "d2", "side").agg(F.max("reach").alias("reach"))
-    places = repeated.select("doc_id", "start", "length", "d1", "d2").join(sought.hint("merge"), ["d1", "d2"]).withColumn("mine", F.lit(False))
+    # one row per chunk: how far each side is looked at (0: not at all)
+    reach = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("reach"))), F.lit(0))
+    sought = edges.groupBy("d1", "d2").agg(F.array(*[F.struct(F.lit(k).alias("side"), reach(k).alias("reach")) for k in (0, 1)]).alias("sides"))
+    counts = repeated.groupBy("d1", "d2").agg(F.count("*").alias("n"))
+    sought = staged(sought.join(counts.hint("merge"), ["d1", "d2"]), "chunk-sought")
+    places = spread_join(repeated.select("doc_id", "start", "length", "d1", "d2"), sought, ["d1", "d2"])
+    places = places.select("doc_id", "start", "length", "d1", "d2", F.inline("sides")).where("reach > 0").withColumn("mine", F.lit(False))
     beside = staged(contexts(docs, places.unionByName(edges)), "chunk-contexts")
     # the first place of each chunk with these 0, 16, ... characters beside it
     rungs = F.filter(F.array(*map(F.lit, _RUNGS)), lambda k: k <= F.char_length("context"))
@@ -209,9 +229,9 @@ def extensions(docs: DataFrame, repeated: DataFrame, runs: DataFrame, params: Ch
     place = ["doc_id", "start", "side", "d1", "d2"]
     steps = beside.select(*place, "mine", F.explode(F.transform(rungs, lambda k: F.struct(k.alias("k"), key(k).alias("key")))).alias("s"))
     steps = steps.select(*place, "mine", "s.k", "s.key")
-    least = steps.groupBy("d1", "key").agg(F.min(F.struct("doc_id", "start")).alias("source"))
-    least = least.select("d1", "key", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
-    best = steps.where("mine").drop("mine").join(least.hint("merge"), ["d1", "key"]).where("source_doc < doc_id")
+    least = steps.groupBy("d1", "key").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("n"))
+    least = staged(least.select("d1", "key", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"), "n"), "chunk-sources")
+    best = spread_join(steps.where("mine").drop("mine"), least, ["d1", "key"]).where("source_doc < doc_id")
     best = best.groupBy(*place, "source_doc", "source_start").agg(F.min("k").alias("k"))
     ours = beside.where("mine").groupBy(*place).agg(F.min(F.struct("length", "context", "whole")).alias("c"))
     other = beside.groupBy(*place).agg(F.min("context").alias("other"))  # once for repeated rows of one id
@@ -241,10 +261,11 @@ def repeated_spans(docs: DataFrame, params: ChunkParams = ChunkParams()) -> Data
     have no spans; repeated rows of one id count as one document; other
     columns are ignored; an empty table gives no spans.
     """
-    chunks = staged(chunk_table(docs, params), "chunks")
-    first = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    first = first.where("first_doc <> last_doc").select("d1", "d2", "first_doc")
-    repeated = staged(chunks.join(first, ["d1", "d2"]), "repeated-chunks")
+    with passing():
+        chunks = staged(chunk_table(docs, params), "chunks")
+        first = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+        first = staged(first.where("first_doc <> last_doc").select("d1", "d2", "first_doc", "n"), "chunk-firsts")
+        repeated = staged(spread_join(chunks, first, ["d1", "d2"]), "repeated-chunks", lasting=True)
     again = repeated.where("doc_id <> first_doc").groupBy("doc_id", "start").agg(
         F.min(F.struct((-F.col("length")).alias("less"), "first_doc", "prev", "next", "d1", "d2")).alias("c"))
     again = again.select("doc_id", "start", (-F.col("c.less")).alias("length"), "c.first_doc", "c.prev", "c.next", "c.d1", "c.d2")

@@ -124,3 +124,33 @@ def test_no_text_is_lost_where_ids_repeat_or_are_null(spark):
     assert len(cut) == len(rows) and [x for x in texts if x[0] != "None"] == sorted([("1", t), ("5", u), ("5", u)])
     alone = [x for i, x in texts if i == "None"]
     assert v in alone and len(alone) == 2 and all(t not in x for x in alone)
+
+
+def test_all_spans_against_a_search_of_all_substrings(small, texts):
+    """Every character of a span lies in a substring that a document of smaller
+    id has too; of the characters in shared substrings of 200 and more (as long
+    as a passage of 40 words) nearly all are found."""
+    spans = {}
+    for r in sub.repeated_spans(small).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.start + r.length))
+    seen = {n: set() for n in (32, 200)}
+    found = shared = wrong = listed = 0
+    for d in sorted(texts):
+        t = texts[d]
+        cover = {n: np.zeros(len(t) + 1, int) for n in seen}
+        for n, grams in seen.items():
+            own = [hash(t[k : k + n]) for k in range(len(t) - n + 1)]
+            for k, h in enumerate(own):
+                if h in grams:
+                    cover[n][k : k + n] = 1
+            grams.update(own)
+        mine = np.zeros(len(t) + 1, bool)
+        for a, b in spans.get(d, []):
+            mine[a:b] = True
+            if b - a >= 96:
+                listed += b - a
+                wrong += int((cover[32][a:b] == 0).sum())
+        found += int((mine & (cover[200] == 1)).sum())
+        shared += int(cover[200].sum())
+    assert shared > 10_000 and listed > 10_000 and wrong == 0
+    assert found >= 0.97 * shared, (found, shared)
