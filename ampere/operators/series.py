@@ -26,16 +26,20 @@ Two physical shapes, both plain Spark windows:
 Rolling frames of 64 rows and more take linear time: rows fall into runs of the
 frame's length, so a frame is the end of one run and the beginning of the next,
 and both come from running aggregates (no frame is read again for every row, and
-nothing is ever subtracted).
+nothing is ever subtracted). A rolling median that only fills nulls streams the
+sorted rows past and gathers the frames of null cells alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -151,6 +155,11 @@ class Rolling:
 
     unbounded = False
 
+    @property
+    def of_gaps(self) -> bool:
+        """A median that only null cells need."""
+        return self.stat == "median" and self.fill_only
+
     @property
     def by_runs(self) -> bool:
         """Frames long enough for running aggregates over runs of rows."""
@@ -163,6 +172,10 @@ class Rolling:
         value = F.when(F.col(self.count_name) >= need, inside)
         return F.coalesce(c, value) if self.fill_only else value
 
+    @property
+    def gap_name(self) -> str:
+        return f"__gap_{self.column}_{self.n}_{int(self.exclude_current)}_{self.min_periods}"
+
     def part_name(self, part: str, side: str) -> str:
         return f"__{side}_{part}_{self.column}_{self.n}"
 
@@ -371,6 +384,13 @@ def _apply_keyed(df: DataFrame, s: Series, ops) -> DataFrame:
 
 def _with_ops(df: DataFrame, ops, ctx: "_Ctx") -> DataFrame:
     """Add the op columns; frame counts that several statistics need come first."""
+    gaps = [o for o in ops if isinstance(o, Rolling) and o.of_gaps]
+    if gaps:  # last, on copies: the rows leave Spark's windows there
+        df = df.withColumns({f"__src_{o.column}": F.col(o.column) for o in gaps})
+        others = [o for o in ops if o not in gaps]
+        df = _with_ops(df, others, ctx) if others else df
+        df = _with_gap_medians(df.withColumn(POSN, F.row_number().over(ctx.w) - 1), gaps)
+        return df.withColumns({o.name: F.coalesce(F.col(f"__src_{o.column}"), F.col(o.gap_name)) for o in gaps})
     rolling = [o for o in ops if isinstance(o, Rolling)]
     running = {}
     for o in rolling:
@@ -390,6 +410,59 @@ def _with_ops(df: DataFrame, ops, ctx: "_Ctx") -> DataFrame:
     return (df.withColumns(counts) if counts else df).withColumns({o.name: o.expr(ctx) for o in ops})
 
 
+def gap_medians(values: np.ndarray, place: np.ndarray, cells: np.ndarray, n: int, back: int, need: int) -> np.ndarray:
+    """Median of the frame of each of ``cells`` (indexes into ``values``, NaN
+    for null; ``place``: position of each value in its series); NaN where the
+    frame holds fewer than ``need`` values."""
+    out = np.full(len(cells), np.nan)
+    step = max(1, (1 << 20) // n)
+    for lo in range(0, len(cells), step):
+        at = cells[lo : lo + step]
+        ago = np.arange(n) + back
+        frame = np.where(ago <= place[at, None], values[np.maximum(at[:, None] - ago, 0)], np.nan)
+        frame.sort(axis=1)  # NaN last
+        size = n - np.isnan(frame).sum(axis=1)
+        rows, some = np.arange(len(at)), np.maximum(size, 1)
+        middle = (frame[rows, (some - 1) // 2] + frame[rows, some // 2]) / 2
+        out[lo : lo + step] = np.where(size >= max(need, 1), middle, np.nan)
+    return out
+
+
+def _with_gap_medians(df: DataFrame, ops: list[Rolling]) -> DataFrame:
+    """Medians of the frames of null cells. Rows stream past in the order of
+    their windows; only the last values of a column are held, and only null
+    cells gather and sort a frame, so the work follows their number. NaN
+    counts as null in a frame."""
+    columns = list(dict.fromkeys(o.column for o in ops))
+    longest = {c: max(o.n for o in ops if o.column == c) for c in columns}
+    named = {o.gap_name: o for o in ops}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.zeros(0) for c in columns}
+        for batch in batches:
+            place = np.asarray(batch.column(POSN)).astype(np.int64)
+            added = {}
+            for c in columns:
+                # values before the series' own first row are never in its frames: places say so
+                own = np.asarray(batch.column(f"__as_{c}").fill_null(np.nan), np.float64)
+                values = np.concatenate((held[c], own))
+                first = len(held[c])
+                cells = np.flatnonzero(np.isnan(own))
+                places = np.concatenate((np.zeros(first, np.int64), place))
+                for name, o in named.items():
+                    if o.column == c:
+                        found = np.full(len(own), np.nan)
+                        need = o.n if o.min_periods is None else o.min_periods
+                        found[cells] = gap_medians(values, places, cells + first, o.n, int(o.exclude_current), need)
+                        added[name] = pa.array(found, mask=np.isnan(found))
+                held[c] = values[-longest[c]:]
+            kept = [k for k in batch.schema.names if not k.startswith("__as_")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(added[k] for k in named)], [*kept, *named])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in named)])
+    return df.withColumns({f"__as_{c}": F.col(f"__src_{c}").cast("double") for c in columns}).mapInArrow(run, schema)
+
+
 def _with_runs(df: DataFrame, ops: list[Rolling], ctx: "_Ctx") -> DataFrame:
     """Running aggregates over runs of ``n`` rows, from the run's beginning to
     a row and from a row to the run's end. Runs lie within the windows'

@@ -8,6 +8,7 @@ from ..operators import features as fe
 from ..operators import stats, trade
 from ..operators.series import Series
 from ..sources.driver_tables import table
+from .cleaning import _missing_sql
 from .common import MARKET_COLUMNS, QD, D, F1, P1, P2, mv, sql_with_mv
 from .modelling import PAIRS_SQL, _forecasts
 from .registry import register
@@ -94,6 +95,25 @@ def price_bins(spark, sf):
     return stats.histogram(mv(spark, sf), P1, 50)
 
 
+DASHBOARD_SQL = sql_with_mv(f"""SELECT 'correlation' AS part, column_a AS a, column_b AS b, correlation AS value FROM ({_corr_sql()}) c
+  UNION ALL SELECT 'missing', column_name, '', CAST(null_count AS DOUBLE) FROM ({_missing_sql()}) m WHERE null_count > 0
+  UNION ALL SELECT 'distribution', CAST(CAST(LEAST(FLOOR(({P1} - lo) / (hi - lo) * 50) + 1, 50) AS BIGINT) AS VARCHAR), '', CAST(COUNT(*) AS DOUBLE)
+    FROM mv, (SELECT MIN({P1}) AS lo, MAX({P1}) AS hi FROM mv) r WHERE {P1} IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'timeseries', 'rows', '', CAST(COUNT(*) AS DOUBLE) FROM mv""")
+
+
+@register("dashboard", DASHBOARD_SQL, rounded=["value"])
+def dashboard(spark, sf):
+    """The parts of the summary page in one table."""
+    parts = stats.summary_dashboard(mv(spark, sf), D)
+    row = lambda df, part, a, b, value: df.select(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), value.cast("double").alias("value"))
+    none = F.lit("")
+    out = row(parts["correlation"], "correlation", F.col("column_a"), F.col("column_b"), F.col("correlation"))
+    out = out.unionAll(row(parts["missing"], "missing", F.col("column_name"), none, F.col("null_count")))
+    out = out.unionAll(row(parts["distribution"], "distribution", F.col("bin").cast("string"), none, F.col("count")))
+    return out.unionAll(row(parts["timeseries"].agg(F.count(F.lit(1)).alias("n")), "timeseries", F.lit("rows"), none, F.col("n")))
+
+
 @register("timeseries", sql_with_mv(f"SELECT {QD}, {P1}, {P2}, {F1} FROM mv"))
 def timeseries(spark, sf):
     """V1 / V3: the price series, sorted."""

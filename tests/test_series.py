@@ -121,3 +121,19 @@ def test_long_frames_equal_frames_read_again(spark, monkeypatch, blocks):
         for o in ops:
             a, b = r[o.name], got[key][o.name]
             assert (a is None) == (b is None) and (a is None or b == pytest.approx(a, rel=1e-9, abs=1e-6)), (key, o, a, b)
+
+
+@pytest.mark.parametrize("strategy,blocks", [("keyed", 1), ("blocked", 30), ("blocked", 10_000)])
+def test_gap_medians_equal_plain_windows(spark, strategy, blocks):
+    from pyspark.sql import Window
+
+    df = _data(spark, n=500).withColumn("x", F.when(F.col("t") % 11 == 0, F.col("t").cast("int")))
+    s = Series(order_by=("t",), keys=("k",), strategy=strategy, block_rows=blocks)
+    ops = [Rolling(c, n, "median", f"{c}_{n}_{need}", need, fill_only=True) for c in ("v", "x") for n in (3, 24) for need in (1, 2)]
+    got = {(r.k, r.t): r for r in apply_series(df, s, ops).collect()}
+    for o in ops:
+        w = Window.partitionBy("k").orderBy("t").rowsBetween(-(o.n - 1), 0)
+        plain = F.coalesce(F.col(o.column), F.when(F.count(o.column).over(w) >= o.min_periods, F.percentile(o.column, F.lit(0.5)).over(w)))
+        for r in df.select("k", "t", plain.alias("m")).collect():
+            m = got[r.k, r.t][o.name]
+            assert (m is None) == (r.m is None) and (m is None or m == pytest.approx(r.m, rel=1e-12)), (o, r, m)
