@@ -36,8 +36,9 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
     ``skip_rows`` lines before the header are dropped per file: only the
     split at a file's beginning counts its lines, the others stream past, so
     nothing is shuffled. The reader options apply to the lines; empty lines
-    after the header are left out; all files must share one header (read when
-    called), and the skipped lines must lie in a file's first split."""
+    after the header are left out; all files must share one header (compared
+    when called, by one pass over the lines where there are several files),
+    and the skipped lines must lie in a file's first split."""
     paths = [path] if isinstance(path, str) else list(path)
     if skip_rows <= 0:
         reader = spark.read.option("sep", delimiter).option("header", True).option("inferSchema", False)
@@ -55,30 +56,42 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ";
     names = [n.strip('"') for n in header.split(delimiter)]
     ddl = ", ".join(f"`{n}` string" for n in names)
 
-    def body(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+        """Batches with the rows of the lines up to the header, each with its
+        number in its file; lines of a split come one after the other."""
         at, seen = None, 0  # the file whose first split is being read, its lines so far
         for batch in batches:
+            files, starts, found = batch.column("file"), np.asarray(batch.column("start")), []
+            row = 0
+            while row < batch.num_rows:
+                if starts[row] == 0:
+                    file = files[row].as_py()
+                    at, seen = (at, seen) if file == at else (file, 0)
+                    if seen <= skip_rows:
+                        found.append((row, seen))
+                    elif files[batch.num_rows - 1].as_py() == file and starts[-1] == 0:
+                        break  # the rest of the batch lies in the same split
+                    seen += 1
+                row += 1
+            yield batch, found
+
+    def headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in first_lines(batches):
+            rows = [row for row, number in found if number == skip_rows]
+            yield pa.RecordBatch.from_arrays([batch.column("file").take(pa.array(rows, pa.int64())), batch.column("value").take(pa.array(rows, pa.int64()))], ["file", "value"])
+
+    def body(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in first_lines(batches):
             keep = np.asarray(pc.greater(pc.binary_length(batch.column("value")), 0)).copy()
-            files, starts = batch.column("file"), np.asarray(batch.column("start"))
-            for row in np.flatnonzero(starts == 0).tolist():
-                file = files[row].as_py()
-                if file != at:
-                    _whole_head(at, seen)
-                    at, seen = file, 0
-                if seen <= skip_rows:
-                    keep[row] = False
-                    if seen == skip_rows and batch.column("value")[row].as_py() != header:
-                        raise ValueError(f"files with different headers; load them one by one: {header!r}, {batch.column('value')[row].as_py()!r}")
-                elif batch.num_rows and starts.max() == 0 and files[batch.num_rows - 1].as_py() == at:
-                    break  # the rest of the batch is of the same split
-                seen += 1
+            keep[[row for row, _ in found]] = False
             yield batch.filter(pa.array(keep))
-        _whole_head(at, seen)
-
-    def _whole_head(file: str | None, seen: int) -> None:
-        if file is not None and seen <= skip_rows:
-            raise ValueError(f"{file}: the header does not lie in the file's first split")
 
+    files = lines.inputFiles()
+    if len(files) > 1:
+        heads = lines.mapInArrow(headers, "file string, value string")
+        other = heads.where(F.col("value") != header).select("value").first()
+        if other is not None:
+            raise ValueError(f"files with different headers; load them one by one: {header!r}, {other['value']!r}")
     kept = lines.mapInArrow(body, lines.schema)
     parsed = kept.select(F.from_csv("value", ddl, {"sep": delimiter, **{k: str(v) for k, v in options.items()}}).alias("r"),
                          F.struct("file", "start", "pos").alias(INGEST_ORDER))
