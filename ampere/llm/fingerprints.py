@@ -127,7 +127,7 @@ def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def fingerprint_edits(docs: DataFrame, partition_rows: int = 5_000) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, partition_rows: int = 5_000, most_partitions: int = 50_000) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document's
     beginning (see ``ROWS``).
 
@@ -136,12 +136,13 @@ def fingerprint_edits(docs: DataFrame, partition_rows: int = 5_000) -> DataFrame
     repeated rows follow each other; a single row is its own next; other
     columns are ignored; an empty table gives no rows.
 
-    Texts are shuffled once, by range of ``doc_id``; within a partition the
-    next row is at hand. The first and last row of each partition are written
+    Texts are shuffled once, by range of ``doc_id`` (about ``partition_rows``
+    rows a range, more where that were over ``most_partitions`` ranges); within
+    a partition the next row is at hand. The first and last row of each partition are written
     with the results and joined in a second, small step.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = max(1, -(-docs.count() // partition_rows))
+    parts = min(max(1, -(-docs.count() // partition_rows)), most_partitions)
     crc = F.crc32("text")  # only splits rows that share an id
     rows = rows.repartitionByRange(parts, "doc_id", crc).sortWithinPartitions("doc_id", crc, "text")
 

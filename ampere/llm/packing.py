@@ -126,7 +126,7 @@ class CachedTokenizer:
     white-space piece with an apostrophe, whose contractions count). Units
     are told apart by 64-bit hashes; each new one is encoded once."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -244,11 +244,12 @@ PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2,
-                   partition_bytes: int = 16 << 20) -> DataFrame:
+                   partition_bytes: int = 16 << 20, most_partitions: int = 50_000) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset`` of all documents.
 
-    A document is the ids of its whole text (null: empty) and ``end_id``; it
+    Partitions are of about ``partition_bytes``, larger where that were more
+    than ``most_partitions``. A document is the ids of its whole text (null: empty) and ``end_id``; it
     is cut where a sequence is full. Sequences are numbered by range partition
     (high part) and place in it (low part). Equal keys are ordered by
     ``doc_id``, so a group of copies may span partitions; repeated rows are
@@ -267,9 +268,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
 
     rows = staged(rows.mapInArrow(keyed, "doc_id long, text string, curve long, size long"), "pack-keyed")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // partition_bytes))
+    parts = min(max(1, -(-total // partition_bytes)), most_partitions)
     rows = rows.select("curve", "doc_id", "text").repartitionByRange(parts, "curve", "doc_id")
-    rows = rows.sortWithinPartitions("curve", "doc_id", F.length("text"))
+    rows = rows.sortWithinPartitions("curve", "doc_id", F.length("text"), "text")
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
