@@ -51,3 +51,29 @@ def test_pieces_are_the_redacted_texts(steps):
 def test_run_equals_the_stages(spark, steps):
     run = corpus_pipeline.run(spark, SMALL)
     assert sorted(run.collect()) == sorted(steps[5].collect())
+
+
+def test_odd_and_empty_tables(spark, odd, empty):
+    """Nulls, shared and missing ids, repeated rows, long texts and clashing
+    columns pass all stages, among enough others to learn from; so does an
+    empty table."""
+    extra = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    strange = odd.withColumn("doc_id", odd.doc_id + 1_000_000)
+    docs = base.select(["doc_id", "text", "lang", "source", "n_chars"]).unionByName(strange, allowMissingColumns=True)
+    out = staged(docs, "test-odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, out, SMALL), f"test-odd-{name}")
+        assert sorted(out.columns) == sorted(docs.columns)
+    rows = [r for r in out.collect() if r.doc_id is None or r.doc_id >= 1_000_000]
+    texts = [r.text for r in rows]
+    # one row without words, one of the repeated rows, both texts of the shared id and the one without an id
+    assert sum(not (t or "").strip() for t in texts) <= 1 and texts.count("one two three four five") == 1
+    assert "another text with id three" in texts and "no id at all" in texts
+    assert all(getattr(r, c) == "kept" for r in rows for c in extra)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, out, SMALL).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and len(pieces) >= out.count()
+    nothing = empty
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = staged(stage(spark, nothing, SMALL), f"test-empty-{name}")
+        assert nothing.count() == 0
