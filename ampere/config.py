@@ -106,6 +106,7 @@ class ModelConfig:
     boost_bins: int = 255
     svr_c: float = 100.0
     svr_epsilon: float = 0.1
+    svr_iters: int = 60
     landmarks: int = 256
     hidden_layers: tuple[int, ...] = (100, 50)
     mlp_alpha: float = 1e-4

@@ -116,7 +116,7 @@ def make_regressor(model_type: ModelType | str, cfg: ModelConfig = ModelConfig()
         return LinearRegression(regParam=total, elasticNetParam=absolute / total if total else 0.0,
                                 standardization=False, maxIter=500, tol=1e-10, **common)
     if m is ModelType.SVR:
-        return TubeRegression(cfg.svr_c, cfg.svr_epsilon, cfg.landmarks, 60, *own)
+        return TubeRegression(cfg.svr_c, cfg.svr_epsilon, cfg.landmarks, cfg.svr_iters, *own)
     if m is ModelType.MLP:
         return MultilayerRegression(cfg.hidden_layers, cfg.mlp_alpha, cfg.mlp_iters, 10 if cfg.hidden_layers else 0, 10, cfg.seed, *own)
     if m is ModelType.LSTM:

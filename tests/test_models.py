@@ -12,7 +12,7 @@ from ampere.config import ModelConfig, ModelType
 from ampere.operators import model as ml
 from ampere.operators.series import Series
 
-CFG = ModelConfig(forest_trees=10, boost_iters=10, landmarks=64, mlp_iters=80)
+CFG = ModelConfig(forest_trees=10, boost_iters=10, landmarks=64, mlp_iters=50, svr_iters=15)
 S = Series(order_by=("ts",))
 
 
