@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,27 +35,56 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: (application, folder) found to be shared by driver and executors
+_SHARED: set[tuple[str, str]] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only a local-mode session without the setting (tests, bench) gets
-    a fresh folder under /tmp. Spark makes a subfolder of its own per
-    application; it is removed when the application ends.
+    as is, also where it is a mount under ``file:`` that all machines share.
+    Without the setting a cluster uses a folder in the warehouse, and a
+    local-mode session (tests, bench) a fresh one under /tmp. On a cluster, a
+    ``file:`` folder is tried once per application: one that executors write
+    to but the driver does not see raises. Spark makes a subfolder of its own
+    per application; it is removed when the application ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()  # Spark sets it from spark.checkpoint.dir itself where it can
-    configured = current or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; ordered operators on a cluster need a shared checkpoint folder")
-        configured = tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp")
-    elif not sc.master.startswith("local") and _file_system(spark, configured).getScheme() == "file":
-        raise RuntimeError(f"the checkpoint folder is {configured}: executors of a cluster do not share a local folder")
-    if not current:
-        sc.setCheckpointDir(configured)
-    return delete_on_exit(spark, sc.getCheckpointDir())
+    if not sc.getCheckpointDir():  # Spark sets it from spark.checkpoint.dir itself where it can
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _unnamed_folder(spark))
+    folder = sc.getCheckpointDir()
+    seen = (sc.applicationId, folder)
+    if not sc.master.startswith("local") and seen not in _SHARED:
+        if _file_system(spark, folder).getScheme() == "file":
+            _require_shared(spark, folder)
+        _SHARED.add(seen)
+    return delete_on_exit(spark, folder)
+
+
+def _unnamed_folder(spark: SparkSession) -> str:
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="ampere-ckpt-", dir="/tmp")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ampere-checkpoints"
+
+
+def _require_shared(spark: SparkSession, folder: str) -> None:
+    """Raise unless the driver sees every file that tasks write to a folder."""
+    tasks = max(2, min(spark.sparkContext.defaultParallelism, 64))
+    probe = f"{folder.rstrip('/')}/shared-{uuid.uuid4().hex}"
+    spark.range(0, tasks, 1, tasks).write.parquet(probe)
+    seen = _part_files(spark, probe)
+    if seen < tasks:
+        raise RuntimeError(f"the checkpoint folder is {folder}: the driver sees {seen} of {tasks} files that executors wrote there; "
+                           "set spark.checkpoint.dir to a folder that all machines share")
+
+
+def _part_files(spark: SparkSession, path: str) -> int:
+    """Part files of a table that the driver sees; the table is removed."""
+    files, p = _file_system(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = sum(f.getPath().getName().startswith("part-") for f in files.listStatus(p))
+    files.delete(p, True)
+    return found
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> str:
