@@ -23,6 +23,9 @@ Two physical shapes, both plain Spark windows:
   ``(block, key)``. Blocks have equal size by construction, so a hot key or
   a single global series never lands in one task.
 
+Windows are dealt to a number of tasks that follows the measured rows
+(``_TASK_ROWS`` each), so a task's memory does not grow with the input.
+
 Rolling frames of 64 rows and more take linear time: rows fall into runs of the
 frame's length, so a frame is the end of one run and the beginning of the next,
 and both come from running aggregates (no frame is read again for every row, and
@@ -33,6 +36,7 @@ sorted rows past and gathers the frames of null cells alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -52,6 +56,8 @@ POS = "__ampere_pos"
 OFF = "__ampere_off"
 POSN, RUN = "__ampere_posn", "__ampere_run"
 _MAX_BROADCAST_PARTITIONS = 1_000_000
+#: rows that one task's windows get on average at most (its chained sorts all hold them), and at least where cores are free
+_TASK_ROWS, _LEAST_ROWS = 250_000, 10_000
 
 
 def _tuple(x) -> tuple[str, ...]:
@@ -75,8 +81,8 @@ class Series:
 
     order_by: tuple[str, ...]
     keys: tuple[str, ...] = ()
-    block_rows: int = 1_000_000
-    max_key_rows: int = 2_000_000
+    block_rows: int = 250_000
+    max_key_rows: int = 500_000
     strategy: str = "auto"
 
     def __post_init__(self):
@@ -321,14 +327,27 @@ def _order_cols(s: Series) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in (*s.keys, *s.order_by)]
 
 
-def use_blocked(df: DataFrame, s: Series) -> bool:
-    """Decide the physical shape; ``auto`` measures the largest key."""
+def _shape(df: DataFrame, s: Series) -> tuple[bool, int | None]:
+    """The physical shape (``auto`` measures the largest key), and the rows if they were counted."""
     if s.strategy == "blocked" or not s.keys:
-        return True
+        return True, None
     if s.strategy == "keyed":
-        return False
-    biggest = df.groupBy(*s.keys).count().agg(F.max("count").alias("m")).first()["m"]
-    return biggest is not None and biggest > s.max_key_rows
+        return False, None
+    size = df.groupBy(*s.keys).count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
+    return (size["m"] or 0) > s.max_key_rows, size["n"] or 0
+
+
+def use_blocked(df: DataFrame, s: Series) -> bool:
+    """Decide the physical shape; ``auto`` measures the largest key."""
+    return _shape(df, s)[0]
+
+
+def _dealt(df: DataFrame, rows: int, by: Sequence[Column]) -> DataFrame:
+    """``df`` hashed for windows over ``by`` to a number of tasks that follows
+    its rows. AQE joins tasks by shuffled bytes, which say little of the rows
+    that a chain of sorts holds; a number that is given stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2, -(-rows // _TASK_ROWS), min(cores, -(-rows // _LEAST_ROWS))), *by)
 
 
 def global_index(df: DataFrame, s: Series) -> DataFrame:
@@ -337,6 +356,11 @@ def global_index(df: DataFrame, s: Series) -> DataFrame:
     One range shuffle, one checkpoint write, one small count job; no
     single-partition stage over the data.
     """
+    return _placed(df, s)[0]
+
+
+def _placed(df: DataFrame, s: Series) -> tuple[DataFrame, int]:
+    """``global_index`` and the number of rows."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = _order_cols(s)
@@ -346,13 +370,13 @@ def global_index(df: DataFrame, s: Series) -> DataFrame:
     pid = F.spark_partition_id()
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     with_pos = ranged.select("*", pid.alias(PID), local.alias(POS))
-    counts = ranged.groupBy(F.spark_partition_id().alias(PID)).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(PID, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(OFF))
-    # one row per partition: a bounded side, broadcast only under the bound
+    # one row per partition
+    counts = ranged.groupBy(F.spark_partition_id().alias(PID)).agg(F.count(F.lit(1)).alias("n")).orderBy(PID).collect()
+    before = [0, *accumulate(r["n"] for r in counts)]
+    offsets = spark.createDataFrame([(r[PID], n) for r, n in zip(counts, before)], f"`{PID}` int, `{OFF}` long")
     if ranged.rdd.getNumPartitions() <= _MAX_BROADCAST_PARTITIONS:
         offsets = F.broadcast(offsets)
-    return with_pos.join(offsets, PID).select(*df.columns, (F.col(OFF) + F.col(POS)).alias(IDX))
+    return with_pos.join(offsets, PID).select(*df.columns, (F.col(OFF) + F.col(POS)).alias(IDX)), before[-1]
 
 
 def apply_series(df: DataFrame, s: Series, ops: Sequence, blocked: bool | None = None) -> DataFrame:
@@ -363,14 +387,17 @@ def apply_series(df: DataFrame, s: Series, ops: Sequence, blocked: bool | None =
     missing = [c for c in (*s.keys, *s.order_by) if c not in df.columns]
     if missing:
         raise ValueError(f"order/key columns not found: {missing}")
+    rows = None
     if blocked is None:
-        blocked = use_blocked(df, s)
+        blocked, rows = _shape(df, s)
     if not blocked:
-        return _apply_keyed(df, s, ops)
-    return _apply_blocked(global_index(df, s), s, ops, df.columns)
+        return _apply_keyed(df, s, ops, df.count() if rows is None else rows)
+    indexed, rows = _placed(df, s)
+    return _apply_blocked(indexed, s, ops, df.columns, rows)
 
 
-def _apply_keyed(df: DataFrame, s: Series, ops) -> DataFrame:
+def _apply_keyed(df: DataFrame, s: Series, ops, rows: int) -> DataFrame:
+    df = _dealt(df, rows, [F.col(k) for k in s.keys])
     order = [F.col(c).asc_nulls_first() for c in s.order_by]
     w = Window.partitionBy(*[F.col(k) for k in s.keys]).orderBy(*order)
     need_idx = any(isinstance(o, (Fill, RowIndex)) or isinstance(o, Rolling) and o.by_runs for o in ops)
@@ -477,7 +504,7 @@ def _with_runs(df: DataFrame, ops: list[Rolling], ctx: "_Ctx") -> DataFrame:
     return df
 
 
-def _apply_blocked(indexed: DataFrame, s: Series, ops, columns) -> DataFrame:
+def _apply_blocked(indexed: DataFrame, s: Series, ops, columns, rows: int) -> DataFrame:
     B = int(s.block_rows)
     reach = max(int(o.reach) for o in ops)
     if reach >= B:
@@ -505,6 +532,8 @@ def _apply_blocked(indexed: DataFrame, s: Series, ops, columns) -> DataFrame:
     unbounded = [o for o in ops if getattr(o, "unbounded", False)]
     if unbounded:
         framed, carries = _with_carries(framed, s, unbounded)
+    if not unbounded or any(isinstance(o, Rolling) and o.by_runs for o in ops):  # else the join of the carries deals the rows
+        framed = _dealt(framed, rows, [F.col(BLK), *keys])
     w_rev = Window.partitionBy(F.col(BLK), *keys).orderBy(F.col(IDX).desc())
     ctx = _Ctx(w=w, w_rev=w_rev, idx=F.col(IDX), key_start=key_start, halo=F.col(HALO), carries=carries, parts=[F.col(BLK), *keys])
     out = _with_ops(framed, ops, ctx).where(~F.col(HALO))

@@ -137,3 +137,16 @@ def test_gap_medians_equal_plain_windows(spark, strategy, blocks):
         for r in df.select("k", "t", plain.alias("m")).collect():
             m = got[r.k, r.t][o.name]
             assert (m is None) == (r.m is None) and (m is None or m == pytest.approx(r.m, rel=1e-12)), (o, r, m)
+
+
+@pytest.mark.parametrize("strategy", ["auto", "blocked"])
+def test_tasks_follow_the_rows(spark, monkeypatch, strategy):
+    """The rows of one task do not grow with the input: 60 keys or blocks of
+    2,000 rows, few bytes each, are not joined into a few tasks."""
+    from ampere.operators import series
+
+    df = spark.range(120_000).select((F.col("id") % 60).alias("k"), F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("v"))
+    monkeypatch.setattr(series, "_TASK_ROWS", 2_000, raising=False)
+    out = apply_series(df, Series(order_by=("t",), keys=("k",), strategy=strategy, block_rows=2_000), [Rolling("v", 100, "mean", "m", 1)])
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(tasks) == 120_000 and len(tasks) >= 30 and max(tasks) <= 12_000, tasks
