@@ -86,10 +86,13 @@ _LEFT, _RIGHT = 24, 8
 @dataclass(frozen=True)
 class PiiParams:
     """``max_rows``: labelled rows that the trees are fitted on at most, the
-    same number for each kind; ``precision``: share of true spans asked of a
-    kind's threshold."""
+    same number for each kind (None: all rows); ``even_rows``: a kind with
+    more rows than these to learn from weighs as much as these, so that no
+    kind outweighs the others, and each of its rows the same; ``precision``:
+    share of true spans asked of a kind's threshold."""
 
-    max_rows: int = 20_000
+    max_rows: int | None = None
+    even_rows: int = 4_000
     trees: int = 15
     depth: int = 4
     precision: float = 0.95
@@ -201,8 +204,9 @@ def with_features(spans: DataFrame) -> DataFrame:
 
 
 def training_rows(spans: DataFrame, p: PiiParams) -> DataFrame:
-    """``kind, match, before, after, label, mark``: distinct base spans, as
-    many of each kind (smallest hashes first), each in nine versions.
+    """``kind, match, before, after, label, mark``: all distinct base spans,
+    each in nine versions; with ``max_rows`` as many of each kind at most
+    (smallest hashes first).
 
     True: as it stands, respelled plainly (brackets, dashes) in its own context
     and after words that speak for its kind, and respelled loosely (spaces)
@@ -212,8 +216,9 @@ def training_rows(spans: DataFrame, p: PiiParams) -> DataFrame:
     """
     versions = 9
     of_kind = spans.where("base").groupBy("kind", "match", "before", "after").agg(F.lit(1)).withColumn("mark", F.xxhash64("kind", "match", "before", "after"))
-    own = None
-    for k in KINDS:
+    # few bytes but much work per row: dealt to all cores, where AQE would leave one task
+    own = of_kind.repartition(spans.sparkSession.sparkContext.defaultParallelism, "mark") if p.max_rows is None else None
+    for k in KINDS if p.max_rows is not None else ():
         part = of_kind.where(F.col("kind") == k).orderBy("mark", "match", "before", "after").limit(max(1, p.max_rows // len(KINDS) // versions))
         own = part if own is None else own.unionAll(part)
     kind, match, before, after = F.col("kind"), F.col("match"), F.col("before"), F.col("after")
@@ -266,18 +271,25 @@ class PiiModel:
 
 
 def fit(spans: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
-    """Boosted trees on four fifths of the training spans, with all their
-    versions; the other fifth sets each kind's threshold: the least score bound
+    """Boosted trees on four fifths of all training spans, with all their
+    versions; all of the other fifth sets each kind's threshold: the least score bound
     at which the share of true spans reaches ``precision`` (2.0, so none, where
     no bound does)."""
-    rows = staged(with_features(training_rows(spans, params)).select("kind", "label", "mark", "features"), "pii-train")
-    learn = rows.where(F.pmod("mark", F.lit(5)) != 0)
+    rows = with_features(training_rows(spans, params)).withColumn("held", F.pmod("mark", F.lit(5)) == 0)
+    # rows with the same features are one row that weighs as many
+    rows = staged(rows.groupBy("kind", "held", "label", "features").agg(F.count("*").alias("n")), "pii-train")
+    learn = rows.where("not held")
     if learn.select("label").distinct().count() < 2:
         return PiiModel(None, {}, {})
-    trees = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=params.seed, maxMemoryInMB=64).fit(learn)
-    held = trees.transform(rows.where(F.pmod("mark", F.lit(5)) == 0))
+    weight = F.col("n").cast("double")
+    for r in learn.groupBy("kind").agg(F.sum("n").alias("n")).collect():  # one per kind
+        if r["n"] > params.even_rows:
+            weight = F.when(F.col("kind") == r["kind"], F.col("n") * F.lit(params.even_rows / r["n"])).otherwise(weight)
+    trees = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=params.seed, maxMemoryInMB=64,
+                          weightCol="weight").fit(learn.withColumn("weight", weight))
+    held = trees.transform(rows.where("held"))
     bins = held.withColumn("bin", F.floor(vector_to_array("probability")[1] * 50) / 50)
-    counts = bins.groupBy("kind", "bin").agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()  # 4 x 51
+    counts = bins.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("true"), F.sum("n").alias("n")).collect()  # 4 x 51
     thresholds, held_out = {}, {}
     for kind in KINDS:
         own = sorted((r for r in counts if r["kind"] == kind), key=lambda r: -r["bin"])

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ampere.llm import pii
 from llm_tables import ODD, documents
@@ -111,6 +112,18 @@ def test_no_kind_fills_the_training_rows(spark):
     assert counts == {"email": 450, "ip": 360}
 
 
+def test_every_base_span_is_learned_from_or_held_out(spark, monkeypatch):
+    """2,500 addresses make 22,500 rows to learn from; the few hosts weigh what they are."""
+    rows = [(k, f"mail person{k}@example{k % 7}.com now") for k in range(2500)] + [(9000 + k, f"host 10.0.0.{k} up") for k in range(40)]
+    found = pii.candidates(documents(spark, rows))
+    tables = []
+    monkeypatch.setattr(pii, "staged", lambda df, name: tables.append(df.cache()) or tables[-1])
+    pii.fit(found)
+    counts = {r.kind: r.n for r in tables[0].groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    tables[0].unpersist()
+    assert counts == {"email": 22_500, "ip": 360}
+
+
 def test_redaction(hard):
     # one tail of the corpus is enough here: the texts of the hard rows
     rows = {r.doc_id - 10_000: r for r in pii.redact(hard).where("doc_id between 10000 and 99999").collect()}
