@@ -1,9 +1,11 @@
 """The checkpoint folder of a session that runs on a cluster."""
 
+import duckdb
 import pytest
 
 from ampere import session
 from ampere.plans import REGISTRY
+from oracle_compare import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,35 @@ def test_a_folder_that_the_driver_does_not_see_raises(cluster, monkeypatch):
 def test_without_the_setting_the_warehouse_has_the_folder(cluster):
     warehouse = cluster.conf.get("spark.sql.warehouse.dir").rstrip("/")
     assert session._unnamed_folder(cluster) == f"{warehouse}/ampere-checkpoints"
+
+
+@pytest.fixture(scope="module")
+def made(tmp_path_factory):
+    """Events of 200 hours, some without every type, with repeated stamps;
+    orders and lineitem rows."""
+    folder, con = tmp_path_factory.mktemp("made"), duckdb.connect()
+    tables = {
+        "events": """SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (i // 2 * 601 % 720000) AS ts, i % 40 AS user_id,
+            ['click', 'purchase', 'view', 'error', 'signup'][1 + (i * 7 + i // 11) % 5] AS event_type,
+            (i * 7919 % 20011) / 100.0::DOUBLE AS value, '{}' AS props FROM range(2400) t(i)""",
+        "orders": """SELECT i AS o_orderkey, i % 30 AS o_custkey, ['F', 'O', 'P'][1 + i % 3] AS o_orderstatus, (i * 7919 % 200003) / 100.0::DOUBLE AS o_totalprice,
+            TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (i * 31 % 900) AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(300) t(i)""",
+        "lineitem": """SELECT i // 4 AS l_orderkey, i % 50 AS l_partkey, i % 10 AS l_suppkey, (1 + i % 4)::INT AS l_linenumber, (1 + i * 13 % 50)::DOUBLE AS l_quantity,
+            (i * 7919 % 200003) / 100.0::DOUBLE AS l_extendedprice, (i % 11) / 100.0::DOUBLE AS l_discount, (i % 9) / 100.0::DOUBLE AS l_tax,
+            ['A', 'N', 'R'][1 + i % 3] AS l_returnflag, ['F', 'O'][1 + i % 2] AS l_linestatus,
+            TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (i * 31 % 900) AS l_shipdate FROM range(1200) t(i)""",
+    }
+    for name, rows in tables.items():
+        con.execute(f"COPY ({rows}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS FROM '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", [
+    "backtest_cumulative",
+])
+def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
+    folder, con = made
+    q = REGISTRY[name]
+    r = compare(cluster, name, q.run, q.oracle(), folder, con)
+    assert r["status"] == "match" and r["rows"], r
