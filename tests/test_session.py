@@ -65,6 +65,7 @@ def made(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "backtest_cumulative",
     "backtest_ratio_proxy",
+    "best_model",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
