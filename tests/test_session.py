@@ -67,6 +67,7 @@ def made(tmp_path_factory):
     "backtest_ratio_proxy",
     "best_model",
     "best_strategy",
+    "bfill",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
