@@ -69,6 +69,7 @@ def made(tmp_path_factory):
     "best_strategy",
     "bfill",
     "bfill_by_status",
+    "bfill_events",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
