@@ -70,6 +70,7 @@ def made(tmp_path_factory):
     "bfill",
     "bfill_by_status",
     "bfill_events",
+    "clean_outliers",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
