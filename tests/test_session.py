@@ -71,6 +71,7 @@ def made(tmp_path_factory):
     "bfill_by_status",
     "bfill_events",
     "clean_outliers",
+    "boosting_round",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
