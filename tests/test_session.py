@@ -73,6 +73,7 @@ def made(tmp_path_factory):
     "clean_outliers",
     "boosting_round",
     "csv_clean_imputed",
+    "csv_clean_report",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
