@@ -74,6 +74,7 @@ def made(tmp_path_factory):
     "boosting_round",
     "csv_clean_imputed",
     "csv_clean_report",
+    "csv_directory_summary",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
