@@ -75,6 +75,7 @@ def made(tmp_path_factory):
     "csv_clean_imputed",
     "csv_clean_report",
     "csv_directory_summary",
+    "csv_export_roundtrip",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
