@@ -76,6 +76,7 @@ def made(tmp_path_factory):
     "csv_clean_report",
     "csv_directory_summary",
     "csv_export_roundtrip",
+    "csv_forecast_clean",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
