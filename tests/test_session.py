@@ -78,6 +78,7 @@ def made(tmp_path_factory):
     "csv_export_roundtrip",
     "csv_forecast_clean",
     "csv_roundtrip_clean",
+    "csv_system_clean",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
