@@ -79,6 +79,7 @@ def made(tmp_path_factory):
     "csv_forecast_clean",
     "csv_roundtrip_clean",
     "csv_system_clean",
+    "csv_skip_rows",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
