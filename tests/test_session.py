@@ -83,6 +83,7 @@ def made(tmp_path_factory):
     "csv_units_row",
     "cv_fold_sizes",
     "cv_scores",
+    "feature_set",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
