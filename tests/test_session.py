@@ -84,6 +84,7 @@ def made(tmp_path_factory):
     "cv_fold_sizes",
     "cv_scores",
     "feature_set",
+    "ffill",
 ])
 def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     folder, con = made
