@@ -21,7 +21,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, send_package
 from .blocks import ArrayModel, list_matrix, summed
 
 #: the last bin holds missing values
@@ -170,6 +170,7 @@ class SecondOrderBoosting(Estimator):
 
     def _fit(self, df: DataFrame) -> "SecondOrderBoostingModel":
         p, (features, label, prediction) = self.boost, self.columns
+        send_package(df.sparkSession)
         rows = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
         first = rows.agg(F.max(F.size("x")).alias("width"), F.avg("y").alias("base")).first()
         if first.width is None:

@@ -1,4 +1,9 @@
-"""The checkpoint folder of a session that runs on a cluster."""
+"""The checkpoint folder of a session that runs on a cluster, and the package
+that its workers need."""
+
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -91,3 +96,29 @@ def test_queries_are_whole_on_a_mounted_folder(cluster, made, name):
     q = REGISTRY[name]
     r = compare(cluster, name, q.run, q.oracle(), folder, con)
     assert r["status"] == "match" and r["rows"], r
+
+
+AWAY = """import sys
+sys.path[:0] = sys.argv[1:3]
+import duckdb
+from ampere.plans import REGISTRY
+from ampere.session import local_session
+from oracle_compare import compare
+folder, name = sys.argv[3:]
+con = duckdb.connect()
+for t in ("events", "orders", "lineitem"):
+    con.execute(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet'")
+r = compare(local_session(2), name, REGISTRY[name].run, REGISTRY[name].oracle(), folder, con)
+assert r["status"] == "match" and r["rows"], r
+"""
+
+
+@pytest.mark.parametrize("name", [
+    "boosting_round",
+])
+def test_workers_that_do_not_find_the_repository(made, tmp_path, name):
+    tests = os.path.dirname(os.path.abspath(__file__))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"AMPERE_DRIVER_MEMORY": "2g"}
+    run = subprocess.run([sys.executable, "-c", AWAY, os.path.dirname(tests), tests, made[0], name], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
