@@ -25,6 +25,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import send_package
+
 Rows = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
@@ -46,6 +48,7 @@ def packed(df: DataFrame, features: str, label: str, rows: int = 8192) -> DataFr
                 y = np.asarray(part.column("y"), np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([y.tobytes()]), pa.array([x.shape[1]], pa.int32())], ["x", "y", "width"])
 
+    send_package(df.sparkSession)
     vectors = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
     return vectors.mapInArrow(pack, "x binary, y binary, width int").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -66,6 +69,7 @@ def summed(blocks: DataFrame, size: int, per_task: Callable[[Rows], np.ndarray],
         slots = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(own[slots])], ["slot", "value"])
 
+    send_package(blocks.sparkSession)
     out = np.zeros(size)
     sums = blocks.mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
     out[sums["slot"].to_numpy(np.int64)] = sums["value"].to_numpy(np.float64)
@@ -141,6 +145,7 @@ class ArrayModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
 
     def _transform(self, df: DataFrame) -> DataFrame:
         arrays, values = self.arrays(), type(self).values
+        send_package(df.sparkSession)
 
         @F.pandas_udf("double")
         def predicted(x: pd.Series) -> pd.Series:

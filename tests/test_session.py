@@ -115,6 +115,7 @@ assert r["status"] == "match" and r["rows"], r
 
 @pytest.mark.parametrize("name", [
     "boosting_round",
+    "cv_scores",
 ])
 def test_workers_that_do_not_find_the_repository(made, tmp_path, name):
     tests = os.path.dirname(os.path.abspath(__file__))
