@@ -5,8 +5,8 @@ A reservoir of leaky units: every unit keeps an exponential mean of one input
 scales, s_t = m * s_{t-1} + (1 - m) * u_t, so its memory has no end. The
 recurrence is linear in the state: blocks of rows are scanned from zero in
 parallel, their last states are chained over one small row per block, and each
-row adds the decayed state that its block began with. A linear read-out on the
-states is then fitted by any regressor.
+block is scanned again from the state that it begins with. A linear read-out on
+the states is then fitted by any regressor.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, send_package
+from .blocks import list_matrix
 from .series import IDX, Series, global_index
 
-BLOCK, PLACE = "__ampere_state_block", "__ampere_state_place"
+BLOCK = "__ampere_state_block"
 
 
 def unit_inputs(x: np.ndarray, mixtures: int, seed: int) -> np.ndarray:
@@ -38,15 +39,18 @@ def unit_inputs(x: np.ndarray, mixtures: int, seed: int) -> np.ndarray:
     return np.hstack((x, np.tanh(x @ w + rng.uniform(-1, 1, mixtures))))
 
 
-def scan(u: np.ndarray, memory: np.ndarray, start: np.ndarray) -> np.ndarray:
+def scan(u: np.ndarray, memory: np.ndarray, start: np.ndarray, run: int = 256) -> np.ndarray:
     """States before each row and after the last: (rows + 1) x (units), the
-    units being all inputs at the first time scale, then at the next."""
-    out = np.empty((len(u) + 1, len(memory) * u.shape[1]))
-    out[0] = start
+    units being all inputs at the first time scale, then at the next. Within a
+    run of rows the reach of the sums doubles: a few array steps a run."""
     keep = np.repeat(memory, u.shape[1])
-    fresh = np.tile(u, len(memory)) * (1 - keep)
-    for t in range(len(u)):
-        out[t + 1] = keep * out[t] + fresh[t]
+    out = np.vstack((start, np.tile(u, len(memory)) * (1 - keep)))
+    for lo in range(0, len(u), run):
+        states = out[lo : lo + run + 1]  # the first one is whole already
+        step, back = keep, 1
+        while back < len(states):
+            states[back:] += step * states[:-back]
+            step, back = step * step, 2 * back
     return out
 
 
@@ -75,11 +79,14 @@ class ReservoirStates(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
         send_package(df.sparkSession)
         placed = global_index(df.withColumn("__x", vector_to_array(F.col(self.getInputCol()))), Series(order_by=tuple(get(self.orderBy))))
         placed = placed.withColumn(BLOCK, F.expr(f"`{IDX}` div {rows}"))
-        # a block's rows meet in one task, in order
-        ordered = placed.select(BLOCK, IDX, "__x").repartition(BLOCK).sortWithinPartitions(BLOCK, IDX)
+        inputs = placed.select(BLOCK, IDX, "__x")
 
-        def whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            """``(block, positions, inputs)`` of each block."""
+        def in_blocks(rows: DataFrame) -> DataFrame:
+            """A block's rows meet in one task, in order."""
+            return rows.repartition(BLOCK).sortWithinPartitions(BLOCK, IDX)
+
+        def whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[pa.Array]]]:
+            """``(block, positions, rows)`` of each block."""
             at, ids, xs = None, [], []
             for batch in batches:
                 block, idx = np.asarray(batch.column(BLOCK)), np.asarray(batch.column(IDX))
@@ -88,16 +95,20 @@ class ReservoirStates(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
                     if hi == lo:
                         continue
                     if at is not None and block[lo] != at:
-                        yield at, np.concatenate(ids), unit_inputs(np.vstack(xs), mixtures, seed)
+                        yield at, np.concatenate(ids), xs
                         ids, xs = [], []
                     at = block[lo]
                     ids.append(idx[lo:hi])
-                    xs.append(np.vstack(batch.column("__x").slice(lo, hi - lo).to_numpy(zero_copy_only=False)))
+                    xs.append(batch.column("__x").slice(lo, hi - lo))
             if at is not None:
-                yield at, np.concatenate(ids), unit_inputs(np.vstack(xs), mixtures, seed)
+                yield at, np.concatenate(ids), xs
+
+        def units(xs: list[pa.Array]) -> np.ndarray:
+            return unit_inputs(np.vstack([list_matrix(x) for x in xs if len(x)]), mixtures, seed)
 
         def last_states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block, idx, u in whole_blocks(batches):
+            for block, idx, xs in whole_blocks(batches):
+                u = units(xs)
                 last = scan(u, memory, np.zeros(len(memory) * u.shape[1]))[-1]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(idx)], pa.int64()), pa.array([last.tolist()])],
                                                  [BLOCK, "n", "last"])
@@ -111,21 +122,19 @@ class ReservoirStates(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
                     yield pa.RecordBatch.from_arrays([pa.array([r[BLOCK]], pa.int64()), pa.array([start.tolist()])], [BLOCK, "start"])
                     state = np.repeat(memory ** r["n"], len(last) // len(memory)) * start + last
 
-        ends = ordered.mapInArrow(last_states, f"{BLOCK} long, n long, last array<double>")
+        ends = in_blocks(inputs).mapInArrow(last_states, f"{BLOCK} long, n long, last array<double>")
         starts = ends.repartition(1).sortWithinPartitions(BLOCK).mapInArrow(chained, f"{BLOCK} long, start array<double>").checkpoint(eager=True)
 
         def states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block, idx, u in whole_blocks(batches):
-                own = scan(u, memory, np.zeros(len(memory) * u.shape[1]))[:-1]
-                for lo in range(0, len(idx), 4096):
+            for _, idx, xs in whole_blocks(batches):
+                start = list_matrix(xs[0].slice(0, 1))[0]  # the block's first row holds its start
+                own = scan(units([xs[0].slice(1), *xs[1:]]), memory, start)[:-1]
+                for lo in range(0, len(own), 4096):
                     part = own[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), block), pa.int64()), pa.array(idx[lo : lo + 4096], pa.int64()),
-                         pa.array(np.arange(lo, lo + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], [BLOCK, IDX, PLACE, "__own"])
-
-        own = ordered.mapInArrow(states, f"{BLOCK} long, {IDX} long, {PLACE} long, __own array<double>")
-        unit = F.size("start") / len(memory)
-        keep = F.transform("start", lambda s, i: s * F.pow(F.get(F.array(*[F.lit(float(m)) for m in memory]), F.floor(i / unit).cast("int")), F.col(PLACE)))
-        carried = own.join(starts, BLOCK).select(IDX, F.zip_with("__own", keep, lambda a, b: a + b).alias("__state"))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * own.shape[1], pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(idx[lo + 1 : lo + 4097], pa.int64()), lists], [IDX, "__state"])
+
+        begun = inputs.unionByName(starts.select(BLOCK, F.lit(-1).cast("long").alias(IDX), F.col("start").alias("__x")))
+        carried = in_blocks(begun).mapInArrow(states, f"{IDX} long, __state array<double>")
         out = placed.where(F.col(IDX) >= get(self.lookback)).join(carried, IDX)
         return out.withColumn(self.getOutputCol(), array_to_vector(F.col("__state"))).drop("__x", "__state", IDX, BLOCK)

@@ -30,14 +30,15 @@ Rolling frames of 64 rows and more take linear time: rows fall into runs of the
 frame's length, so a frame is the end of one run and the beginning of the next,
 and both come from running aggregates (no frame is read again for every row, and
 nothing is ever subtracted). A rolling median that only fills nulls streams the
-sorted rows past and gathers the frames of null cells alone.
+sorted rows past and gathers the frames of null cells alone; so do look-backs of
+64 rows and more, whose frames are then copied and not collected row by row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import accumulate
-from typing import Iterable, Iterator, Sequence
+from typing import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -275,15 +276,19 @@ class RunningSum:
 class Lookback:
     """The previous ``n`` rows' values (current row excluded) as an
     array of structs, oldest first; null until ``n`` rows exist, unless fewer
-    are wanted too (``whole`` false)."""
+    are wanted too (``whole`` false). ``fold`` makes one double of each frame
+    (an Arrow list array goes in), so that frames need not leave the worker."""
 
     columns: tuple[str, ...]
     n: int
     name: str
     whole: bool = True
+    fold: Callable[[pa.ListArray], pa.Array] | None = None
 
     reach = property(lambda self: self.n)
     unbounded = False
+    #: a frame that is copied from the rows that stream past
+    streamed = property(lambda self: self.n >= _LONG_FRAME or self.fold is not None)
 
     def expr(self, ctx: "_Ctx") -> Column:
         seq = F.collect_list(F.struct(*[F.col(c) for c in self.columns])).over(ctx.w.rowsBetween(-self.n, -1))
@@ -411,6 +416,14 @@ def _apply_keyed(df: DataFrame, s: Series, ops, rows: int) -> DataFrame:
 
 def _with_ops(df: DataFrame, ops, ctx: "_Ctx") -> DataFrame:
     """Add the op columns; frame counts that several statistics need come first."""
+    frames = [o for o in ops if isinstance(o, Lookback) and o.streamed]
+    if frames:  # last, on copies, as gaps
+        source = {c: f"__back_{c}" for c in dict.fromkeys(c for o in frames for c in o.columns)}
+        df = df.withColumns({copy: F.col(c) for c, copy in source.items()})
+        others = [o for o in ops if o not in frames]
+        df = _with_ops(df, others, ctx) if others else df
+        df = _with_frames(df.withColumn(POSN, F.row_number().over(ctx.w) - 1), frames, source)
+        return df.withColumns({o.name: F.when(F.col(POSN) >= o.n, F.col(o.name)) for o in frames if o.whole})
     gaps = [o for o in ops if isinstance(o, Rolling) and o.of_gaps]
     if gaps:  # last, on copies: the rows leave Spark's windows there
         df = df.withColumns({f"__src_{o.column}": F.col(o.column) for o in gaps})
@@ -491,6 +504,39 @@ def _with_gap_medians(df: DataFrame, ops: list[Rolling]) -> DataFrame:
     return df.withColumns({f"__as_{c}": F.col(f"__src_{c}").cast("double") for c in columns}).mapInArrow(run, schema)
 
 
+def _with_frames(df: DataFrame, ops: list[Lookback], source: dict[str, str]) -> DataFrame:
+    """The rows before each row, copied from the rows that stream past in the
+    order of their windows: only the last ones are held. ``source``: the copy
+    of each column; the ops' own columns, where they exist, are replaced."""
+    send_package(df.sparkSession)
+    longest = max(o.n for o in ops)
+    fields = {c: T.StructField(c, df.schema[copy].dataType) for c, copy in source.items()}
+    kept = [f for f in df.schema.fields if f.name not in {o.name for o in ops} | set(source.values())]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.Array] = {}
+        for batch in batches:
+            place = np.asarray(batch.column(POSN)).astype(np.int64)
+            values = {c: pa.concat_arrays([held[c], batch.column(copy)]) if held else batch.column(copy) for c, copy in source.items()}
+            first = len(next(iter(values.values()))) - len(place)
+            step = max(1, (1 << 18) // longest)
+            for lo in range(0, len(place), step):
+                part, added = batch.slice(lo, step), []
+                at = np.arange(lo, lo + part.num_rows) + first
+                for o in ops:
+                    size = np.minimum(place[lo : lo + step], o.n)
+                    ends = np.cumsum(size)
+                    rows = pa.array(np.arange(ends[-1]) + np.repeat(at - ends, size))
+                    structs = pa.StructArray.from_arrays([values[c].take(rows) for c in o.columns], list(o.columns))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), structs)
+                    added.append(o.fold(lists) if o.fold else lists)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *added], [*(f.name for f in kept), *(o.name for o in ops)])
+            held = {c: v.slice(max(0, len(v) - longest)) for c, v in values.items()}
+
+    made = [T.StructField(o.name, T.DoubleType() if o.fold else T.ArrayType(T.StructType([fields[c] for c in o.columns]))) for o in ops]
+    return df.mapInArrow(run, T.StructType([*kept, *made]))
+
+
 def _with_runs(df: DataFrame, ops: list[Rolling], ctx: "_Ctx") -> DataFrame:
     """Running aggregates over runs of ``n`` rows, from the run's beginning to
     a row and from a row to the run's end. Runs lie within the windows'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig, ModelType
@@ -221,11 +223,19 @@ def _event_rows(spark, sf):
 
 
 def _mean_of_before(rows):
-    """The exponential mean of the values before a row, over a plain window."""
-    x = apply_series(rows, EVENT_SERIES, [Lookback(("value",), BACK, "__before", whole=False)])
-    weight = lambda v, k: v["value"] * F.pow(F.lit(KEEP), F.size("__before") - 1 - k) * F.lit(1 - KEEP)
-    total = F.aggregate(F.transform("__before", weight), F.lit(0.0), lambda a, b: a + b)
-    return x.withColumn("target", total).drop("__before")
+    """The exponential mean of the values before a row, over a plain window.
+    It takes ``BACK`` steps a row, so it is written once and read back."""
+    weight = (1 - KEEP) * KEEP ** np.arange(BACK - 1.0, -1, -1)  # oldest first
+
+    def mean(before: pa.ListArray) -> pa.Array:
+        size = np.asarray(before.value_lengths(), np.int64)
+        value = np.asarray(before.flatten().field(0), np.float64)
+        if (size == BACK).all():
+            return pa.array(value.reshape(-1, BACK) @ weight)
+        ends = np.cumsum(size)
+        return pa.array([float(value[e - n : e] @ weight[BACK - n :]) for n, e in zip(size, ends)], pa.float64())
+
+    return apply_series(rows, EVENT_SERIES, [Lookback(("value",), BACK, "target", whole=False, fold=mean)]).checkpoint(eager=True)
 
 
 def _known_rows(spark, sf, m: ModelType):

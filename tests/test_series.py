@@ -150,3 +150,36 @@ def test_tasks_follow_the_rows(spark, monkeypatch, strategy):
     out = apply_series(df, Series(order_by=("t",), keys=("k",), strategy=strategy, block_rows=2_000), [Rolling("v", 100, "mean", "m", 1)])
     tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(tasks) == 120_000 and len(tasks) >= 30 and max(tasks) <= 12_000, tasks
+
+
+@pytest.mark.parametrize("series", [
+    Series(order_by=("t",), keys=("k",), strategy="keyed"),
+    Series(order_by=("t",), keys=("k",), strategy="blocked", block_rows=90),
+    Series(order_by=("t",), block_rows=71),
+])
+def test_long_look_backs_and_folds(spark, series):
+    """Frames copied from the rows that stream past, and one number made of
+    each, against plain lists; nulls, strings and several frames at once."""
+    import pyarrow as pa
+
+    df = _data(spark, n=400).withColumn("s", F.concat(F.lit("r"), "t"))
+
+    def total(frames):
+        return pa.array([None if x is None else float(sum(r["t"] for r in x)) for x in frames.to_pylist()], pa.float64())
+
+    ops = [Lookback(("v", "s"), 64, "whole"), Lookback(("t",), 70, "some", whole=False), Lookback(("t",), 5, "sum", fold=total),
+           Lookback(("t",), 66, "sums", whole=False, fold=total), Lookback(("v",), 3, "short"), Lag("v", 2, "lag")]
+    out = apply_series(df, series, ops)
+    assert out.columns == ["k", "t", "v", "s", *[o.name for o in ops]]
+    got = out.collect()
+    assert len(got) == 400
+    before = {}
+    for r in sorted(got, key=lambda r: r.t):
+        seen = before.setdefault(r.k if series.keys else 0, [])
+        assert (r.whole and [(x.v, x.s) for x in r.whole]) == ([(x.v, x.s) for x in seen[-64:]] if len(seen) >= 64 else None)
+        assert [x.t for x in r.some] == [x.t for x in seen[-70:]]
+        assert r.sum == (sum(x.t for x in seen[-5:]) if len(seen) >= 5 else None)
+        assert r.sums == sum(x.t for x in seen[-66:])
+        assert (r.short and [x.v for x in r.short]) == ([x.v for x in seen[-3:]] if len(seen) >= 3 else None)
+        assert r.lag == (seen[-2].v if len(seen) >= 2 else None)
+        seen.append(r)

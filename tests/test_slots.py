@@ -199,3 +199,33 @@ def test_cleaned_table_is_in_order(spark):
     cleaned, _ = clean.clean_auction_data(df, remove_dupes=False)
     got = [r[0] for r in cleaned.select(f"`{C.DATE_COLUMN}`").collect()]
     assert got == sorted(got) and len(got) == len(stamps)
+
+
+@pytest.mark.parametrize("run", [1, 3, 256])
+def test_scanned_states_equal_the_plain_recurrence(run):
+    rng = np.random.default_rng(11)
+    u, memory, start = rng.normal(size=(700, 3)), np.array([0.0, 0.5, 0.99]), rng.normal(size=9)
+    out = recurrent.scan(u, memory, start, run)
+    keep, state = np.repeat(memory, 3), start
+    for t, row in enumerate(u):
+        assert out[t] == pytest.approx(state, abs=1e-12)
+        state = keep * state + (1 - keep) * np.tile(row, 3)
+    assert out[-1] == pytest.approx(state, abs=1e-12)
+
+
+def test_the_recurrent_slots_target_is_made_once(spark):
+    """Its 300 steps a row must not be repeated by every pass over the rows:
+    the plan behind it reads what was written. The values are those of the
+    formula, over more rows than a frame."""
+    from ampere.plans import modelling as m
+
+    values = np.random.default_rng(12).uniform(0, 9, 700).round(2).tolist()
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 2), i, v) for i, v in enumerate(values)],
+                                 "ts timestamp_ntz, event_id long, value double").repartition(3)
+    out = m._mean_of_before(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan and "ExistingRDD" in plan, plan
+    got = {r.event_id: r.target for r in out.collect()}
+    for i in (0, 1, 5, 299, 300, 301, 699):
+        before = values[max(0, i - m.BACK) : i]
+        assert got[i] == pytest.approx(sum(v * (1 - m.KEEP) * m.KEEP ** k for k, v in enumerate(reversed(before))), abs=1e-12)
