@@ -36,21 +36,26 @@ def list_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def packed(df: DataFrame, features: str, label: str, rows: int = 8192) -> DataFrame:
+def packed(df: DataFrame, features: str, label: str, rows: int = 8192, alike: bool = False) -> DataFrame:
     """``(x, y, width)``: the rows' features and labels in blocks of at most
-    ``rows`` rows, kept in memory or on the executors' disks until unpersisted."""
+    ``rows`` rows, kept in memory or on the executors' disks until unpersisted.
+    ``alike``: rows equal in all of that are held once, their number in a third
+    array, ``times`` (``counted`` unpacks them)."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 x = list_matrix(part.column("x"))
-                y = np.asarray(part.column("y"), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([y.tobytes()]), pa.array([x.shape[1]], pa.int32())], ["x", "y", "width"])
+                others = [pa.array([np.asarray(part.column(c), np.float64).tobytes()]) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), *others, pa.array([x.shape[1]], pa.int32())], ["x", *names, "width"])
 
     send_package(df.sparkSession)
     vectors = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
-    return vectors.mapInArrow(pack, "x binary, y binary, width int").persist(StorageLevel.MEMORY_AND_DISK)
+    if alike:
+        vectors = vectors.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    names = vectors.columns[1:]
+    return vectors.mapInArrow(pack, f"x binary, {', '.join(f'{c} binary' for c in names)}, width int").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def unpacked(batches: Iterable[pa.RecordBatch]) -> Rows:
@@ -59,6 +64,13 @@ def unpacked(batches: Iterable[pa.RecordBatch]) -> Rows:
             yield np.frombuffer(r["x"]).reshape(-1, r["width"]), np.frombuffer(r["y"])
 
 
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, labels and how often each row comes."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield np.frombuffer(r["x"]).reshape(-1, r["width"]), np.frombuffer(r["y"]), np.frombuffer(r["times"])
+
+
 def summed(blocks: DataFrame, size: int, per_task: Callable[[Rows], np.ndarray],
            unpack: Callable[[Iterable[pa.RecordBatch]], Iterator] = unpacked) -> np.ndarray:
     """Sum over all tasks of the array (``size`` numbers) that ``per_task``

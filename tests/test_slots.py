@@ -229,3 +229,31 @@ def test_the_recurrent_slots_target_is_made_once(spark):
     for i in (0, 1, 5, 299, 300, 301, 699):
         before = values[max(0, i - m.BACK) : i]
         assert got[i] == pytest.approx(sum(v * (1 - m.KEEP) * m.KEEP ** k for k, v in enumerate(reversed(before))), abs=1e-12)
+
+
+def test_equal_rows_are_held_once(spark):
+    from ampere.operators.blocks import counted, packed
+
+    x, y = np.array([[1.0, 2.0], [3.0, -0.0], [3.0, 0.0], [1.0, 2.0], [1.0, 2.0]]), np.array([5.0, 6.0, 6.0, 5.0, 7.0])
+    df, _ = frame(spark, np.tile(x, (40, 1)), np.tile(y, 40))
+    blocks = packed(df, "features", "label", alike=True)
+    try:
+        got = {(*map(float, a), float(b)): float(c) for rows in counted(blocks.toArrow().to_batches()) for a, b, c in zip(*rows)}
+        assert got == {(1.0, 2.0, 5.0): 80.0, (3.0, 0.0, 6.0): 80.0, (1.0, 2.0, 7.0): 40.0}
+        assert sum(len(np.frombuffer(r.y)) for r in blocks.collect()) == 3
+    finally:
+        blocks.unpersist()
+
+
+def test_tube_counts_rows_that_come_again(spark, monkeypatch):
+    """Three copies of the rows at a third of C take the same steps, in parts of
+    any size."""
+    rng = np.random.default_rng(13)
+    x = rng.uniform(-2, 2, size=(90, 2))
+    y = np.sin(2 * x[:, 0]) + rng.normal(0, 0.1, 90)
+    once, _ = frame(spark, x, y)
+    thrice, _ = frame(spark, np.tile(x, (3, 1)), np.tile(y, 3))
+    want = predictions(kernel.TubeRegression(3.0, 0.1, 90, 5).fit(once), once)
+    monkeypatch.setattr(kernel, "_PART", 90 * 7)
+    got = predictions(kernel.TubeRegression(1.0, 0.1, 90, 5).fit(thrice), once)
+    assert got == pytest.approx(want, abs=1e-4)
